@@ -1,0 +1,11 @@
+"""Registry of the log engine's queries and their reference SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
