@@ -9,8 +9,8 @@ sets is at least `threshold`; a group is a connected component.
 2. SetSketch: every shingle emits the points of a Poisson process on the registers; a register keeps the smallest,
    stored as a truncated exponent of base b. Sketches of parts merge by taking maxima.
 3. Bands of registers are hashed; classes with an equal band are candidates. Instead of all pairs of a bucket, each
-   member meets the bucket's centre; then, as long as a bucket spans several components, members of different
-   components meet: by further centres while there are many such pairs, else all of them.
+   member meets the bucket's centre. Members of buckets that still span several components then meet across
+   components only: buckets of one largest component are merged and compared in blocks.
 4. A candidate is dropped if the joint likelihood of both sketches puts its similarity far below the threshold, and
    otherwise confirmed on the full sets.
 
@@ -35,8 +35,10 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 LOG_BASE = math.log(BASE)
 #: Candidates are dropped only where the likelihood falls by this many nats (about five standard deviations).
 NATS = 12.0
-#: Cross-component pairs that are taken at once, as a multiple of the bucket rows.
-PAIRS_AT_ONCE = 4
+#: Rows of one block of a hub's neighbourhood; a task compares two blocks.
+BLOCK = 512
+#: Centre rounds go on while the comparisons left exceed so many per class and the last round still found links.
+WORK_PER_CLASS, CENTRE_ROUNDS = 2000, 4
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -133,9 +135,10 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Only buckets with several members, each with a hash that orders centres."""
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(crowded, "bucket").select("bucket", "id", "n")
+    """Only buckets with several members, and their number; both sides of the join share one exchange."""
+    rows = rows.repartition("bucket")
+    crowded = rows.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
+    return rows.join(crowded.hint("shuffle_merge"), "bucket").select("bucket", "id", "n")
 
 
 def centre_pairs(rows: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
@@ -152,6 +155,59 @@ def centre_pairs(rows: DataFrame, comp: DataFrame | None, turn: int) -> DataFram
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
+def hubs(rows: DataFrame) -> DataFrame:
+    """(hub, id, comp) of open buckets: a bucket's hub is its largest component.
+
+    Buckets with one hub merge, so a group that meets again in every band is compared once.
+    """
+    size = rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    hub = size.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("hub"))
+    return rows.join(hub, "bucket").select("hub", "id", "comp").distinct()
+
+
+def hub_work(near: DataFrame) -> float:
+    """Comparisons within all hubs' neighbourhoods."""
+    per = near.groupBy("hub").agg(F.count_if(F.col("comp") != F.col("hub")).cast("double").alias("o"), F.count_if(F.col("comp") == F.col("hub")).cast("double").alias("l"))
+    return per.agg(F.coalesce(F.sum(F.col("o") * (F.col("o") + F.col("l"))), F.lit(0.0))).first()[0]
+
+
+def hub_pairs(near: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs of different components within each hub's neighbourhood.
+
+    Blocks of outer members meet blocks of the hub's own and of outer members; only likely pairs leave a task.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
+        left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("is_left", "is_right"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
+        found_a, found_b = [], []
+        for i in left:
+            j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
+            # what the sizes leave; a band in common is not asked for again
+            if len(j):
+                j = j[likely(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), float(n[i])), n[j].astype(float), threshold)]
+                found_a.append(np.minimum(ids[i], ids[j]))
+                found_b.append(np.maximum(ids[i], ids[j]))
+        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return pa.table({"a": flat(found_a), "b": flat(found_b)})
+
+    size = near.groupBy("hub").agg(F.count_if(F.col("comp") != F.col("hub")).alias("o"), F.count_if(F.col("comp") == F.col("hub")).alias("l"))
+    blocks = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / F.lit(BLOCK)).cast("int")
+    rows = near.join(size, "hub").withColumn("outer", F.col("comp") != F.col("hub")).withColumn("no", blocks("o")).withColumn("nl", blocks("l"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("outer"), F.col("no")).otherwise(F.col("nl"))).cast("int")
+    rows = rows.withColumn("own", own)
+    steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a cell (x, y): outer block x against block y, the hub's own blocks first and then the outer ones
+    cell = lambda x, y, left, right: F.struct(x.alias("x"), y.alias("y"), F.lit(left).alias("is_left"), F.lit(right).alias("is_right"))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("nl") + F.col("no") - 1), lambda y: cell(F.col("own"), y, True, False))
+    as_right = F.transform(steps("no"), lambda x: cell(x, F.when(F.col("outer"), F.col("nl") + F.col("own")).otherwise(F.col("own")), False, True))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("outer"), F.concat(as_left, as_right)).otherwise(as_right))).select("hub", "id", "comp", "cell.*")
+    rows = rows.groupBy("hub", "x", "y", "id", "comp").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+    rows = rows.join(reps.select("id", "n_shingles", "regs"), "id")
+    return rows.groupBy("hub", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def sized_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes and sketches leave the threshold possible."""
 
@@ -230,33 +286,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     reps = C.cut(sketches.join(classes, F.col("doc_id") == F.col("id")).select("id", "n_shingles", "regs").dropDuplicates(["id"]), "reps")
     texts = docs.withColumnRenamed("doc_id", "id")
     rows = C.cut(shared_buckets(bucket_rows(reps)), "buckets")
-    total = max(rows.count(), 1000)
-
-    links, comp, turn, done = None, None, 0, False
-    while not done:
-        if comp is None:
-            pairs = centre_pairs(rows, None, turn)
-        else:
-            open_rows = rows.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = open_rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-            open_rows = C.cut(open_rows.join(mixed, "bucket"), "open")
-            per = open_rows.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            left = per.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
-            if not left:
-                break
-            done = left <= PAIRS_AT_ONCE * total
-            if done:
-                one, two = open_rows.alias("x"), open_rows.alias("y")
-                pairs = one.join(two, F.expr("x.bucket = y.bucket and x.id < y.id and x.comp != y.comp")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            else:
-                pairs = centre_pairs(open_rows, comp, turn)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.cut(pairs, "pairs")
-        tried = pairs if turn == 0 else tried.unionByName(pairs)
-        found = confirmed(C.cut(sized_pairs(pairs, reps, threshold), "likely"), texts, size, threshold)
-        links = C.cut(found if links is None else links.unionByName(found), "links")
-        comp = C.cut(components(links), "comp")
-        turn += 1
+    work = WORK_PER_CLASS * max(reps.count(), 1000)
+
+    pairs = C.cut(centre_pairs(rows, None, 0), "pairs")
+    links = C.cut(confirmed(C.cut(sized_pairs(pairs, reps, threshold), "likely"), texts, size, threshold), "links")
+    comp = components(links)
+    for turn in range(1, CENTRE_ROUNDS + 1):
+        now = rows.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+        now = C.cut(now.join(mixed, "bucket"), "open")
+        near = C.cut(hubs(now), "hubs")
+        last = turn == CENTRE_ROUNDS or hub_work(near) <= work
+        more = hub_pairs(near, reps, threshold) if last else sized_pairs(centre_pairs(now, comp, turn), reps, threshold)
+        found = C.cut(confirmed(C.cut(more, "likely"), texts, size, threshold), "links")
+        if found.head(1):
+            links = links.unionByName(found)
+            comp = components(links)
+        if last:
+            break
 
     by_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
