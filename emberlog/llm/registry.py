@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from emberlog.llm import common as C
-from emberlog.llm import minhash_dedup
+from emberlog.llm import decontaminate, minhash_dedup, token_counts, token_files
+
+
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.digest(decontaminate.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
+
+
+def op6_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    folder = f"{C.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    shards = C.cut(token_files.write_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder), "shards")
+    return token_files.digest(token_files.read_tokens(spark, shards))
 
 
 def op9_minhash_dedup(spark, sf_dir):
@@ -11,7 +31,12 @@ def op9_minhash_dedup(spark, sf_dir):
 
 
 def queries():
-    return {"op9_minhash_dedup": op9_minhash_dedup}
+    return {
+        "op2_decontaminate": op2_decontaminate,
+        "op6_token_counts": op6_token_counts,
+        "op7_token_files": op7_token_files,
+        "op9_minhash_dedup": op9_minhash_dedup,
+    }
 
 
 def oracle_sql():
