@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 
 from emberlog.llm import common as C
-from emberlog.llm import decontaminate, minhash_dedup, token_counts, token_files
+from emberlog.llm import chat, decontaminate, minhash_dedup, quality_rules, token_counts, token_files
 
 
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -26,6 +30,13 @@ def op7_token_files(spark, sf_dir):
     return token_files.digest(token_files.read_tokens(spark, shards))
 
 
+def op8_chat(spark, sf_dir):
+    turns = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", ok), (-7, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_chats(turns.unionByName(own)))
+
+
 def op9_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
 
@@ -33,8 +44,10 @@ def op9_minhash_dedup(spark, sf_dir):
 def queries():
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,
+        "op8_chat": op8_chat,
         "op9_minhash_dedup": op9_minhash_dedup,
     }
 
