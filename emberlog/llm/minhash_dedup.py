@@ -37,6 +37,8 @@ LOG_BASE = math.log(BASE)
 NATS = 12.0
 #: Rows of one block of a hub's neighbourhood; a task compares two blocks.
 BLOCK = 512
+#: Rows of the bitmap of ids (64 bits each) that is broadcast: at most about 10 MB.
+BITMAP_WORDS = 1 << 17
 #: Centre rounds go on while the comparisons left exceed so many per class and the last round still found links.
 WORK_PER_CLASS, CENTRE_ROUNDS = 2000, 4
 
@@ -171,26 +173,38 @@ def hub_work(near: DataFrame) -> float:
     return per.agg(F.coalesce(F.sum(F.col("o") * (F.col("o") + F.col("l"))), F.lit(0.0))).first()[0]
 
 
-def hub_pairs(near: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components within each hub's neighbourhood.
+def hub_links(near: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components within each hub's neighbourhood.
 
-    Blocks of outer members meet blocks of the hub's own and of outer members; only likely pairs leave a task.
+    Blocks of outer members meet blocks of the hub's own and of outer members. What the sketches leave is confirmed
+    on the full sets in the same task; components that a task has linked are not linked again.
     """
+    percent = round(threshold * 100)
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
         left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("is_left", "is_right"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(ids), -1)
-        found_a, found_b = [], []
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        top = {int(c): int(c) for c in np.unique(comp)}
+
+        def root(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        links = []
         for i in left:
             j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
-            # what the sizes leave; a band in common is not asked for again
-            if len(j):
-                j = j[likely(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), float(n[i])), n[j].astype(float), threshold)]
-                found_a.append(np.minimum(ids[i], ids[j]))
-                found_b.append(np.maximum(ids[i], ids[j]))
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"a": flat(found_a), "b": flat(found_b)})
+            if not len(j):
+                continue
+            j = j[likely(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), float(n[i])), n[j].astype(float), threshold)]
+            for k in j:
+                a, b = root(int(comp[i])), root(int(comp[k]))
+                if a != b and alike(sets[i], sets[k], percent):
+                    top[max(a, b)] = min(a, b)
+                    links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     size = near.groupBy("hub").agg(F.count_if(F.col("comp") != F.col("hub")).alias("o"), F.count_if(F.col("comp") == F.col("hub")).alias("l"))
     blocks = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / F.lit(BLOCK)).cast("int")
@@ -204,7 +218,7 @@ def hub_pairs(near: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     as_right = F.transform(steps("no"), lambda x: cell(x, F.when(F.col("outer"), F.col("nl") + F.col("own")).otherwise(F.col("own")), False, True))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("outer"), F.concat(as_left, as_right)).otherwise(as_right))).select("hub", "id", "comp", "cell.*")
     rows = rows.groupBy("hub", "x", "y", "id", "comp").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
-    rows = rows.join(reps.select("id", "n_shingles", "regs"), "id")
+    rows = rows.join(reps.select("id", "n_shingles", "regs").join(sets, "id"), "id")
     return rows.groupBy("hub", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -226,26 +240,38 @@ def sized_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    percent = round(threshold * 100)
+def full_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of some documents, written to the shared folder.
+
+    Texts are not shuffled for it: a bitmap of the hashed ids, of at most BITMAP_WORDS rows whatever the input,
+    is broadcast and takes out nearly all others; the exact join follows on what is left.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_WORDS * 64))
+    word, bit = F.shiftright(place, 6).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
+    bits = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+    return C.cut(near.join(ids, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(make, "id long, shingles binary"), "sets")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+    percent = round(threshold * 100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            ok = pa.array(keep, pa.bool_())
+            ok = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = C.cut(texts.join(ids, "id").select("id", "text").dropDuplicates(["id"]).mapInArrow(make, "id long, shingles binary"), "sets")
     one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -288,8 +314,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     rows = C.cut(shared_buckets(bucket_rows(reps)), "buckets")
     work = WORK_PER_CLASS * max(reps.count(), 1000)
 
-    pairs = C.cut(centre_pairs(rows, None, 0), "pairs")
-    links = C.cut(confirmed(C.cut(sized_pairs(pairs, reps, threshold), "likely"), texts, size, threshold), "links")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        found = C.cut(sized_pairs(pairs, reps, threshold), "likely")
+        return C.cut(confirmed(found, full_sets(texts, ends(found), size), threshold), "links")
+
+    links = tested(C.cut(centre_pairs(rows, None, 0), "pairs"))
     comp = components(links)
     for turn in range(1, CENTRE_ROUNDS + 1):
         now = rows.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -297,8 +328,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
         now = C.cut(now.join(mixed, "bucket"), "open")
         near = C.cut(hubs(now), "hubs")
         last = turn == CENTRE_ROUNDS or hub_work(near) <= work
-        more = hub_pairs(near, reps, threshold) if last else sized_pairs(centre_pairs(now, comp, turn), reps, threshold)
-        found = C.cut(confirmed(C.cut(more, "likely"), texts, size, threshold), "links")
+        if last:
+            found = C.cut(hub_links(near, reps, full_sets(texts, near.select("id").distinct(), size), threshold), "links")
+        else:
+            found = tested(centre_pairs(now, comp, turn))
         if found.head(1):
             links = links.unionByName(found)
             comp = components(links)
