@@ -164,8 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         for x in parts[1:]:
             rows = rows.unionByName(x)
         rows = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # spans sorted by start; the state is (words so far, end so far)
-    pairs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", (i * 2).cast("int")).alias("a"), F.get("spans", (i * 2 + 1).cast("int")).alias("b"))))
+    # the fold's state is (words so far, end so far) over the sorted spans
+    pairs = F.sort_array(F.expr("transform(sequence(0, size(spans) div 2 - 1), i -> struct(spans[cast(2 * i as int)] as a, spans[cast(2 * i + 1 as int)] as b))"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     step = lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), p["b"] - F.greatest(p["a"], s["end"]))).alias("n"), F.greatest(s["end"], p["b"]).alias("end"))
     n_hit = F.when(F.size("spans") > 0, F.aggregate(pairs, start, step)["n"]).otherwise(F.lit(0).cast("long"))
