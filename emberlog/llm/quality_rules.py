@@ -133,7 +133,7 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[lis
     """The ordered rules, from labelled statistics."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-    fitted = stats.join(chosen, "doc_id").where(~base_failed())
+    fitted = stats.join(F.broadcast(chosen), "doc_id").where(~base_failed())
     rows = [r.asDict() | {"bad": int(r["quality"] == 0)} for r in fitted.select("h", "quality", *FEATURES).collect()]
     rows.sort(key=lambda r: (r["h"], *(r[f] for f in FEATURES)))
     rules: list[list[Condition]] = []
@@ -169,7 +169,7 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_words, the four base statistics, base_failed, rule, kept."""
     chosen = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id", "left_semi")
+    few = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id", "left_semi")
     rules = learn(statistics(few), labels, sample)
     rows = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))

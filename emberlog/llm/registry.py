@@ -5,7 +5,11 @@ from __future__ import annotations
 import uuid
 
 from emberlog.llm import common as C
-from emberlog.llm import chat, decontaminate, minhash_dedup, quality_rules, token_counts, token_files
+from emberlog.llm import chat, decontaminate, minhash_dedup, quality_rules, token_counts, token_files, toxicity
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity.scored(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate(spark, sf_dir):
@@ -43,6 +47,7 @@ def op9_minhash_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
