@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from emberlog.llm import common as C
-from emberlog.llm import chat, decontaminate, minhash_dedup, quality_rules, token_counts, token_files, toxicity
+from emberlog.llm import chat, decontaminate, html_extract, minhash_dedup, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
 
 
 def op1_toxicity(spark, sf_dir):
@@ -16,6 +16,12 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    return sentencepiece_lattice.round_trip(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
@@ -45,15 +51,21 @@ def op9_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark, sf_dir):
+    return html_extract.extract(C.table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
+        "op3_sentencepiece": op3_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,
         "op8_chat": op8_chat,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_html_extract": op10_html_extract,
     }
 
 
