@@ -172,6 +172,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs without a hit in any block of the benchmark."""
+
+    def without(docs: DataFrame, index: Index) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for b in batches:
+                yield b.filter(pa.array([not index.hits(C.word_hashes(words_of(t)))[0] for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    C.small_batches(docs.sparkSession)
+    for x in blocks_of(benchmark, window, gram, block_words):
+        docs = without(docs, x)
+    return docs
+
+
 def digest(hits: DataFrame) -> DataFrame:
     """The contract's columns."""
     by_text = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

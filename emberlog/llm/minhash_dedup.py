@@ -15,7 +15,8 @@ sets is at least `threshold`; a group is a connected component.
    otherwise confirmed on the full sets.
 
 Chance of no common band at similarity 0.75: (1 - 0.75**4)**64 < 3e-11 a pair. Shingles are 64-bit hashes.
-Null or empty text: n_shingles 0, its own group. Repeated rows of one doc_id: one result each.
+Null or empty text: n_shingles 0, its own group. Repeated rows of one doc_id: one result each. A row without doc_id
+takes the group of its equals, if any, and is never kept.
 """
 
 from __future__ import annotations
@@ -341,4 +342,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     by_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
+    """One row of docs for each group: that of the smallest doc_id."""
+    kept = near_duplicates(docs, size, threshold).where("kept").select(F.col("doc_id").alias("kept__")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept__")).drop("kept__").dropDuplicates(["doc_id"])

@@ -55,18 +55,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, and the features of the list."""
+    """doc_id, the base statistics, the features of the list, and the row itself as the struct `row`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_SPACE))
     of_words = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     kept = lambda chars: F.length(F.regexp_replace("text", f"[^{chars}]+", "")).cast("double")
-    rows = rows.select("doc_id", of_words.alias("w"), of_lines.alias("l"), kept(r"#*$%&|<>").cast("long").alias("n_symbols"), kept("A-Z").alias("upper"), kept("0-9").alias("digits"), kept(".,;:!?").alias("marks"), kept("!").alias("bangs"), kept(".!?").alias("ends"))
-    rows = rows.select("doc_id", "w.*", "l.*", "n_symbols", "upper", "digits", "marks", "bangs", "ends")
+    rows = rows.select("row", "doc_id", of_words.alias("w"), of_lines.alias("l"), kept(r"#*$%&|<>").cast("long").alias("n_symbols"), kept("A-Z").alias("upper"), kept("0-9").alias("digits"), kept(".,;:!?").alias("marks"), kept("!").alias("bangs"), kept(".!?").alias("ends"))
+    rows = rows.select("row", "doc_id", "w.*", "l.*", "n_symbols", "upper", "digits", "marks", "bangs", "ends")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("mean_word"), share("n_symbols", "n_words").alias("symbols_per_word"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"), share("upper", "word_chars").alias("upper_share"), share("digits", "word_chars").alias("digit_share"), share("marks", "n_words").alias("mark_share"),
         share("n_words", "n_lines").alias("line_words"), share("ends", "n_words").alias("end_mark_share"), share("bangs", "n_words").alias("bang_share"),
@@ -166,10 +166,25 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_words, the four base statistics, base_failed, rule, kept."""
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
+    """The rules, from the labelled rows among docs; only their texts are read."""
     chosen = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    rules = learn(statistics(few), labels, sample)
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    return learn(statistics(few), labels, sample)
+
+
+def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """row (the document's own columns), doc_id, n_words, the four base statistics, base_failed, rule, kept."""
+    rules = learned(docs, labels, sample)
     rows = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    return rows.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """The contract's columns and the number of the rule."""
+    return rows.drop("row")
+
+
+def passing(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the rules keep."""
+    return judged(docs, labels, sample).where("kept").select("row.*")

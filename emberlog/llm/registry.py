@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from emberlog.llm import common as C
-from emberlog.llm import chat, decontaminate, html_extract, minhash_dedup, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
+from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
 
 
 def op1_toxicity(spark, sf_dir):
@@ -22,8 +22,12 @@ def op3_sentencepiece(spark, sf_dir):
     return sentencepiece_lattice.round_trip(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(C.table(spark, sf_dir, "pages"), C.table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
-    return quality_rules.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return quality_rules.digest(quality_rules.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")))
 
 
 def op6_token_counts(spark, sf_dir):
@@ -60,6 +64,7 @@ def queries():
         "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_language_id": op4_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op7_token_files": op7_token_files,

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm import common as C
 
@@ -153,27 +154,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, selected: int
     return Machine(kept, bias, w, v)
 
 
-def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, score of every row; `columns` of docs go through as they are."""
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """The columns of docs and each row's score under `name`."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(machine)
-    more = [c for c in columns or [] if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    out = [f.name for f in rows.schema.fields if f.name in (columns or ()) or f.name == "doc_id"]
-    schema = rows.select(*out).schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
         terms = Terms(machine.buckets)
         for b in batches:
             s = machine.scores([sorted(terms.of(t)) for t in b.column("text").to_pylist()])
-            yield pa.record_batch([*(b.column(c) for c in out), pa.array(s)], names=[*out, "score"])
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     C.small_batches(spark)
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that the machine does not call toxic."""
+    return score(docs, fit(docs, labels), "toxicity_score__").where(F.col("toxicity_score__") < threshold).drop("toxicity_score__")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows = score(docs, fit(docs, labels))
+    rows = score(C.first_with_text(docs), fit(docs, labels))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
