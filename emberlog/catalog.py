@@ -1,11 +1,576 @@
-"""Registry of the log engine's queries and their reference SQL."""
+"""Registry of the log engine's queries and of SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from emberlog.functions import scalars as S
+from emberlog.functions.ordered import nearest_rank
+from emberlog.operators import cdc, compaction, fold, integrity, overflow, reads, snapshots, stats, writes
+from emberlog.plans import testkit as K
+
+QUERIES, SQL = {}, {}
+NOW = K.NOW
+
+#: Tables that the SQL below shares.
+LOG = f"""log AS (SELECT CAST(user_id AS VARCHAR) AS key, props AS value, event_type='error' AS tomb, event_id AS seq, event_id AS lsn,
+  CASE WHEN event_type='view' THEN CAST(floor(epoch(ts)) AS BIGINT)+86400*(event_id%10) ELSE 0 END AS exp,
+  CAST(('0x'||substr(md5(CAST(user_id AS VARCHAR)),1,8))::BIGINT % {K.BUCKETS} AS INTEGER) AS bucket FROM events),
+live AS (SELECT * FROM log WHERE tomb OR exp=0 OR exp>{NOW}),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM live) WHERE rn=1),
+visible AS (SELECT * FROM newest WHERE NOT tomb),
+pages AS (SELECT *, CAST(floor((r-1)/{K.PAGE_RECORDS}) AS BIGINT) AS page_id, CAST((r-1)%{K.PAGE_RECORDS} AS BIGINT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY seq) r FROM log)),
+probes AS (SELECT c_custkey AS idx, CAST(c_custkey%400 AS VARCHAR) AS key FROM customer),
+heads AS (SELECT CAST(b.range AS INTEGER) AS bucket, h.head_pid FROM range({K.BUCKETS}) b LEFT JOIN (SELECT bucket, max(page_id) head_pid FROM pages GROUP BY 1) h ON b.range=h.bucket)"""
+FRAMES = """frames AS (SELECT CAST(user_id%8 AS VARCHAR) AS stream_id, event_id AS seq, event_id AS lsn,
+  (event_id + ('0x'||substr(md5(CAST(event_id AS VARCHAR)),1,4))::BIGINT % 64)*1000000+event_id AS ord,
+  CASE event_type WHEN 'signup' THEN 6 WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 ELSE 2 END AS rec_type, user_id AS page_id, length(props) AS len, props AS payload FROM events)"""
+IMAGES = """images AS (SELECT p_partkey AS page_id, CASE WHEN p_partkey%5=0 THEN 3 WHEN p_partkey%7=0 THEN NULL WHEN p_partkey%19=0 THEN 9 ELSE 2 END AS page_type, p_partkey*3 AS lsn,
+  p_name||'|'||p_brand||'|'||p_type AS content, CASE WHEN p_partkey%11=0 THEN 'bad checksum' WHEN p_partkey%13=0 THEN 'short read' WHEN p_partkey%17=0 THEN 'tag mismatch' END AS err, p_partkey%23=0 AS zero_crc FROM part)"""
+OBJECTS = """objects AS (SELECT 's'||CAST(doc_id%5 AS VARCHAR) AS snapshot_id, doc_id AS page_id, sha256(text) AS hash_hex, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents)"""
+CAP = overflow.capacity(K.PAGE_SIZE)
+CHUNKS = f"""chunks AS (SELECT doc_id AS chain_id, CAST(i AS BIGINT) AS chunk_no, substring(hex(text), CAST(i*2*{CAP}+1 AS BIGINT), 2*{CAP}) AS h
+  FROM (SELECT doc_id, text, unnest(range(greatest(CAST(ceil(octet_length(encode(text))/{CAP}.0) AS BIGINT),1))) AS i FROM documents WHERE text IS NOT NULL AND octet_length(encode(text))>{K.THRESHOLD}))"""
+
+
+def query(sql: str | None = None, *parts: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+        return f
+
+    return add
+
+
+def long(*names):
+    return [F.col(c).cast("long").alias(c) for c in names]
+
+
+# ---- reads
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible WHERE key='42'", LOG)
+def kv_get(spark, sf):
+    return reads.get(K.ev_log(spark, sf), F.lit("42"), NOW).select("key", "value", "expires_at_sec")
+
+
+@query("SELECT count(*)>0 AS found FROM visible WHERE key='42'", LOG)
+def kv_exists(spark, sf):
+    return reads.exists(K.ev_log(spark, sf), F.lit("42"), NOW)
+
+
+@query("SELECT p.idx, p.key, v.value FROM probes p LEFT JOIN visible v ON p.key=v.key", LOG)
+def kv_get_many(spark, sf):
+    return reads.get_many(K.ev_log(spark, sf), K.probes(spark, sf), NOW)
+
+
+@query("SELECT p.idx, p.key, v.key IS NOT NULL AS found FROM probes p LEFT JOIN visible v ON p.key=v.key", LOG)
+def kv_exists_many(spark, sf):
+    return reads.exists_many(K.ev_log(spark, sf), K.probes(spark, sf), NOW)
+
+
+@query("SELECT idx, key FROM probes WHERE key NOT IN (SELECT key FROM visible)", LOG)
+def kv_missing_many(spark, sf):
+    return reads.missing_many(K.ev_log(spark, sf), K.probes(spark, sf), NOW)
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible", LOG)
+def kv_scan_all(spark, sf):
+    return reads.scan_all(K.ev_log(spark, sf), NOW)
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible WHERE starts_with(key,'1')", LOG)
+def kv_scan_prefix(spark, sf):
+    return reads.scan_prefix(K.ev_log(spark, sf), "1", NOW)
+
+
+@query("SELECT conv_id||'/'||turn AS key, text AS value, CAST(0 AS BIGINT) AS expires_at_sec FROM conversations WHERE role<>'system' AND starts_with(conv_id||'/','1')")
+def kv_scan_prefix_binary(spark, sf):
+    log = K.conv_log(spark, sf).withColumn("key", F.encode("key", "UTF-8"))
+    return reads.scan_prefix(log, b"1", NOW).withColumn("key", F.decode("key", "UTF-8"))
+
+
+@query("SELECT k.key, CASE WHEN n.key IS NULL THEN 'undecided' WHEN n.tomb THEN 'deleted' ELSE 'selected' END AS state FROM (SELECT DISTINCT key FROM log) k LEFT JOIN newest n ON k.key=n.key", LOG)
+def kv_fold_states(spark, sf):
+    return fold.states(K.ev_log(spark, sf), NOW)
+
+
+@query(
+    f"""SELECT k.key, k.page_id, CASE WHEN n.key IS NULL THEN 'continue' WHEN n.tomb THEN 'tombstone' ELSE 'valid' END AS decision
+    FROM (SELECT DISTINCT key, page_id FROM pages) k LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, page_id ORDER BY seq DESC) rn FROM pages WHERE tomb OR exp=0 OR exp>{NOW}) WHERE rn=1) n ON k.key=n.key AND k.page_id=n.page_id""",
+    LOG,
+)
+def kv_decide(spark, sf):
+    return fold.decisions(K.ev_pages(spark, sf), NOW)
+
+
+@query(
+    f"""SELECT key, CASE WHEN NOT tomb THEN page_id END AS page_id, CASE WHEN NOT tomb THEN slot END AS slot, CASE WHEN tomb THEN 'deleted' ELSE 'located' END AS state
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM pages WHERE tomb OR exp=0 OR exp>{NOW}) WHERE rn=1""",
+    LOG,
+)
+def keydir(spark, sf):
+    return reads.keydir(K.ev_pages(spark, sf), NOW)
+
+
+@query("""SELECT key, '{"key_hex":"'||lower(hex(key))||'","value_hex":"'||lower(hex(value))||'","key_len":'||octet_length(encode(key))||',"value_len":'||octet_length(encode(value))||'}' AS line FROM visible""", LOG)
+def scan_json(spark, sf):
+    return reads.scan_json(K.ev_log(spark, sf).transform(fold.visible, NOW))
+
+
+@query(f"SELECT key, value, exp AS expires_at_sec FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM live WHERE lsn<=500) WHERE rn=1 AND NOT tomb", LOG)
+def kv_as_of_lsn(spark, sf):
+    return reads.as_of_lsn(K.ev_log(spark, sf), 500, NOW)
+
+
+# ---- writes
+
+PUT = ["key", "value", "expires_at_sec", "tombstone", "seq"]
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible WHERE key<>'42' UNION ALL SELECT '42', 'new', 0", LOG)
+def kv_put_append(spark, sf):
+    log = K.ev_log(spark, sf).select(PUT)
+    return reads.scan_all(writes.put(log, F.lit("42"), F.lit("new"), 1 << 40), NOW)
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible WHERE key NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)", LOG)
+def kv_del_append(spark, sf):
+    keys = K.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_suppkey").alias("i"))
+    return reads.scan_all(writes.delete(K.ev_log(spark, sf).select(PUT), keys, 1 << 40), NOW)
+
+
+def _ops(spark, sf):
+    """Operations of customers: deletes and puts, several a key."""
+    c = K.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 300).cast("string").alias("key"), F.col("c_name").alias("value"), F.when(F.col("c_custkey") % 7 == 0, "del").otherwise("put").alias("op"), F.lit(0).cast("long").alias("expires_at_sec"))
+
+
+OPS = "ops AS (SELECT c_custkey AS ord, CAST(c_custkey%300 AS VARCHAR) AS key, c_name AS value, c_custkey%7=0 AS tomb FROM customer), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC) rn2 FROM ops) WHERE rn2=1)"
+
+
+@query("SELECT key, value, exp AS expires_at_sec FROM visible WHERE key NOT IN (SELECT key FROM last) UNION ALL SELECT key, value, 0 FROM last WHERE NOT tomb", LOG, OPS)
+def kv_batch_apply(spark, sf):
+    rows = writes.op_rows(_ops(spark, sf), 1 << 40, [F.col("ord")], F.floor(F.col("ord") / writes.BLOCK))
+    return reads.scan_all(writes.appended(K.ev_log(spark, sf).select(PUT), rows), NOW)
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS batch, CAST(i AS BIGINT) AS i, CASE WHEN i=0 THEN 'put' ELSE 'del' END AS op, 'k'||(s_suppkey+i) AS key, CASE WHEN i=0 THEN s_name END AS value FROM supplier, range(2) t(i)")
+def batch_ops_json(spark, sf):
+    s = K.table(spark, sf, "supplier")
+    one = lambda op, key, value: F.struct(F.lit(op).alias("op"), key.alias("key"), value.alias("value"))
+    ops = F.to_json(F.array(one("PUT", F.concat(F.lit("k"), F.col("s_suppkey").cast("string")), F.col("s_name")), one("del", F.concat(F.lit("k"), (F.col("s_suppkey") + 1).cast("string")), F.lit(None).cast("string"))))
+    return writes.parsed_ops(s.select(F.col("s_suppkey").alias("batch"), ops.alias("json"))).select("batch", F.col("i").cast("long").alias("i"), "op", "key", "value")
+
+
+@query("SELECT p_partkey, lower(hex(p_name)) AS value_hex FROM part")
+def decode_value(spark, sf):
+    p = K.table(spark, sf, "part")
+    arg = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("hex:"), F.hex("p_name"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", F.lower(F.hex(S.decode_value(arg))).alias("value_hex"))
+
+
+@query("SELECT CAST(h.bucket AS BIGINT) AS bucket, CASE WHEN u.bucket IS NULL THEN h.head_pid WHEN u.head_pid>=0 THEN u.head_pid END AS head_pid FROM heads h LEFT JOIN (SELECT bucket, max_by(head_pid, ord) head_pid FROM (SELECT s_suppkey ord, s_suppkey%20 AS bucket, CASE WHEN s_suppkey%3=0 THEN -1 ELSE s_suppkey*10 END AS head_pid FROM supplier) GROUP BY 1) u ON h.bucket=u.bucket", LOG)
+def heads_apply(spark, sf):
+    k = F.col("s_suppkey")
+    updates = K.table(spark, sf, "supplier").select(k.alias("ord"), (k % 20).cast("int").alias("bucket"), F.when(k % 3 == 0, F.lit(-1).cast("long")).otherwise(k * 10).alias("head_pid"))
+    return writes.set_heads(K.heads(spark, sf), updates).select(*long("bucket"), "head_pid")
+
+
+@query("SELECT o_orderkey AS page_id, 1000+row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS lsn FROM orders")
+def assign_lsn(spark, sf):
+    rows = K.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderdate")
+    return writes.assign_lsn(rows, 1000, [F.col("o_orderdate"), F.col("page_id")], F.to_date("o_orderdate")).select("page_id", "lsn")
+
+
+# ---- large values
+
+
+@query(f"SELECT doc_id AS chain_id, CAST(octet_length(encode(text)) AS BIGINT) AS value_len, CASE WHEN octet_length(encode(text))>{K.THRESHOLD} THEN 'overflow' ELSE 'inline' END AS placement FROM documents")
+def value_placement(spark, sf):
+    return overflow.placed(K.doc_values(spark, sf), K.THRESHOLD).select("chain_id", "value_len", "placement")
+
+
+def _large(spark, sf):
+    return overflow.placed(K.doc_values(spark, sf), K.THRESHOLD).where("placement = 'overflow'")
+
+
+def _chunks(spark, sf, codec=0):
+    return overflow.chunks(_large(spark, sf), K.PAGE_SIZE, codec)
+
+
+@query("SELECT chain_id, chunk_no, CAST(length(h)//2 AS BIGINT) AS chunk_len, md5(h) AS payload_md5 FROM chunks", CHUNKS)
+def ovf_chunks(spark, sf):
+    return _chunks(spark, sf).select("chain_id", *long("chunk_no", "chunk_len"), F.md5(F.hex("payload")).alias("payload_md5"))
+
+
+@query(f"SELECT doc_id AS chain_id, CAST(octet_length(encode(text)) AS BIGINT) AS total_len, sha256(text) AS hash_hex FROM documents WHERE octet_length(encode(text))>{K.THRESHOLD}")
+def ovf_reassemble(spark, sf):
+    return overflow.reassembled(_chunks(spark, sf)).select("chain_id", "total_len", F.sha2("value", 256).alias("hash_hex"))
+
+
+@query(f"SELECT doc_id AS chain_id, CAST(octet_length(encode(text)) AS BIGINT) AS total_len, sha256(text) AS hash_hex FROM documents WHERE octet_length(encode(text))>{K.THRESHOLD}")
+def ovf_reassemble_zstd(spark, sf):
+    return overflow.reassembled(_chunks(spark, sf, 1), True).select("chain_id", "total_len", F.sha2("value", 256).alias("hash_hex"))
+
+
+@query("SELECT c.chain_id, c.total_len, coalesce(f.n,0)::BIGINT AS found_len FROM (SELECT chain_id, sum(length(h)//2)::BIGINT AS total_len FROM chunks GROUP BY 1) c LEFT JOIN (SELECT chain_id, sum(length(h)//2) n FROM chunks WHERE NOT (chain_id%10=3 AND chunk_no=0) GROUP BY 1) f ON c.chain_id=f.chain_id WHERE c.total_len<>coalesce(f.n,0)", CHUNKS)
+def ovf_bad_length(spark, sf):
+    stated = _large(spark, sf).select("chain_id", F.col("value_len").alias("total_len"))
+    return overflow.bad_lengths(stated, _chunks(spark, sf).where("not (chain_id % 10 = 3 and chunk_no = 0)"))
+
+
+@query("SELECT count(*) AS pages, CAST(sum(length(h)//2) AS BIGINT) AS bytes FROM chunks", CHUNKS)
+def overflow_stats(spark, sf):
+    return stats.overflow_stats(_chunks(spark, sf))
+
+
+# ---- maintenance
+
+REPORT = f"""report AS (SELECT b.bucket, b.n AS old_chain_len, coalesce(k.kept,0)::BIGINT AS keys_kept, coalesce(k.del,0)::BIGINT AS keys_deleted, CAST(ceil(coalesce(k.kept,0)/{K.PAGE_RECORDS}.0) AS BIGINT) AS pages_written
+  FROM (SELECT bucket, count(DISTINCT page_id) n FROM pages GROUP BY 1) b LEFT JOIN (SELECT bucket, count(*) FILTER (NOT tomb) kept, count(*) FILTER (tomb) del FROM newest GROUP BY 1) k ON b.bucket=k.bucket),
+named AS (SELECT DISTINCT l_orderkey AS chain_id FROM lineitem WHERE l_returnflag<>'R'),
+orphans AS (SELECT o_orderkey AS page_id FROM orders WHERE o_orderkey NOT IN (SELECT chain_id FROM named))"""
+
+
+def _reports(spark, sf):
+    return compaction.bucket_reports(K.ev_pages(spark, sf), NOW, K.PAGE_RECORDS)
+
+
+@query("SELECT CAST(bucket AS BIGINT) AS bucket, old_chain_len, keys_kept, keys_deleted, pages_written FROM report", LOG, REPORT)
+def compact_bucket_report(spark, sf):
+    return _reports(spark, sf).select(*long("bucket"), "old_chain_len", "keys_kept", "keys_deleted", "pages_written")
+
+
+SUMMARY = "count(*) AS buckets_compacted, sum(old_chain_len)::BIGINT AS old_chain_len, sum(keys_kept)::BIGINT AS keys_kept, sum(keys_deleted)::BIGINT AS keys_deleted, sum(pages_written)::BIGINT AS pages_written"
+
+
+@query(f"SELECT {SUMMARY} FROM report", LOG, REPORT)
+def compact_all_summary(spark, sf):
+    return compaction.summary(_reports(spark, sf))
+
+
+@query("SELECT CAST(bucket AS BIGINT) AS bucket, key, value, exp AS expires_at_sec FROM visible", LOG)
+def compact_output(spark, sf):
+    return compaction.survivors(K.ev_log(spark, sf), NOW).select(*long("bucket"), "key", "value", "expires_at_sec")
+
+
+def _orphans(spark, sf):
+    """Orders as overflow pages, items as records that name them; returned items are tombstones."""
+    pages = K.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").alias("chain_id"))
+    log = K.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chain_id"), (F.col("l_returnflag") == "R").alias("tombstone"))
+    return compaction.orphans(pages, log).select("page_id")
+
+
+@query("SELECT page_id FROM orphans", LOG, REPORT)
+def sweep_orphans(spark, sf):
+    return _orphans(spark, sf)
+
+
+@query(f"SELECT {SUMMARY}, (SELECT count(*) FROM orphans) AS overflow_pages_freed FROM report", LOG, REPORT)
+def vacuum_summary(spark, sf):
+    return compaction.vacuum(_reports(spark, sf), _orphans(spark, sf))
+
+
+@query("SELECT CAST(bucket AS BIGINT) AS bucket, old_chain_len, keys_kept, keys_deleted, pages_written FROM report WHERE bucket IN (SELECT bucket FROM heads WHERE head_pid IS NOT NULL ORDER BY bucket LIMIT 5)", LOG, REPORT)
+def auto_maint_buckets(spark, sf):
+    return compaction.auto_maintenance(K.ev_pages(spark, sf), K.heads(spark, sf), 5, NOW, K.PAGE_RECORDS).select(*long("bucket"), "old_chain_len", "keys_kept", "keys_deleted", "pages_written")
+
+
+@query("SELECT CAST(bucket AS BIGINT) AS bucket, old_chain_len AS chain_len FROM report WHERE old_chain_len>=20", LOG, REPORT)
+def lazy_compact_candidates(spark, sf):
+    return compaction.long_chains(K.ev_pages(spark, sf), 20).select(*long("bucket"), "chain_len")
+
+
+@query()
+def pack_pages(spark, sf):
+    return compaction.packed(K.ev_log(spark, sf), K.PAGE_SIZE, F.octet_length("key") + F.octet_length("value") + 11)
+
+
+@query()
+def bloom_bits(spark, sf):
+    """Set bits of each bucket's filter over the visible keys: 32768 bits, six probes h1 + i * h2."""
+    keys = reads.scan_all(K.ev_log(spark, sf), NOW).select("key")
+    h1, h2 = F.xxhash64(F.lit(1), "key"), F.xxhash64(F.lit(2), "key").bitwiseOR(F.lit(1))
+    bits = keys.select(S.bucket_of(F.col("key"), K.BUCKETS).alias("bucket"), F.explode(F.array(*(F.pmod(F.shiftright(h1, 1) + F.shiftright(h2, 8) * i, F.lit(32768)) for i in range(6)))).alias("bit"))
+    return bits.distinct()
+
+
+# ---- statistics
+
+
+@query("SELECT count(*) AS buckets, count(head_pid) AS used_buckets FROM heads", LOG)
+def used_buckets(spark, sf):
+    return stats.used_buckets(K.heads(spark, sf))
+
+
+@query("SELECT count(*) AS buckets, min(n)::BIGINT AS min_len, avg(n)::DOUBLE AS avg_len, max(n)::BIGINT AS max_len FROM (SELECT bucket, count(DISTINCT page_id) n FROM pages GROUP BY 1)", LOG)
+def chain_stats(spark, sf):
+    return stats.chain_stats(K.ev_pages(spark, sf))
+
+
+@query("SELECT count(*) AS pages, sum(n)::DOUBLE/count(*) AS avg_records, count(*) FILTER (n=1) AS single_record_pages FROM (SELECT bucket, page_id, count(*) n FROM pages GROUP BY 1,2)", LOG)
+def pack_stats(spark, sf):
+    return stats.pack_stats(K.ev_pages(spark, sf))
+
+
+COUNTERS = "SELECT CAST(l_suppkey AS VARCHAR) AS name, count(*) FILTER (l_returnflag='A') AS hits, count(*) FILTER (l_returnflag='N' AND l_suppkey%3<>0) AS misses, count(*) AS pages, count(*) FILTER (l_linenumber=1 AND l_suppkey%5<>0) AS batches FROM lineitem GROUP BY 1"
+
+
+@query(f"SELECT name, CASE WHEN hits+misses=0 THEN 0 ELSE hits::DOUBLE/(hits+misses) END AS hit_ratio, CASE WHEN batches=0 THEN 0 ELSE pages::DOUBLE/batches END AS avg_batch_pages FROM ({COUNTERS})")
+def ratio_metrics(spark, sf):
+    flag, k = F.col("l_returnflag"), F.col("l_suppkey")
+    rows = K.table(spark, sf, "lineitem").groupBy(k.cast("string").alias("name")).agg(F.count_if(flag == "A").alias("hits"), F.count_if((flag == "N") & (k % 3 != 0)).alias("misses"), F.count("*").alias("pages"), F.count_if((F.col("l_linenumber") == 1) & (k % 5 != 0)).alias("batches"))
+    return stats.ratios(rows)
+
+
+@query("SELECT q, x[1+CAST(round((n-1)*q) AS INTEGER)] AS v FROM (SELECT list_sort(list(value)) x, count(value) n FROM events), (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) q)")
+def latency_percentiles(spark, sf):
+    return nearest_rank(K.table(spark, sf, "events"), "value", [0.5, 0.9, 0.99], F.floor("value"))
+
+
+STATUS = "(SELECT count(DISTINCT key) FROM log) AS keys, (SELECT count(*) FROM log) AS versions, (SELECT count(*) FROM visible) AS visible_keys, (SELECT max(lsn) FROM log) AS last_lsn"
+
+
+def _status(spark, sf):
+    log = K.ev_log(spark, sf)
+    one = log.agg(F.count_distinct("key").alias("keys"), F.count("*").alias("versions"), F.max("lsn").alias("last_lsn")).withColumn("one__", F.lit(1))
+    seen = fold.visible(log, NOW).agg(F.count("*").alias("visible_keys")).withColumn("one__", F.lit(1))
+    return one.join(seen, "one__").select("keys", "versions", "visible_keys", "last_lsn")
+
+
+@query(f"""SELECT '{{"keys":'||keys||',"versions":'||versions||',"visible_keys":'||visible_keys||',"last_lsn":'||last_lsn||'}}' AS status FROM (SELECT {STATUS})""", LOG)
+def status_json(spark, sf):
+    return stats.status_json(_status(spark, sf))
+
+
+@query(f"SELECT unnest(['emberlog_keys '||keys, 'emberlog_last_lsn '||last_lsn, 'emberlog_versions '||versions, 'emberlog_visible_keys '||visible_keys]) AS line FROM (SELECT {STATUS})", LOG)
+def prometheus_text(spark, sf):
+    return stats.prometheus_text(_status(spark, sf))
+
+
+# ---- change shipping
+
+SHIP = ["stream_id", "lsn", "rec_type", "page_id"]
+SHIP_SQL = "stream_id, lsn, rec_type::BIGINT AS rec_type, page_id"
+
+
+def _ship(df):
+    return df.select("stream_id", "lsn", *long("rec_type"), "page_id")
+
+
+@query(f"SELECT {SHIP_SQL} FROM frames WHERE lsn>500", FRAMES)
+def cdc_ship_since(spark, sf):
+    return _ship(cdc.ship_since(K.frames(spark, sf), 500))
+
+
+@query(f"SELECT {SHIP_SQL} FROM frames WHERE lsn>=500", FRAMES)
+def cdc_ship_since_inclusive(spark, sf):
+    return _ship(cdc.ship_since(K.frames(spark, sf), 500, True))
+
+
+@query("SELECT count(*) AS frames, coalesce(sum(len),0)::BIGINT AS bytes, coalesce(max(lsn),0)::BIGINT AS last_lsn FROM frames WHERE lsn>500", FRAMES)
+def cdc_ship_summary(spark, sf):
+    return cdc.ship_summary(cdc.ship_since(K.frames(spark, sf), 500))
+
+
+BLOCK = F.floor(F.col("ord") / F.lit(1_000_000 * 4096))
+
+
+@query("SELECT ord, 77+row_number() OVER (ORDER BY ord) AS seq FROM frames", FRAMES)
+def cdc_seq(spark, sf):
+    return cdc.with_seq(K.frames(spark, sf).drop("seq"), 77, [F.col("ord")], BLOCK).select("ord", "seq")
+
+
+GATED = "gated AS (SELECT *, greatest(coalesce(max(seq) OVER (PARTITION BY stream_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100), 100) AS top FROM frames)"
+
+
+@query("SELECT stream_id, ord, seq FROM gated WHERE seq>top", FRAMES, GATED)
+def cdc_seq_gate(spark, sf):
+    return cdc.seq_gate(K.frames(spark, sf), 100, BLOCK, ["stream_id"]).select("stream_id", "ord", "seq")
+
+
+@query("SELECT stream_id, ord, seq FROM gated WHERE seq<=top", FRAMES, GATED)
+def cdc_seq_violations(spark, sf):
+    return cdc.violations(K.frames(spark, sf), 100, BLOCK, ["stream_id"]).select("stream_id", "ord", "seq")
+
+
+@query("SELECT page_id, lsn, payload FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lsn//10 DESC, ord) rn FROM frames WHERE rec_type=2) WHERE rn=1", FRAMES)
+def cdc_apply_pages(spark, sf):
+    rows = K.frames(spark, sf).where("rec_type = 2").withColumn("own", F.col("lsn")).withColumn("lsn", F.expr("lsn div 10"))
+    top = cdc.applied_pages(rows.withColumn("payload", F.struct("own", "payload")))
+    return top.select("page_id", F.col("payload.own").alias("lsn"), F.col("payload.payload").alias("payload"))
+
+
+def _heads_frames(spark, sf):
+    """Heads payloads of 12-byte entries built from orders; every ninth has a wrong length."""
+    o = K.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    le = lambda c, n: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * (n - 1 - i) + 1, 2) for i in range(n))))
+    entry = lambda b, p: F.concat(le(b, 4), le(p, 8))
+    two = F.concat(entry(k % 16, k), entry(k % 16 + 1, k + 1))
+    payload = F.when(k % 9 == 0, F.substring(two, 1, 11)).otherwise(two)
+    late = F.pmod(F.conv(F.substring(F.md5(k.cast("string")), 1, 4), 16, 10).cast("long"), F.lit(32))
+    return o.select(k.alias("lsn"), ((k + late) * 1000000 + k).alias("ord"), payload.alias("payload"))
+
+
+HEADS_SQL = "hf AS (SELECT o_orderkey AS lsn, (o_orderkey + ('0x'||substr(md5(CAST(o_orderkey AS VARCHAR)),1,4))::BIGINT % 32)*1000000+o_orderkey AS ord FROM orders), ok AS (SELECT *, greatest(coalesce(max(lsn) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),10),10) AS top FROM hf WHERE lsn%9<>0)"
+
+
+@query("SELECT bucket, max_by(head_pid, o2) AS head_pid FROM (SELECT lsn%16+i AS bucket, lsn+i AS head_pid, ord*2+i AS o2 FROM ok, range(2) t(i) WHERE lsn>top) GROUP BY 1", HEADS_SQL)
+def cdc_apply_heads(spark, sf):
+    return cdc.applied_heads(_heads_frames(spark, sf), 10, BLOCK).select(*long("bucket"), "head_pid")
+
+
+@query("SELECT lsn, 11::BIGINT AS n FROM hf WHERE lsn%9=0", HEADS_SQL)
+def cdc_bad_heads(spark, sf):
+    return cdc.bad_heads(_heads_frames(spark, sf)).select("lsn", F.octet_length("payload").cast("long").alias("n"))
+
+
+@query("SELECT stream_id, ord FROM frames WHERE stream_id<>'3'", FRAMES)
+def cdc_foreign_frames(spark, sf):
+    return cdc.foreign(K.frames(spark, sf), "3").select("stream_id", "ord")
+
+
+@query("SELECT stream_id, ord, (b IS NULL OR b=5) AS skipped FROM (SELECT *, lag(rec_type) OVER (PARTITION BY stream_id ORDER BY ord) b FROM (SELECT stream_id, ord, CASE rec_type WHEN 4 THEN 0 ELSE rec_type END AS rec_type FROM frames)) WHERE rec_type=0", FRAMES)
+def wal_midheader(spark, sf):
+    rows = K.frames(spark, sf).withColumn("rec_type", F.when(F.col("rec_type") == 4, 0).otherwise(F.col("rec_type")))
+    return cdc.mid_headers(rows)
+
+
+@query(
+    """SELECT page_id, lsn, payload FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lsn DESC, ord) rn FROM
+    (SELECT page_id, lsn, ord, payload FROM frames WHERE rec_type=2 UNION ALL SELECT c_custkey%200, 300, -1, c_name FROM customer WHERE c_custkey<=200)) WHERE rn=1""",
+    FRAMES,
+)
+def wal_replay_state(spark, sf):
+    current = K.table(spark, sf, "customer").where("c_custkey <= 200").select((F.col("c_custkey") % 200).alias("page_id"), F.lit(300).cast("long").alias("lsn"), F.col("c_name").alias("payload"))
+    return cdc.replayed(K.frames(spark, sf), current).select("page_id", "lsn", "payload")
+
+
+@query("SELECT stream_id, max(lsn) AS last_lsn, max(lsn) FILTER (rec_type=6) AS last_heads_lsn, count(*) AS frames FROM frames GROUP BY 1", FRAMES)
+def cdc_progress(spark, sf):
+    return cdc.progress(K.frames(spark, sf), ["stream_id"])
+
+
+@query()
+def cdc_mac_ok(spark, sf):
+    """Frames whose MAC under a shared secret holds; every tenth is forged."""
+    rows = K.frames(spark, sf).select("stream_id", "seq", F.encode(F.concat_ws("|", F.col("seq").cast("string"), "payload"), "UTF-8").alias("body"))
+    mac = S.hmac_sha256(b"a shared secret!")
+    sent = rows.withColumn("mac", F.when(F.col("seq") % 10 == 0, F.sha2("body", 256).cast("binary")).otherwise(mac("body")))
+    return sent.select("stream_id", "seq", (mac("body") == F.col("mac")).alias("mac_ok"))
+
+
+# ---- snapshots
+
+
+@query("SELECT page_id, sha256(content) AS hash_hex FROM images", IMAGES)
+def content_hash(spark, sf):
+    return K.page_images(spark, sf).select("page_id", F.sha2("content", 256).alias("hash_hex"))
+
+
+@query("SELECT page_id, sha256(content) AS hash_hex, CAST(octet_length(encode(content)) AS BIGINT) AS bytes FROM images WHERE err IS NULL", IMAGES)
+def snap_manifest_objects(spark, sf):
+    return snapshots.objects_of(K.page_images(spark, sf))
+
+
+@query("SELECT ord, hash_hex, n>1 AS existed_before, n AS refcount FROM (SELECT ord, hash_hex, row_number() OVER (PARTITION BY hash_hex ORDER BY ord) n FROM (SELECT event_id AS ord, sha256(props) AS hash_hex FROM events))")
+def snap_put_trace(spark, sf):
+    return snapshots.put_trace(K.table(spark, sf, "events").select(F.col("event_id").alias("ord"), F.col("props").alias("content")))
+
+
+@query("SELECT DISTINCT sha256(props) AS hash_hex, CAST(octet_length(encode(props)) AS BIGINT) AS bytes FROM events")
+def snap_dedup(spark, sf):
+    return snapshots.deduplicated(K.table(spark, sf, "events").select(F.col("props").alias("content")))
+
+
+@query("SELECT hash_hex, count(*) AS refcount FROM objects GROUP BY 1", OBJECTS)
+def snap_refcounts(spark, sf):
+    return snapshots.refcounts(K.manifest_objects(spark, sf))
+
+
+@query("SELECT DISTINCT snapshot_id FROM objects", OBJECTS)
+def snap_list(spark, sf):
+    return snapshots.listed(K.manifest_objects(spark, sf))
+
+
+@query("SELECT DISTINCT hash_hex FROM objects WHERE snapshot_id='s3' AND hash_hex NOT IN (SELECT hash_hex FROM objects WHERE snapshot_id<>'s3')", OBJECTS)
+def snap_gc(spark, sf):
+    return snapshots.collectable(K.manifest_objects(spark, sf), "s3")
+
+
+@query("SELECT page_id, hash_hex, md5(text) AS content_md5 FROM objects JOIN documents ON page_id=doc_id WHERE snapshot_id='s2'", OBJECTS)
+def snap_restore(spark, sf):
+    d = K.table(spark, sf, "documents")
+    store = d.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("hash_hex"), F.encode("text", "UTF-8").alias("content")).dropDuplicates(["hash_hex"])
+    return snapshots.restored(K.manifest_objects(spark, sf), store, "s2").select("page_id", "hash_hex", F.md5("content").alias("content_md5"))
+
+
+# ---- integrity
+
+
+@query(
+    """SELECT count(*) AS pages_total, count(*) FILTER (s='ok') AS ok_pages, count(*) FILTER (zero_crc) AS zero_checksum, count(*) FILTER (s='crc') AS crc_fail, count(*) FILTER (s='io') AS io_fail,
+    count(*) FILTER (s='ok' AND page_type=2) AS kv_pages, count(*) FILTER (s='ok' AND page_type=3) AS overflow_pages, count(*) FILTER (s='ok' AND page_type=9) AS other_magic, count(*) FILTER (s='ok' AND page_type IS NULL) AS no_magic
+    FROM (SELECT *, CASE WHEN zero_crc THEN 'zero' WHEN err IS NULL THEN 'ok' WHEN err='short read' THEN 'io' ELSE 'crc' END AS s FROM images)""",
+    IMAGES,
+)
+def doctor_report(spark, sf):
+    return integrity.doctor(K.page_images(spark, sf))
+
+
+@query("SELECT coalesce(page_type,0)::BIGINT AS page_type, count(*) AS pages, max(lsn) AS last_lsn, sum(octet_length(encode(content)))::BIGINT AS bytes FROM images GROUP BY 1", IMAGES)
+def page_inventory(spark, sf):
+    return integrity.inventory(K.page_images(spark, sf)).select(*long("page_type"), "pages", "last_lsn", "bytes")
+
+
+@query("SELECT page_id, CASE WHEN page_id%2=0 AND lsn>=900 THEN 'tag' WHEN err IS NULL AND lsn<900 THEN 'crc' ELSE 'none' END AS trust FROM images", IMAGES)
+def page_trust(spark, sf):
+    return K.page_images(spark, sf).select("page_id", integrity.trusted(F.col("page_id") % 2 == 0, F.col("ok"), F.col("lsn"), F.lit(900)).alias("trust"))
+
+
+@query("SELECT i.page_id, (SELECT 'k'||max(s_suppkey) FROM supplier WHERE s_suppkey*40<=i.lsn) AS kid FROM images i", IMAGES)
+def epoch_of_lsn(spark, sf):
+    epochs = K.table(spark, sf, "supplier").select((F.col("s_suppkey") * 40).alias("since_lsn"), F.concat(F.lit("k"), F.col("s_suppkey").cast("string")).alias("kid"))
+    return integrity.epoch_of(K.page_images(spark, sf).select("page_id", "lsn"), epochs).select("page_id", "kid")
+
+
+@query("SELECT o_orderkey AS page_id, (o_orderkey*4096)//33554432 AS segment, (o_orderkey*4096)%33554432 AS \"offset\" FROM orders")
+def page_location(spark, sf):
+    return K.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), S.page_location(F.col("o_orderkey"), 4096).alias("at")).select("page_id", "at.segment", "at.offset")
+
+
+@query("SELECT p_partkey, bit_count(p_partkey*64)=1 AND p_partkey*64 BETWEEN 4096 AND 1048576 AS valid FROM part")
+def page_size_valid(spark, sf):
+    return K.table(spark, sf, "part").select("p_partkey", S.page_size_valid(F.col("p_partkey") * 64).alias("valid"))
+
+
+@query()
+def page_crc(spark, sf):
+    return K.page_images(spark, sf).select("page_id", S.crc32c(F.encode("content", "UTF-8")).alias("crc32c"))
+
+
+@query()
+def key_hash(spark, sf):
+    """XXH64 (seed 0) of keys and the eight-bit fingerprint in it."""
+    return K.ev_log(spark, sf).select("key").distinct().withColumn("xxh64", S.xxh64_hex(F.encode("key", "UTF-8"))).withColumn("fingerprint", F.conv(F.substring("xxh64", 15, 2), 16, 10).cast("int"))
+
+
+@query()
+def aead_tag(spark, sf):
+    """Tags of page images under a fixed key; the nonce is the low 48 bits of page id and LSN."""
+    low = lambda c: F.lpad(F.hex(c), 12, "0")
+    nonce = F.unhex(F.concat(low("page_id"), low("lsn")))
+    page = F.encode("content", "UTF-8")
+    tag = S.gcm_tag(page, F.unhex(F.lit("11" * 32)), nonce, F.concat(F.encode(F.lit("P2AEAD01"), "UTF-8"), F.substring(page, 1, 16)))
+    return K.page_images(spark, sf).select("page_id", F.lower(F.hex(tag)).alias("tag"))
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
