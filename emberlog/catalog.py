@@ -375,12 +375,16 @@ def cdc_ship_summary(spark, sf):
     return cdc.ship_summary(cdc.ship_since(K.frames(spark, sf), 500))
 
 
-BLOCK = F.floor(F.col("ord") / F.lit(1_000_000 * 4096))
+BLOCK = 1_000_000 * 4096
+
+
+def _block():
+    return F.floor(F.col("ord") / F.lit(BLOCK))
 
 
 @query("SELECT ord, 77+row_number() OVER (ORDER BY ord) AS seq FROM frames", FRAMES)
 def cdc_seq(spark, sf):
-    return cdc.with_seq(K.frames(spark, sf).drop("seq"), 77, [F.col("ord")], BLOCK).select("ord", "seq")
+    return cdc.with_seq(K.frames(spark, sf).drop("seq"), 77, [F.col("ord")], _block()).select("ord", "seq")
 
 
 GATED = "gated AS (SELECT *, greatest(coalesce(max(seq) OVER (PARTITION BY stream_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100), 100) AS top FROM frames)"
@@ -388,12 +392,12 @@ GATED = "gated AS (SELECT *, greatest(coalesce(max(seq) OVER (PARTITION BY strea
 
 @query("SELECT stream_id, ord, seq FROM gated WHERE seq>top", FRAMES, GATED)
 def cdc_seq_gate(spark, sf):
-    return cdc.seq_gate(K.frames(spark, sf), 100, BLOCK, ["stream_id"]).select("stream_id", "ord", "seq")
+    return cdc.seq_gate(K.frames(spark, sf), 100, _block(), ["stream_id"]).select("stream_id", "ord", "seq")
 
 
 @query("SELECT stream_id, ord, seq FROM gated WHERE seq<=top", FRAMES, GATED)
 def cdc_seq_violations(spark, sf):
-    return cdc.violations(K.frames(spark, sf), 100, BLOCK, ["stream_id"]).select("stream_id", "ord", "seq")
+    return cdc.violations(K.frames(spark, sf), 100, _block(), ["stream_id"]).select("stream_id", "ord", "seq")
 
 
 @query("SELECT page_id, lsn, payload FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lsn//10 DESC, ord) rn FROM frames WHERE rec_type=2) WHERE rn=1", FRAMES)
@@ -420,7 +424,7 @@ HEADS_SQL = "hf AS (SELECT o_orderkey AS lsn, (o_orderkey + ('0x'||substr(md5(CA
 
 @query("SELECT bucket, max_by(head_pid, o2) AS head_pid FROM (SELECT lsn%16+i AS bucket, lsn+i AS head_pid, ord*2+i AS o2 FROM ok, range(2) t(i) WHERE lsn>top) GROUP BY 1", HEADS_SQL)
 def cdc_apply_heads(spark, sf):
-    return cdc.applied_heads(_heads_frames(spark, sf), 10, BLOCK).select(*long("bucket"), "head_pid")
+    return cdc.applied_heads(_heads_frames(spark, sf), 10, _block()).select(*long("bucket"), "head_pid")
 
 
 @query("SELECT lsn, 11::BIGINT AS n FROM hf WHERE lsn%9=0", HEADS_SQL)
