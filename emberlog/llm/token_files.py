@@ -17,6 +17,8 @@ pyarrow.fs can open (file:, hdfs:, s3:, gs:).
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 import zlib
 from array import array
@@ -32,12 +34,20 @@ from emberlog.llm import common as C
 LENGTH, END = 2048, 1
 #: Sequences of one record batch, and words that are kept with their ids.
 BATCH_SEQUENCES, KEPT_WORDS = 256, 400_000
-#: Bytes of text that one shard holds, about.
-SHARD_BYTES = 24_000_000
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SAME} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SAME)}
+#: Bytes of one shard's documents as Catalyst estimates them (no job is run for it), and the most shards.
+SHARD_BYTES, MOST_SHARDS = 16_000_000, 100_000
 
 
-class WordEncoder:
-    """Little-endian ids of texts, by words that are encoded once."""
+class WordEncoder(dict):
+    """Little-endian ids of words, each encoded when it is first met; ids() joins them to those of texts.
+
+    A plain word (Latin letters, perhaps a closing mark) is one piece to the pre-tokenizer, or a piece and its mark, in
+    composed form already; so the library's model is asked for it directly. All else goes through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_file: str, dtype: str = "<u2", kept: int = KEPT_WORDS):
         import os
@@ -46,46 +56,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.dtype, self.kept = dtype, kept
-        self.known: dict[str, bytes] = {}
-
-    def split_mark(self, word: str) -> tuple[str, str]:
-        """(stem in lower case, closing mark): a letter and a mark are never of one piece, and case is dropped anyway.
-
-        Words that could hold a special string, and those beyond ASCII, keep their case.
-        """
-        if "<" in word:
-            return word, ""
-        mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha() else ""
-        stem = word[:-1] if mark else word
-        return (stem.lower() if stem.isascii() else stem), mark
-
-    def learn(self, words: set[str]) -> None:
-        pairs = {w: self.split_mark(w) for w in words}
-        stems = {s for s, _ in pairs.values()} | {m for _, m in pairs.values() if m}
-        new = [s for s in stems if s not in self.known]
-        code = self.dtype[1:] == "u2" and "H" or "I"
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = array(code, e.ids).tobytes()
-        for w, (s, m) in pairs.items():
-            self.known[w] = self.known[s] + self.known[m] if m else self.known[s]
+        self.model = self.tokenizer.model
+        self.code, self.kept = "H" if dtype[1:] == "u2" else "I", kept
+        self.stems: dict[str, bytes] = {}
+
+    def stem(self, stem: str) -> bytes:
+        found = self.stems.get(stem)
+        if found is None:
+            own = stem if stem.isascii() else "".join(map(BYTE_CHARS.__getitem__, stem.encode()))
+            found = self.stems[stem] = array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        m = PLAIN.fullmatch(word)
+        if m is None:
+            found = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            found = self.stem(m[1].lower()) + self.stem(m[2]) if m[2] else self.stem(m[1].lower())
+        self[word] = found
+        return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        if len(self.known) > self.kept:  # what this batch needs stays
-            self.known = {w: self.known[w] for w in need if w in self.known}
-        self.learn(need.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self) > self.kept:
+            self.clear()
+        if len(self.stems) > 2 * self.kept:
+            self.stems = {}
+        get = self.__getitem__
+        return [b"".join(map(get, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str, dtype: str) -> WordEncoder:
+    """One encoder a Python worker, so that its words outlast a task."""
+    return WordEncoder(tokenizer_file, dtype)
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int = LENGTH, end: int = END, shards: int | None = None) -> DataFrame:
     """Writes the shards and returns (shard, path, n_tokens, n_docs), one row each."""
     docs = C.first_with_text(docs)
     if shards is None:
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-size // SHARD_BYTES))
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        shards = min(MOST_SHARDS, max(1, -(-size // SHARD_BYTES)))
     dtype = "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +122,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int
                 data.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
             for b in batches:
-                encoder = encoder or WordEncoder(tokenizer_file, dtype)
+                encoder = encoder or encoder_of(tokenizer_file, dtype)
                 ids = [x + last for x in encoder.ids(b.column(1).to_pylist())]
                 counts = np.array([len(x) for x in ids], np.int64) // np.dtype(dtype).itemsize
                 starts = total + np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(ids) else counts
