@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from emberlog.llm import common as C
 
 LONG, MOST_LINKS, ENOUGH_STOPS = 70, 0.5, 0.15
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A tag's attributes end at the first `>` outside quotes, or where quotes are not balanced, at the first `>`; no backtracking.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s></]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*+>)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -94,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), m[1] == "/"
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not m[3].endswith("/>"):
                 stop = low.find(f"</{tag}", at)
                 at = len(page) if stop < 0 else stop
                 parts.append(" ")
@@ -110,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in HEADINGS:
             heading = not closing
         in_link = 0
-        if tag in VOID or tag in HEADINGS or tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and not m[3]:
+        if tag in VOID or tag in HEADINGS or tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and m[3] == ">":
             continue
         if closing:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
