@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from emberlog.llm import common as C
-from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
+from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, oracle, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
 
 
 def op1_toxicity(spark, sf_dir):
@@ -75,4 +75,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.SQL)

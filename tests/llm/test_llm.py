@@ -411,3 +411,18 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert docs.where("not round_trip").count() == 0
     assert {r.doc_id for r in cp.run(spark, SF).collect()} == seen
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_sql(spark, name):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"create view {t[:-8]} as select * from '{SF}/{t}'")
+    found = con.execute(registry.oracle_sql()[name])
+    cols = [c[0] for c in found.description]
+    df = registry.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(found.fetchall())
