@@ -40,7 +40,8 @@ from emberlog.llm import common as C
 SPACE = "▁"
 #: Words that go through the relations and are broadcast with their ids: about 20 MB at most.
 HEAD, LONGEST = 60_000, 24
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
+NO_EDGE = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
 
@@ -54,7 +55,7 @@ class Pieces:
     first_byte: int | None
     longest: int
     head: dict[str, bytes] = field(default_factory=dict)
-    known: dict[str, bytes] = field(default_factory=dict)
+    known: Words | None = None
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -83,6 +84,25 @@ class Pieces:
 
     def fold(self, word: str) -> bytes:
         """Ids of one word: the best edge over two neighbours, leftmost of equals, until none is left."""
+        if len(word) > LONGEST:
+            return self.spelled(self.merged_long(word))
+        symbols, get = list(word), self.scores.get
+        best = [get(a + b, NO_EDGE) for a, b in zip(symbols, word[1:])]
+        while best:
+            top = max(best)
+            if top == NO_EDGE:
+                break
+            i = best.index(top)
+            symbols[i] += symbols.pop(i + 1)
+            del best[i]
+            if i:
+                best[i - 1] = get(symbols[i - 1] + symbols[i], NO_EDGE)
+            if i < len(best):
+                best[i] = get(symbols[i] + symbols[i + 1], NO_EDGE)
+        return self.spelled(symbols)
+
+    def merged_long(self, word: str) -> list[str]:
+        """The same for long words, with a queue of edges and linked symbols."""
         scores, n = self.scores, len(word)
         nexts, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(-scores[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in scores]
@@ -107,20 +127,36 @@ class Pieces:
         while i < n:
             symbols.append(word[i : nexts[i]])
             i = nexts[i]
-        return self.spelled(symbols)
+        return symbols
 
     def of(self, words: list[str]) -> bytes:
         """Ids of a text's words: from the broadcast lattice, else kept, else folded here."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        for w in set(words).difference(self.head).difference(self.known):
-            self.known[w] = self.fold(w)
-        head, known = self.head, self.known
-        return b"".join([head[w] if w in head else known[w] for w in words])
+        if self.known is None or len(self.known) > len(self.head) + KEPT_WORDS:
+            self.known = Words(self)
+        return b"".join(map(self.known.__getitem__, words))
+
+
+class Words(dict):
+    """Ids of words; one that is met first is folded and kept. Begins with the broadcast ones."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__(pieces.head)
+        self[""] = b""
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.pieces.fold(word)
+        return found
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((" " + text).replace(" ", SPACE)) if text else []
+    """Words, with empty strings between some; texts without runs of spaces are split without a pattern."""
+    if not text:
+        return []
+    text = " " + text
+    if "  " in text or SPACE in text or "\0" in text:
+        return WORD.findall(text.replace(" ", SPACE))
+    return text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE).split("\0")
 
 
 def frequent_words(docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -131,7 +167,7 @@ def frequent_words(docs: DataFrame, head: int = HEAD) -> DataFrame:
             counts: Counter = Counter()
             for t in b.column(0).to_pylist():
                 counts.update(words_of(t))
-            found = [(w, n) for w, n in counts.items() if n > 1 and len(w) <= LONGEST]
+            found = [(w, n) for w, n in counts.items() if n > 1 and 0 < len(w) <= LONGEST]
             yield pa.record_batch([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
 
     C.small_batches(docs.sparkSession)
