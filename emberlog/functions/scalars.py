@@ -133,3 +133,20 @@ def prefix_predicate(key: Column, prefix: bytes) -> Column:
     end = prefix_end(prefix)
     at_least = key >= F.lit(bytearray(prefix))
     return at_least if end is None else at_least & (key < F.lit(bytearray(end)))
+
+
+def wrapped_key(key: Column, kek: Column, nonce: Column) -> Column:
+    """A data key sealed under a key-encryption key (AES-GCM; nonce, ciphertext and tag in one value)."""
+    return F.aes_encrypt(key, kek, F.lit("GCM"), F.lit("DEFAULT"), nonce)
+
+
+def unwrapped_key(sealed: Column, kek: Column) -> Column:
+    """The data key; a wrong key or a changed value is an error."""
+    return F.aes_decrypt(sealed, kek, F.lit("GCM"), F.lit("DEFAULT"))
+
+
+def hex_lines(value: Column, width: int = 16) -> Column:
+    """A hex dump: an array of lines of `width` bytes, each byte followed by a space but the last."""
+    n = F.ceil(F.octet_length(value) / F.lit(width)).cast("int")
+    line = lambda i: F.trim(F.regexp_replace(F.lower(F.hex(F.substring(value, i * width + 1, F.lit(width)))), "(..)", "$1 "))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), line)).otherwise(F.array().cast("array<string>"))

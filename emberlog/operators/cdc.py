@@ -99,3 +99,16 @@ def progress(frames: DataFrame, by: list[str]) -> DataFrame:
 def replayed(frames: DataFrame, current: DataFrame) -> DataFrame:
     """Page state after a crash: images are gated by LSN, a commit record is not required."""
     return applied_pages(frames.where(F.col("rec_type") == IMAGE), current)
+
+
+def oversized(frames: DataFrame, page_size: int, buckets: int) -> DataFrame:
+    """Frames above the largest that a sound stream can hold."""
+    cap = min(28 + max(page_size, buckets * HEAD_ENTRY) + (64 << 10), 32 << 20)
+    return frames.where(F.octet_length("payload") > cap)
+
+
+def without_hello(frames: DataFrame, header_len: int = 16) -> DataFrame:
+    """Streams whose first frame is not the log's header."""
+    first = frames.groupBy("stream_id").agg(F.min_by("payload", "ord").alias("first"))
+    magic = F.substring(F.col("first"), 1, 8) == F.encode(F.lit("P2WAL001"), "UTF-8")
+    return first.where(~((F.octet_length("first") == header_len) & magic)).select("stream_id")

@@ -1,6 +1,10 @@
 import pytest
 
-from emberlog.sources import wal
+from pyspark.sql import functions as F
+
+from emberlog.functions import scalars as S
+from emberlog.operators import cdc, fold, integrity, overflow
+from emberlog.sources import pages, wal
 from emberlog.streaming import apply
 
 
@@ -40,3 +44,40 @@ def test_streamed_seq_gate(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.seq for r in spark.table("gate").collect()) == [6, 7, 9, 10]
+
+
+def test_page_sources(spark, tmp_path):
+    pages.register(spark)
+    size = 4096
+    big = bytes(range(256)) * 20
+    cap = size - 80
+    placeholder = b"\x01\x10" + len(big).to_bytes(8, "little") + (1).to_bytes(8, "little")
+    old = pages.kv_page(0, [(b"a", b"1", 0, False), (b"a", b"2", 0, False), (b"b", b"x", 0, False), (b"big", placeholder, 0, False)], size, 1)
+    new = pages.kv_page(3, [(b"b", b"", 0, True), (b"c", b"3", 5, False)], size, 4, 0)
+    broken = bytearray(pages.overflow_page(4, b"z", size))
+    broken[70] ^= 1
+    data = [old, pages.overflow_page(1, big[:cap], size, 2, 2), pages.overflow_page(2, big[cap:], size, 3), new, bytes(broken), bytes(size)]
+    (tmp_path / "data-000001.p2seg").write_bytes(b"".join(data))
+    read = lambda kind: spark.read.format(kind).option("page_size", size).load(str(tmp_path))
+    report = integrity.doctor(read("kvpages")).first()
+    assert (report.pages_total, report.ok_pages, report.crc_fail, report.zero_checksum) == (6, 4, 1, 1)
+    assert (report.kv_pages, report.overflow_pages) == (2, 2)
+    log = read("kvrecords").withColumn("seq", F.col("lsn") * 1000 + F.col("slot"))
+    seen = {bytes(r.key): r for r in fold.visible(log, 10).collect()}
+    assert set(seen) == {b"a", b"big"} and bytes(seen[b"a"].value) == b"2" and seen[b"big"].ovf.chain_id == 1
+    parts = read("kvpages").where("page_type = 3 and ok").select(F.lit(1).alias("chain_id"), F.col("page_id").alias("chunk_no"), "codec_id", F.expr("substring(bytes, 65, chunk_len)").alias("payload"))
+    assert bytes(overflow.reassembled(parts).first().value) == big
+    (tmp_path / "dir-000").write_bytes(pages.directory_bytes([3, None]))
+    heads = spark.read.format("kvdirectory").load(str(tmp_path / "dir-000")).collect()
+    assert [(r.bucket, r.head_pid) for r in heads] == [(0, 3), (1, None)]
+    with pytest.raises(ValueError):
+        pages.kv_page(0, [(b"k", b"v" * 5000, 0, False)], size)
+
+
+def test_stream_guards_and_keys(spark):
+    frames = spark.createDataFrame([("a", 0, bytearray(wal.header(1))), ("a", 1, bytearray(b"x" * 90_000)), ("b", 0, bytearray(b"data"))], "stream_id string, ord long, payload binary")
+    assert [r.stream_id for r in cdc.without_hello(frames).collect()] == ["b"]
+    assert [r.ord for r in cdc.oversized(frames, 4096, 16).collect()] == [1]
+    key, kek, nonce = bytearray(b"k" * 32), bytearray(b"e" * 32), bytearray(b"n" * 12)
+    row = spark.range(1).select(S.unwrapped_key(S.wrapped_key(F.lit(key), F.lit(kek), F.lit(nonce)), F.lit(kek)).alias("k"), S.hex_lines(F.lit(bytearray(range(18)))).alias("h")).first()
+    assert bytes(row.k) == bytes(key) and row.h == ["00 01 02 03 04 05 06 07 08 09 0a 0b 0c 0d 0e 0f", "10 11"]
