@@ -24,12 +24,12 @@ def get_many(log: DataFrame, probes: DataFrame, now: int) -> DataFrame:
 
     Only records of probed keys are ranked; Spark broadcasts the probes if they are small.
     """
-    asked = log.join(probes.select("key").distinct(), "key", "left_semi")
+    asked = log.join(probes.select("key"), "key", "left_semi")
     return probes.join(visible(asked, now).select("key", "value"), "key", "left").select("idx", "key", "value")
 
 
 def exists_many(log: DataFrame, probes: DataFrame, now: int) -> DataFrame:
-    asked = log.select("key", "expires_at_sec", "tombstone", "seq").join(probes.select("key").distinct(), "key", "left_semi")
+    asked = log.select("key", "expires_at_sec", "tombstone", "seq").join(probes.select("key"), "key", "left_semi")
     found = visible(asked, now).select("key", F.lit(True).alias("found"))
     return probes.join(found, "key", "left").select("idx", "key", F.coalesce("found", F.lit(False)).alias("found"))
 
