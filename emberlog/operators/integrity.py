@@ -54,3 +54,8 @@ def valid_epochs(epochs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return epochs.withColumn("before", F.lag("since_lsn").over(Window.orderBy("ord"))).where("before >= since_lsn")
+
+
+def last_keys(entries: DataFrame) -> DataFrame:
+    """(kid, wrapped) of a key ring (ord, kid, wrapped): the last entry of each key id wins."""
+    return entries.groupBy("kid").agg(F.max_by("wrapped", "ord").alias("wrapped"))

@@ -64,3 +64,8 @@ def keydir(log: DataFrame, now: int) -> DataFrame:
 
 def as_of_lsn(log: DataFrame, lsn: int, now: int) -> DataFrame:
     return scan_all(log.where(F.col("lsn") <= lsn), now)
+
+
+def stream(rows: DataFrame):
+    """An iterator over pairs, a partition at a time in the driver; for callbacks on executors use foreachPartition."""
+    return rows.toLocalIterator(prefetchPartitions=True)

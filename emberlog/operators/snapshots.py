@@ -52,3 +52,8 @@ def restored(manifest_objects: DataFrame, store: DataFrame, snapshot_id: str) ->
     found = wanted.join(store.select("hash_hex", "content"), "hash_hex", "left")
     content = F.when(F.col("content").isNotNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("object missing: "), F.col("hash_hex"))))
     return found.select("page_id", "hash_hex", content.alias("content"))
+
+
+def sizes(store: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash_hex, bytes) of asked objects, null for those that the store lacks."""
+    return hashes.join(store.select("hash_hex", F.octet_length("content").cast("long").alias("bytes")), "hash_hex", "left")

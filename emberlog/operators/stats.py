@@ -42,3 +42,9 @@ def prometheus_text(one_row: DataFrame, prefix: str = "emberlog_") -> DataFrame:
     """One line a counter, names in alphabetical order."""
     lines = [F.concat(F.lit(f"{prefix}{c} "), F.col(c).cast("string")) for c in sorted(one_row.columns)]
     return one_row.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def stored_bytes(spark, path: str, pattern: str = "*") -> DataFrame:
+    """Files and bytes under a path; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("length")
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

@@ -54,3 +54,24 @@ def test_compaction_snapshots_and_shipping(spark, tmp_path):
     assert s.vacuum() == [1] and content(s.scan(NOW)) == before
     with pytest.raises(KeyError):
         s.inspect(snap)
+
+
+def test_command_line(spark, tmp_path):
+    from emberlog.__main__ import parser, run
+
+    def call(*words):
+        said = []
+        code = run(spark, parser().parse_args([f"file://{tmp_path}/s", "--now", "1000", *words]), said.append)
+        return code, said
+
+    assert call("init", "--buckets", "4") == (0, []) and call("init") == (0, ["exists already"])
+    assert call("put", "--key", "a", "--value", "hex:00ff")[0] == 0
+    assert call("batch", "--ops", '[{"op":"put","key":"b","value":"2"}]') == (0, ['{"lsn": 2}'])
+    assert call("get", "--key", "b") == (0, ["2"]) and call("get", "--key", "z") == (1, ["NOT FOUND"])
+    assert call("scan", "--prefix", "a")[1] == ['{"key_hex":"61","value_hex":"00ff","key_len":1,"value_len":2}']
+    code, (snap,) = call("snapshot-create", "--message", "m")
+    assert call("del", "--key", "b") == (0, ["DELETED"]) and call("exists", "--key", "b") == (1, ["NOT FOUND"])
+    assert call("snapshot-restore", "--id", snap, "--to", f"file://{tmp_path}/r")[0] == 0
+    assert call("compact")[1] == ['{"generation": 2}'] and len(call("report")[1]) == 1
+    assert call("cdc-ship", "--to", f"file://{tmp_path}/c")[0] == 0
+    assert call("snapshot-delete", "--id", snap)[0] == 0 and call("vacuum")[1] == ['{"dropped": [1]}']
