@@ -29,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see (spark.checkpoint.dir); one of the machine's own only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,13 +44,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files behind a frame made by cut()."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def drop_cut(*frames: DataFrame) -> None:
+    """Remove the files behind frames made by cut(), once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def first_with_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,8 @@ sets is at least `threshold`; a group is a connected component.
    otherwise confirmed on the full sets.
 
 Chance of no common band at similarity 0.75: (1 - 0.75**4)**64 < 3e-11 a pair. Shingles are 64-bit hashes.
-Null or empty text: n_shingles 0, its own group. Repeated rows of one doc_id: one result each. A row without doc_id
+Null or empty text: n_shingles 0, its own group. A doc_id names one text: repeated rows of it give a result each, and of
+rows of one doc_id with different texts an arbitrary one would stand for all. A row without doc_id
 takes the group of its equals, if any, and is never kept.
 """
 
@@ -294,6 +295,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         links = small.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small_min.select(F.col("m").alias("a"), F.col("b"))).where("a < b").distinct()
         links = C.cut(links, "cc")
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        C.drop_cut(edges)
         edges = links
         if now == before:
             break
@@ -319,9 +321,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
 
     def tested(pairs: DataFrame) -> DataFrame:
         found = C.cut(sized_pairs(pairs, reps, threshold), "likely")
-        return C.cut(confirmed(found, full_sets(texts, ends(found), size), threshold), "links")
+        sets = full_sets(texts, ends(found), size)
+        links = C.cut(confirmed(found, sets, threshold), "links")
+        C.drop_cut(found, sets)
+        return links
 
-    links = tested(C.cut(centre_pairs(rows, None, 0), "pairs"))
+    links = tested(centre_pairs(rows, None, 0))
     comp = components(links)
     for turn in range(1, CENTRE_ROUNDS + 1):
         now = rows.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -330,14 +335,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
         near = C.cut(hubs(now), "hubs")
         last = turn == CENTRE_ROUNDS or hub_work(near) <= work
         if last:
-            found = C.cut(hub_links(near, reps, full_sets(texts, near.select("id").distinct(), size), threshold), "links")
+            sets = full_sets(texts, near.select("id").distinct(), size)
+            found = C.cut(hub_links(near, reps, sets, threshold), "links")
+            C.drop_cut(sets)
         else:
             found = tested(centre_pairs(now, comp, turn))
         if found.head(1):
             links = links.unionByName(found)
             comp = components(links)
+        C.drop_cut(now, near)
         if last:
             break
+    C.drop_cut(rows, reps)
 
     by_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
