@@ -40,7 +40,7 @@ from emberlog.llm import common as C
 SPACE = "▁"
 #: Words that go through the relations and are broadcast with their ids: about 20 MB at most.
 HEAD, LONGEST = 60_000, 24
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 NO_EDGE = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
@@ -238,45 +238,61 @@ def with_head(docs: DataFrame, model_file: str, head: int = HEAD) -> Pieces:
     return pieces
 
 
-def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id") -> DataFrame:
-    """doc_id, ids, ids_crc32 (of the ids as little-endian 32-bit integers), text_crc32 of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+def encoded(batches: Iterator[pa.RecordBatch], pieces: Pieces, key: str) -> Iterator[pa.RecordBatch]:
+    """(key, text) batches to (key, ids, ids_crc32, text_crc32)."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        ids = [pieces.of(words_of(t)) for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        crc = [zlib.crc32((t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")) for t in texts]
+        yield pa.record_batch([b.column(0), lists, pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(crc, pa.int64())], names=[key, "ids", "ids_crc32", "text_crc32"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            ids = [own.of(words_of(t)) for t in texts]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            crc = [zlib.crc32((t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.record_batch([b.column(0), lists, pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(crc, pa.int64())], names=[key, "ids", "ids_crc32", "text_crc32"])
 
-    C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs, key).mapInArrow(run, f"{key} long, ids array<int>, ids_crc32 long, text_crc32 long")
+def decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Batches with ids to the same with the text they stand for instead."""
+    get = table.__getitem__
+    for b in batches:
+        lists = b.column("ids")
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        texts = [b"".join(map(get, flat[s:e].tolist())).decode("utf-8", "replace")[1:] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        more = [c for c in b.schema.names if c != "ids"]
+        yield pa.record_batch([*(b.column(c) for c in more), pa.array(texts, pa.string())], names=[*more, "text"])
 
 
-def decode(rows: DataFrame, pieces: Pieces, key: str = "doc_id") -> DataFrame:
-    """The rows' other columns and the text of ids."""
+def spellings(pieces: Pieces) -> list[bytes]:
+    """What each id stands for."""
     table = [p.replace(SPACE, " ").encode() for p in pieces.names]
     for b in range(256) if pieces.first_byte is not None else ():
         table[pieces.first_byte + b] = bytes([b])
-    more = [c for c in rows.columns if c != "ids"]
+    return table
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = table.__getitem__
-        for b in batches:
-            lists = b.column("ids")
-            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [b"".join(map(get, flat[s:e].tolist())).decode("utf-8", "replace")[1:] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch([*(b.column(c) for c in more), pa.array(texts, pa.string())], names=[*more, "text"])
 
-    return rows.mapInArrow(run, rows.select(*more).schema.add("text", "string"))
+def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id") -> DataFrame:
+    """doc_id, ids, ids_crc32 (of the ids as little-endian 32-bit integers), text_crc32 of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    C.small_batches(docs.sparkSession)
+    return C.first_with_text(docs, key).mapInArrow(lambda batches: encoded(batches, sent.value, key), f"{key} long, ids array<int>, ids_crc32 long, text_crc32 long")
+
+
+def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """The rows' other columns and the text of ids."""
+    table = spellings(pieces)
+    more = [c for c in rows.columns if c != "ids"]
+    return rows.select(*more, "ids").mapInArrow(lambda batches: decoded(batches, table), rows.select(*more).schema.add("text", "string"))
 
 
 def round_trip(docs: DataFrame, model_file: str, head: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, round_trip: whether the ids decode to the text."""
-    pieces = with_head(docs, model_file, head)
-    rows = encode(docs, pieces).withColumn("n_tokens", F.size("ids").cast("long"))
-    same = F.crc32(F.encode("text", "UTF-8")) == F.col("text_crc32")
-    return decode(rows, pieces).select("doc_id", "n_tokens", "ids_crc32", same.alias("round_trip"))
+    """doc_id, n_tokens, ids_crc32, round_trip: whether the ids decode to the text. Both directions run in one worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(with_head(docs, model_file, head))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = spellings(sent.value)
+        for b in encoded(batches, sent.value, "doc_id"):
+            (back,) = decoded(iter([b]), table)
+            same = [zlib.crc32(t.encode()) == c for t, c in zip(back.column("text").to_pylist(), b.column("text_crc32").to_pylist(), strict=True)]
+            counts = np.diff(b.column("ids").offsets.to_numpy()).astype(np.int64)
+            yield pa.record_batch([b.column("doc_id"), pa.array(counts), b.column("ids_crc32"), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+
+    C.small_batches(docs.sparkSession)
+    return C.first_with_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

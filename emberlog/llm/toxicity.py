@@ -29,7 +29,7 @@ BITS, BEGINNINGS = 22, (4, 5, 6)
 SAMPLE, SELECTED = 16_000, 2048
 LEAST_ROWS, LEAST_LIFT, LEAST_Z = 4, 3.0, 4.5
 FACTORS, EPOCHS, RATE, RIDGE = 8, 150, 0.08, 2e-4
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -141,6 +141,9 @@ def test_sentencepiece_relations(spark, docs, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
     assert all(r.n_tokens == len(sp.encode(next(t for i, t in DOCS if i == r.doc_id) or "")) for r in rows)
     assert sentencepiece_lattice.round_trip(none, BPE).count() == 0
+    ids = sentencepiece_lattice.encode(docs, pieces).select("doc_id", "ids")
+    assert {(r.doc_id, tuple(r.ids)) for r in ids.collect()} == {(i, tuple(sp.encode(t or ""))) for i, t in DOCS}
+    assert {(r.doc_id, r.text) for r in sentencepiece_lattice.decode(ids, pieces).collect()} == {(i, t or "") for i, t in DOCS}
 
 
 # ---- language ID
