@@ -98,8 +98,7 @@ class Index:
             p = int(p)
             for k, q in self.places[int(g[p])]:
                 item = self.words[k]
-                key = (k, p - q, 0)
-                if (k, p - q, p) in done:
+                if (k, p - q, p) in done:  # an earlier print's run on this diagonal
                     continue
                 lo = 0
                 while lo < min(p, q) and w[p - lo - 1] == item[q - lo - 1]:
@@ -108,8 +107,7 @@ class Index:
                 most = min(len(w) - p, len(item) - q)
                 while hi < most and w[p + hi] == item[q + hi]:
                     hi += 1
-                for x in range(p - lo, p + hi):  # other prints of this run on this diagonal are the same run
-                    done.add((key[0], key[1], x))
+                done.update((k, p - q, x) for x in range(p - lo, p + hi))
                 if lo + hi >= self.window:
                     spans.add((p - lo, p + hi))
                     found.add(self.ids[k])
