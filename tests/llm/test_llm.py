@@ -12,7 +12,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, quality_rules, registry, sentencepiece_lattice, token_counts, token_files, toxicity
 
