@@ -1,10 +1,11 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 Terms of a text are its distinct words (lower case, runs of letters) and their beginnings of four to six letters, hashed
-into 2**BITS buckets. On a bounded sample of labelled rows, buckets are counted by label in a grouped aggregation, and the
-SELECTED buckets that speak most strongly for a toxic text are kept; the machine learns a weight and a vector for each,
-so a pair such as an insult and the mention of a group has a weight of its own. A score is the logistic of bias, weights
-and pair products over the kept buckets of the whole text.
+into 2**BITS buckets. On a bounded sample of labelled rows the machine learns a weight and a vector for every bucket that
+occurs, none left out, so a pair such as an insult and the mention of a group has a weight of its own even where each
+is neutral alone. A bucket's input is not 1 but between FLOOR and 1: large where its own toxic share differs from that of
+all rows, either way, or where it is frequent; it only says how fast a bucket is learned. A score is the logistic of bias,
+weights and pair products over the known buckets of the whole text.
 
 Only text is an input of a score. Null or empty texts have no terms and get the bias's score. Repeated rows: a row each.
 Without labelled rows of both classes the machine has no terms and every score is the smoothed share of toxic labels.
@@ -25,10 +26,11 @@ from pyspark.sql import types as T
 from emberlog.llm import common as C
 
 BITS, BEGINNINGS = 22, (4, 5, 6)
-#: The most labelled rows that the machine is fitted on (those with the smallest hash of doc_id), and the most buckets.
-SAMPLE, SELECTED = 16_000, 2048
-LEAST_ROWS, LEAST_LIFT, LEAST_Z = 4, 3.0, 4.5
-FACTORS, EPOCHS, RATE, RIDGE = 8, 150, 0.08, 2e-4
+#: The most labelled rows that the machine is fitted on (those with the smallest hash of doc_id).
+SAMPLE = 16_000
+#: The least input of a bucket, the squared z of its toxic share from which it is 1, and the input of one in every row.
+FLOOR, SURE, FREQUENT = 0.05, 50.0, 0.5
+FACTORS, EPOCHS, RATE_WEIGHTS, RATE_VECTORS, RATE_BIAS = 8, 20, 0.2, 0.1, 0.1
 KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,10 +48,14 @@ def buckets_of(word: str) -> list[int]:
 
 
 class Terms:
-    """Distinct buckets of texts, or places of the kept ones among them; words are hashed once and kept."""
+    """Distinct buckets of texts, or places of the machine's ones among them; words are hashed once and kept."""
 
-    def __init__(self, kept: dict[int, int] | None = None):
-        self.kept, self.known = kept, {}
+    def __init__(self, buckets: np.ndarray | None = None):
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.places = None
+        if buckets is not None:
+            self.places = np.full(1 << BITS, -1, np.int32)
+            self.places[buckets] = np.arange(len(buckets))
 
     def of(self, text: str | None) -> set[int]:
         words = set(WORD.findall((text or "").lower()))
@@ -57,13 +63,13 @@ class Terms:
             self.known = {}
         for w in words.difference(self.known):
             b = buckets_of(w)
-            self.known[w] = tuple(b) if self.kept is None else tuple(self.kept[x] for x in b if x in self.kept)
+            self.known[w] = tuple(b) if self.places is None else tuple(x for x in self.places[b].tolist() if x >= 0)
         return set().union(*map(self.known.__getitem__, words))
 
 
 @dataclass
 class Machine:
-    buckets: dict[int, int]
+    buckets: np.ndarray  # in order; a bucket's place is its number here
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
@@ -79,79 +85,75 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(rows: list[list[int]], labels: np.ndarray, n: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors by AdaGrad on the logistic loss, all rows at once."""
+def inputs(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """The input of each bucket, from how far its toxic share is from that of all rows, and how frequent it is."""
+    seen, toxic = np.zeros(n), np.zeros(n)
+    for r, label in zip(rows, y, strict=True):
+        seen[r] += 1
+        toxic[r] += label
+    share = y.mean()
+    square = (toxic - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9)
+    return np.maximum(FLOOR + (1 - FLOOR) * np.minimum(square / SURE, 1), FREQUENT * np.sqrt(seen / len(rows))).astype(np.float32)
+
+
+def train(rows: list[np.ndarray] | list[list[int]], labels: np.ndarray, n: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors by AdaGrad on the logistic loss; a row's gradient touches its own places only."""
     rng = np.random.default_rng(seed)
     y = labels.astype(float)
-    bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    w, v = np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
-    sizes = np.array([len(r) for r in rows])
-    if not sizes.sum():
-        return bias, w, v
-    places = np.concatenate([np.array(r, np.int64) for r in rows if len(r)])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    order = np.argsort(places, kind="stable")
-    cols, starts = np.unique(places[order], return_index=True)
-    some = np.flatnonzero(sizes)
-    begins = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-    gw, gv, gb = np.full(n, 1e-8), np.full((n, FACTORS), 1e-8), 1e-8
+    bias, gb = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 1.0
+    w, v = np.zeros(n, np.float32), rng.normal(0, 0.05, (n, FACTORS)).astype(np.float32)
+    gw, gv = np.ones(n, np.float32), np.ones((n, FACTORS), np.float32)
+    rows = [np.asarray(r, np.int32) for r in rows]
+    if not any(map(len, rows)):
+        return bias, w, np.zeros_like(v)
+    x = inputs(rows, y, n)
     for _ in range(EPOCHS):
-        rows_v = v[places]
-        s = np.zeros((len(rows), FACTORS))
-        s[some] = np.add.reduceat(rows_v, begins)
-        x = np.full(len(rows), bias)
-        x[some] += np.add.reduceat(w[places], begins) + 0.5 * ((s[some] ** 2).sum(axis=1) - np.add.reduceat((rows_v**2).sum(axis=1), begins))
-        d = 1 / (1 + np.exp(-np.clip(x, -35, 35))) - y
-        each = d[owner]
-        dw, dv = np.zeros(n), np.zeros((n, FACTORS))
-        dw[cols] = np.add.reduceat(each[order], starts)
-        dv[cols] = np.add.reduceat((each[:, None] * (s[owner] - rows_v))[order], starts)
-        dw, dv, db = dw / len(y) + RIDGE * w, dv / len(y) + RIDGE * v, d.mean()
-        gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
-        w, v, bias = w - RATE * 5 * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv), bias - RATE * db / np.sqrt(gb)
-    return bias, w, v
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, selected: int = SELECTED) -> Machine:
-    """Learns from labelled rows that are not held out."""
+        for i in rng.permutation(len(rows)):
+            r = rows[i]
+            a = x[r]
+            own = v[r] * a[:, None]
+            s = own.sum(axis=0)
+            z = bias + float(a @ w[r]) + 0.5 * float(s @ s - (own * own).sum())
+            d = float(1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[i])
+            gb += d * d
+            bias -= RATE_BIAS * d / gb**0.5
+            if abs(d) < 1e-3:
+                continue
+            dw, dv = d * a, d * a[:, None] * (s - own)
+            gw[r] += dw * dw
+            gv[r] += dv * dv
+            w[r] -= RATE_WEIGHTS * dw / np.sqrt(gw[r])
+            v[r] -= RATE_VECTORS * dv / np.sqrt(gv[r])
+    return bias, w * x, v * x[:, None]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """Learns from labelled rows that are not held out; the distinct buckets of the sample's texts, four bytes each, are fetched."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([sorted(terms.of(t)) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "label", "buckets"])
+            found = [np.array(sorted(terms.of(t)), "<i4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "buckets"])
 
     C.small_batches(docs.sparkSession)
     texts = C.first_with_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = C.cut(texts.mapInArrow(hashed, "doc_id long, label int, buckets array<int>"), "terms")
-    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    rows = C.cut(texts.mapInArrow(hashed, "doc_id long, label int, buckets binary"), "terms")
+    data = sorted((r.doc_id, bytes(r.buckets), r.label) for r in rows.toLocalIterator())
+    C.drop_cut(rows)
+    labelled = np.array([label for _, _, label in data], float)
+    toxic, total = labelled.sum(), len(labelled)
     bias = float(np.log((toxic + 1) / (total - toxic + 1)))
     if not toxic or toxic == total:
-        return Machine({}, bias, np.zeros(0), np.zeros((0, FACTORS)))
-    share = toxic / total
-    counts = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
-    expected = F.col("n") * share
-    z = (F.col("k") - expected) / F.sqrt(expected * (1 - share))
-    best = counts.withColumn("z", z).where((F.col("k") >= LEAST_ROWS) & (F.col("k") >= LEAST_LIFT * expected) & (F.col("z") >= LEAST_Z))
-    kept = {r.bucket: i for i, r in enumerate(best.orderBy(F.desc("z"), "bucket").limit(selected).collect())}
-    own = sorted(kept)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.array(own, np.int64)
-        number = np.array([kept[x] for x in own], np.int64)
-        for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                hit = np.isin(at, np.array(x, np.int64))
-                out.append(number[hit].tolist())
-            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(2)], names=["label", "places", "doc_id"])
-
-    data = rows.select("label", "buckets", "doc_id").mapInArrow(places, "label int, places array<int>, doc_id long").collect() if kept else []
-    data.sort(key=lambda r: (r.doc_id, r.places))
-    C.drop_cut(rows)
-    bias, w, v = train([r.places for r in data], np.array([r.label for r in data]), len(kept)) if kept else (bias, np.zeros(0), np.zeros((0, FACTORS)))
-    return Machine(kept, bias, w, v)
+        return Machine(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, FACTORS)))
+    found = [np.frombuffer(b, "<i4") for _, b, _ in data]
+    met = np.zeros(1 << BITS, bool)
+    for b in found:
+        met[b] = True
+    buckets = np.flatnonzero(met).astype(np.int32)
+    return Machine(buckets, *train([np.searchsorted(buckets, b) for b in found], labelled, len(buckets)))
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:

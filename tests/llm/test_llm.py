@@ -80,6 +80,36 @@ def test_toxicity_held_out(spark, tmp_path):
     assert sum(got[i].predicted == rows[i][3] for i in held) >= 0.97 * len(held)
 
 
+def marked_texts(n, marks):
+    """n texts of neutral words, the k-th with the words of marks(k) put in."""
+    rng, words = random.Random(11), [f"q{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows = []
+    for k in range(n):
+        text = [rng.choice(words) for _ in range(40)]
+        for m in marks(k)[0]:
+            text.insert(rng.randrange(40), m)
+        rows.append((k, " ".join(text), int(marks(k)[1])))
+    return rows
+
+
+def held_out_accuracy(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    held = [k for k, _, _ in rows if got[k].held_out]
+    return np.mean([got[k].predicted == rows[k][2] for k in held])
+
+
+def test_toxicity_pairs_of_neutral_terms(spark):
+    """Either term alone has a toxic share near that of all rows; both together are always toxic."""
+    cases = [(["vex", "norl"], 1), (["vex"], 0), (["vex"], 0), (["vex"], 0), (["norl"], 0), (["norl"], 0), (["norl"], 0), (["lout"], 1)]
+    assert held_out_accuracy(spark, marked_texts(1600, lambda k: cases[(k * 2654435761 >> 7) % 8])) >= 0.95
+
+
+def test_toxicity_more_than_half_toxic(spark):
+    """Nothing can be three times as toxic as the rest, and terms that speak for a clean text count too."""
+    assert held_out_accuracy(spark, marked_texts(800, lambda k: (["fiend"], 1) if k % 5 < 3 else (["thanks"], 0))) >= 0.97
+
+
 # ---- decontamination
 
 TEXTS = st.lists(st.sampled_from(["a", "b", "c", "d", "E,"]), max_size=60).map(" ".join)
