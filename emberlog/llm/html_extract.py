@@ -10,12 +10,13 @@ Pass 2: open blocks (short ones, mostly) take the label of the nearest decided n
 to content; headings look forward first. A region with nothing decided is content if it is an article, else not.
 
 Character references are decoded, white space of a block becomes one space, blocks are joined by a newline. Null or
-empty html gives an empty text. Broken markup is read leniently: end tags without a start are ignored, and what is
-never closed ends with the page. Repeated rows: a row each.
+empty html gives an empty text. Broken markup is read leniently: end tags without a start are ignored, a
+paragraph, list item, row or cell ends with the next one or with its parent, and what else is never closed ends with the page. Repeated rows: a row each.
 """
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import re
 from collections.abc import Iterator
@@ -34,6 +35,20 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK_TAGS = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What an opening tag ends although its end tag is missing, and the elements that such a search stops at.
+NEAR = BLOCK_TAGS - {"li", "dt", "dd", "option", "address", "div", "p", "label", "legend"}
+IMPLIED = {
+    "li": ({"li"}, NEAR),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, NEAR)),
+    "option": ({"option"}, NEAR),
+    **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})),
+    "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr"}, {"table"})),
+}
+#: Elements that the search for an end tag's start stops at, and block tags that may stand in a paragraph.
+PARENTS = {"li": {"ul", "ol", "menu", "dir", "table", "td", "th"}, **dict.fromkeys(("dt", "dd"), {"dl", "table", "td", "th"}), **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), {"table"})}
+IN_PARAGRAPH = {"label", "legend", "option", "button"}
+AROUND = BLOCK_TAGS - IN_PARAGRAPH
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKED_TAGS = {"nav", "footer", "aside", "form", "menu", "head", "dialog", "button", "fieldset", "label", "legend"}
 MARKED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
@@ -83,6 +98,20 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         links = 0
 
+    opened: collections.Counter[str] = collections.Counter()
+
+    def leave(tags: set[str], stops: set[str]) -> None:
+        """Close the innermost open element of `tags` that is not beyond one of `stops`, and all inside it."""
+        if not any(opened[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in tags:
+                opened.subtract(x[0] for x in stack[k:])
+                del stack[k:]
+                return
+            if stack[k][0] in stops:
+                return
+
     at, low = 0, page.lower()
     while (m := TOKEN.match(page, at)) is not None:
         at = m.end()
@@ -111,12 +140,17 @@ def blocks_of(page: str) -> list[Block]:
         if tag in HEADINGS:
             heading = not closing
         in_link = 0
-        if tag in VOID or tag in HEADINGS or tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and m[3] == ">":
-            continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
-                del stack[k:]
+            if tag == "p":
+                leave({"p"}, AROUND)
+            elif tag not in HEADINGS:
+                leave({tag}, PARENTS.get(tag, set()))
+            continue
+        if tag not in IN_PARAGRAPH:
+            leave({"p"}, AROUND)
+        if tag in IMPLIED:
+            leave(*IMPLIED[tag])
+        if tag in VOID or tag in HEADINGS:
             continue
         _, region, marked, article = stack[-1]
         own = marked or is_marked(tag, m[3], article)
@@ -125,6 +159,7 @@ def blocks_of(page: str) -> list[Block]:
             regions += 1
             region = regions
         stack.append((tag, region, own, inside))
+        opened[tag] += 1
     end()
     return blocks
 

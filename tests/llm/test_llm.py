@@ -403,6 +403,21 @@ def test_html():
         assert isinstance(html_extract.main_text(broken), str)
 
 
+def test_html_after_a_marked_paragraph_item_and_cell():
+    a, b, c = ("%s is the story of the town that was told for all and it is long enough by itself." % x for x in "ABC")
+    for open_, shut in (("<p%s>", "</p>"), ("<p%s>", ""), ("<ul><li%s>", "</li></ul>"), ("<table><tr><td%s>", "</td></tr></table>"), ("<dl><dd%s>", "</dd></dl>")):
+        for mark in (' class="ad"', " hidden", ' style="display: none"', ' role="banner"'):
+            block = lambda m, t: (open_ % m) + t + shut  # noqa: B023, E731
+            page = f"<article>{block('', a)}{block(mark, 'x')}{block('', b)}{block('', c)}</article>"
+            assert html_extract.main_text(page) == f"{a}\n{b}\n{c}"
+    for tag, parent in (("li", "ul"), ("td", "tr"), ("dd", "dl"), ("tr", "table")):
+        for end in (f"</{tag}>", ""):
+            page = f"<article><{parent}><{tag}>{a}{end}<{tag} class=ad>x{end}<{tag}>{b}{end}</{parent}>{c}</article>"
+            assert html_extract.main_text(page) == f"{a}\n{b}\n{c}"
+    nested = f"<article><ul><li class=ad>x<ul><li>{a}</li></ul>{b}</li><li>{c}</li></ul></article>"
+    assert html_extract.main_text(nested) == c
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi there</p></article>", "x"), (2, None, None, "y"), (1, "u", "<article><p>Hi there</p></article>", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
