@@ -5,7 +5,8 @@ share of stop words, whether it is a heading, and the region it stands in (outsi
 role, class or id marks as menu, header, footer, sidebar, notice, advert, form or comments).
 
 Pass 1, each block alone: a marked region or a high share of links is boilerplate; long text with enough stop words
-is content, and so is any long text of an article; the rest is open.
+is content, and so is any long text of an article, or of a page in a language that the stop words (English, French,
+German, Spanish) are not of; the rest is open.
 Pass 2: open blocks (short ones, mostly) take the label of the nearest decided neighbour of their region, a tie going
 to content; headings look forward first. A region with nothing decided is content if it is an article, else not.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from emberlog.llm import common as C
 
 LONG, MOST_LINKS, ENOUGH_STOPS = 70, 0.5, 0.15
+#: The share of a page's long text, in words, that must have enough stop words for the page to be in a known language.
+KNOWN = 0.2
 #: A tag's attributes end at the first `>` outside quotes, or where quotes are not balanced, at the first `>`; no backtracking.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s></]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<>]*+>)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -164,23 +167,36 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def decide(b: Block) -> bool | None:
-    """Pass 1: content, boilerplate, or open."""
+def decide(b: Block, unknown: bool = False) -> bool | None:
+    """Pass 1: content, boilerplate, or open; `unknown` if the stop words say nothing about the page."""
     if b.marked:
         return False
     if b.links > MOST_LINKS * len(b.text):
         return False
     if b.heading or len(b.text) < LONG:
         return None
-    if b.article:
+    if b.article or unknown:
         return True
+    stops, words = stops_of(b)
+    return True if stops >= ENOUGH_STOPS * words else None
+
+
+def stops_of(b: Block) -> tuple[int, int]:
+    """Stop words and words."""
     words = b.text.lower().split()
-    return True if sum(w in STOPS for w in words) >= ENOUGH_STOPS * len(words) else None
+    return sum(w in STOPS for w in words), len(words)
+
+
+def is_unknown(blocks: list[Block]) -> bool:
+    """Whether the stop words are of other languages than the page: too little of its long text has enough of them."""
+    counts = [stops_of(b) for b in blocks if not (b.marked or b.heading) and len(b.text) >= LONG and b.links <= MOST_LINKS * len(b.text)]
+    return sum(n for k, n in counts if k >= ENOUGH_STOPS * n) < KNOWN * sum(n for _, n in counts)
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    first = [decide(b) for b in blocks]
+    unknown = not all(b.article or b.marked for b in blocks) and is_unknown(blocks)
+    first = [decide(b, unknown) for b in blocks]
     n = len(blocks)
     # nearest decided neighbour of the same region, by one walk each way
     before: list[tuple[int, bool] | None] = [None] * n

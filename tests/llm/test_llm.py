@@ -418,6 +418,18 @@ def test_html_after_a_marked_paragraph_item_and_cell():
     assert html_extract.main_text(nested) == c
 
 
+def test_html_of_other_languages():
+    for text in (
+        "Летом город был почти пуст, и только на площади у старого театра вечером собирались люди, чтобы послушать музыку.",
+        "Latem miasto było prawie puste, tylko na placu przed starym teatrem wieczorami zbierali się ludzie, żeby posłuchać muzyki.",
+        "夏天的城市几乎空无一人，只有老剧院前面的广场上，每到傍晚人们才会聚在一起听音乐，谈论这一年里发生的事情，直到深夜才慢慢散去回家，第二天又重新开始。" * 2,
+    ):
+        page = f"<body><ul><li><a href=1>{text[:20]}</a></li></ul><div>{text}</div><p>{text[:9]}</p><p>{text}</p><div><a href=2>{text}</a></div><div class=footer>{text}</div></body>"
+        assert html_extract.main_text(page) == f"{text}\n{text[:9].strip()}\n{text}"
+    known = "The story of the town is told and it was long in the making for all of them. " * 2
+    assert html_extract.main_text(f"<div>{known}</div><section class=x><div><aside></aside></div></section><form></form>") == known.strip()
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi there</p></article>", "x"), (2, None, None, "y"), (1, "u", "<article><p>Hi there</p></article>", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
