@@ -220,7 +220,6 @@ def main_text(page: str | None) -> str:
                 label = (x or y)[1]
             else:
                 label = x[1] if i - x[0] < y[0] - i else y[1] if y[0] - i < i - x[0] else x[1] or y[1]
-            label = label or b.article
         if label:
             kept.append(b.text)
     return "\n".join(kept)

@@ -430,6 +430,13 @@ def test_html_of_other_languages():
     assert html_extract.main_text(f"<div>{known}</div><section class=x><div><aside></aside></div></section><form></form>") == known.strip()
 
 
+def test_html_short_blocks_of_an_article_inherit():
+    long = "The story of the town is told and it was long in the making for all of them."
+    page = f"<article><p>{long}</p><p>It is so.</p><p>{long}</p><ul><li><a href=1>one</a></li><li>See too</li><li><a href=2>two</a></li></ul></article>"
+    assert html_extract.main_text(page) == f"{long}\nIt is so.\n{long}"
+    assert html_extract.main_text("<article><p>Hi</p><p>there</p></article>") == "Hi\nthere"
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi there</p></article>", "x"), (2, None, None, "y"), (1, "u", "<article><p>Hi there</p></article>", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
