@@ -11,14 +11,15 @@ right; runs of at least `window` words count. Items shorter than a window are jo
 sequence. Words are compared by 64-bit hashes, all of a run.
 
 The benchmark is dealt into blocks of at most `block_words` words (so what is broadcast has a fixed bound, whatever
-the benchmark's size); each block meets all documents in one pass, and the hits of several blocks are merged by
-document. Null or empty texts have no words and no hits. Repeated doc_ids and item_ids: each row is a document or
-item of its own text; one result row per document row (rows of one doc_id are merged only if there are several blocks).
+the benchmark's size); each block meets all documents in one pass. For several blocks the rows get a number each, written to the
+shared folder with them, and hits are merged by it. Null or empty texts have no words and no hits. Repeated doc_ids and
+item_ids: each row is a document or item of its own text; one result row per document row, however many blocks there are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,33 +136,38 @@ def blocks_of(benchmark: DataFrame, window: int, gram: int, block_words: int) ->
 
 
 def hit_rows(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, n_words, spans (flattened), items of one block, for every document row."""
+    """number, doc_id, n_words, spans (flattened), items of one block, for every row of (number, doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in batches:
             n_words, spans, items = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 w = C.word_hashes(words_of(t))
                 s, found = index.hits(w)
                 n_words.append(len(w))
                 spans.append([x for pair in s for x in pair])
                 items.append(sorted(found))
-            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["number", "doc_id", "n_words", "spans", "items"])
 
     C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs).mapInArrow(run, "doc_id long, n_words long, spans array<bigint>, items array<bigint>")
+    return docs.mapInArrow(run, "number long, doc_id long, n_words long, spans array<bigint>, items array<bigint>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, spans (pairs of word positions, flattened), items."""
-    parts = [hit_rows(docs, x) for x in blocks_of(benchmark, window, gram, block_words)]
-    rows = parts[0]
-    if len(parts) > 1:
-        for x in parts[1:]:
-            rows = rows.unionByName(x)
-        rows = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    blocks = blocks_of(benchmark, window, gram, block_words)
+    texts, first, second = C.first_with_text(docs), next(blocks), next(blocks, None)
+    if second is None:
+        rows = hit_rows(texts.select(F.lit(0).cast("long").alias("number"), "doc_id", "text"), first)
+    else:
+        numbered = C.cut(texts.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text"), "numbered")
+        rows = hit_rows(numbered, first)
+        for x in itertools.chain([second], blocks):
+            rows = rows.unionByName(hit_rows(numbered, x))
+        merged = F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        rows = rows.groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *merged)
     # the fold's state is (words so far, end so far) over the sorted spans
     pairs = F.sort_array(F.expr("transform(sequence(0, size(spans) div 2 - 1), i -> struct(spans[cast(2 * i as int)] as a, spans[cast(2 * i + 1 as int)] as b))"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))

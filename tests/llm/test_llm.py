@@ -141,6 +141,18 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.cleaned(docs, bench.limit(0)).count() == len(DOCS)
 
 
+def test_decontamination_keeps_rows_for_several_blocks(spark, docs):
+    """Repeated rows, rows of one doc_id with different texts and rows without an id give a row each, as for one block."""
+    texts = [*DOCS, (1, "three four five six seven eight nine ten eleven twelve and two three"), (None, "two three"), (None, None), (None, "no id here")]
+    items = [(1, "three four five six seven eight nine ten eleven twelve"), (2, "two three"), (3, "no id"), (4, "long long long long long long long long long long")]
+    rows, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = collections.Counter((i, *decontaminate.brute_force(t, items)) for i, t in texts)
+    for block in (10_000, 8, 1):
+        got = decontaminate.digest(decontaminate.contamination(rows, bench, block_words=block)).collect()
+        assert len(got) == len(texts)
+        assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
+
+
 # ---- SentencePiece
 
 
