@@ -2,7 +2,7 @@
 
 For every row, languages get a posterior from
 * text: likelihood of its letter trigrams (hashed), the mean a trigram times at most TEXT_WEIGHT, so that long texts
-  do not drown the rest; the trigram model is fitted on a bounded sample of labelled documents;
+  do not drown the rest; the trigram model is fitted on a sample of labelled documents, some of each language;
 * the language that the markup declares, by how texts of each language declare it in the corpus;
 * the address suffix, likewise;
 * the host: a prior of how many other rows of the host are of each language, smoothed towards its domain's, and that
@@ -22,14 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import common as C
 from emberlog.llm.html_extract import main_text
 
-#: The most labelled documents that the trigram model is fitted on (smallest hash of doc_id), and the most languages.
-SAMPLE, LANGUAGES = 4000, 64
+#: The labelled documents that the trigram model is fitted on (smallest hash of doc_id), and those of each language that
+#: are taken in any case, so every language of the labels is known.
+SAMPLE, OF_EACH = 4000, 50
 BITS, TEXT_WEIGHT, KAPPA, SMOOTH = 16, 60.0, 4.0, 0.5
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 DECLARED = re.compile(r"<(?:html|body)\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})|<meta[^>]+content-language[\"']?[^>]*content\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
@@ -59,7 +60,10 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From (doc_id, text, lang) rows."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    chosen = rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    some = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = some.union(ids.withColumn("rank__", rank).where(F.col("rank__") <= OF_EACH).select("doc_id")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +78,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in few.coalesce(2).mapInArrow(count, "lang string, counts binary").toLocalIterator():  # a row for each batch and language
         counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
     C.drop_cut(few) if counts else None
-    langs = sorted(sorted(counts, key=lambda x: (-counts[x].sum(), x))[:LANGUAGES]) or ["und"]
+    langs = sorted(counts) or ["und"]
     table = np.array([counts[x] if x in counts else np.zeros(1 << BITS) for x in langs], float).T + SMOOTH
     return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32))
 

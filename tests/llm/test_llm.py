@@ -203,6 +203,20 @@ def test_language_id(spark, docs, none):
     assert language_id.address("https://u@Blog.example.co.uk:80/p?q") == ("blog.example.co.uk", "example.co.uk", "uk")
 
 
+def test_every_labelled_language_is_known(spark):
+    """More languages than 64, and rare ones beside a common one."""
+    rng, rows = random.Random(3), []
+    for k in range(70):
+        letters = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(40)), f"l{k:02}", None) for i in range(60 if k == 0 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = sorted({r[2] for r in rows})
+    assert language_id.fit(df, sample=5).languages == names
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    got = {r.doc_id: r.lang for r in language_id.identify(pages, df).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, _ in rows]) > 0.95 and len(set(got.values())) > 64
+
+
 def test_host_and_declaration_decide_where_text_is_silent(spark):
     rows = [("page", k, [2.0, 1.0], "en" if k % 2 else "fr", "h1", "d1", "com") for k in range(20)] + [("page", 100 + k, [1.0, 2.0], "fr", "h2", "d2", "fr") for k in range(20)] + [("page", 200, None, None, "h2", "d2", "fr"), ("page", 201, None, "fr", None, None, None)]
     df = spark.createDataFrame(rows, "kind string, id long, likelihood array<double>, declared string, host string, domain string, suffix string")
