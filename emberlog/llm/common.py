@@ -36,14 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: later stages survive lost executors without recomputing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, order: str, name: str) -> str:
+    """Write a folder for each value of key, sorted by order, below the shared folder; the folder they are in."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.repartition(key).sortWithinPartitions(key, order).write.partitionBy(key).parquet(path, compression="zstd")
+    return path
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Remove the files behind frames made by cut(), once nothing reads them any more."""
     for df in frames:

@@ -1,23 +1,29 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Text with its dummy space in front is cut into words at places that no piece of the vocabulary spans: before a run of
-spaces and around newlines. The corpus's most frequent words go through the lattice as relations: all substrings of at
-most the longest piece's length are exploded, equi-joined to the piece table (as many rows as the vocabulary), the
-edges found are grouped by word, and a fold with Spark's aggregate() reads the best path:
-
-* `viterbi` for unigram models: the path of the highest sum of scores, position by position;
-* `bpe` for BPE models, whose ids are not those of the highest sum: the fold keeps the boundaries between symbols and
-  takes the best-scored edge over two neighbouring symbols (leftmost of equals) until none is left.
-
-Characters without a piece become their byte pieces (bpe), or an unknown edge (viterbi).
-
-The words and their ids are broadcast; their number (HEAD) and length (LONGEST) are bounded whatever the corpus. Words
-outside are folded in the task that meets them over the same edges (pieces by start and end, best score, leftmost), so
-every word gets the ids of the same lattice and nothing is dropped. Decoding joins ids to pieces, byte pieces to
-UTF-8, and takes the dummy space off.
-
-Null or empty text: no ids, decoded as the empty text. The character U+2581 is read as a space, as the library does.
-Repeated rows: a row each. An empty table gives no rows.
+Text with its dummy space in front is cut into units at places that no piece of the vocabulary spans, so units are encoded
+alone: before a run of spaces, around newlines, and between any two characters that no piece holds side by side.
+
+1. Documents become lists of numbers of units, in chunks of at most CHUNK characters with a table of their units each,
+   written to the shared folder once. So only units are dealt, each once a chunk, and never their occurrences.
+2. The distinct units of the whole corpus go through the lattice as relations: all substrings of at most the longest
+   piece's length are exploded, equi-joined to the piece table (as many rows as the vocabulary, so it is broadcast), the
+   edges found are grouped by unit, and a fold with Spark's aggregate() reads the best path:
+   * `viterbi` for unigram models: the path of the highest sum of scores, position by position;
+   * `bpe` for BPE models, whose ids are not those of the highest sum: the state is the set of boundaries between symbols
+     as bits of a long, and edges over two neighbouring symbols take the boundary between them out, best score first,
+     leftmost of equals. One walk over the sorted edges is enough unless a merge lets a better edge in that it has passed;
+     the fold notes that, and such units are folded step by step.
+   Characters without a piece become their byte pieces (bpe), or an unknown edge (viterbi).
+3. Ids are joined back to the chunks' tables, dealt by chunk and written as one small file a chunk, and documents are put
+   together from them by array arithmetic.
+
+Units of more than LONGEST characters (a bit each in a long) are folded in Python with a queue, once for each distinct one,
+by the same rule. Decoding joins ids to pieces, byte pieces to UTF-8, and takes the dummy space off.
+
+Null or empty text: no ids, decoded as the empty text. The character U+2581 is read as a space, as the library does, so a
+text with it does not come back (`round_trip` is false). A very long text is a chunk of its own; its units are dealt like
+others. Repeated rows and rows of one doc_id, or without one: a row each. Equal texts have equal ids. Extra columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +32,8 @@ import heapq
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,10 @@ from pyspark.sql import functions as F
 from emberlog.llm import common as C
 
 SPACE = "▁"
-#: Words that go through the relations and are broadcast with their ids: about 20 MB at most.
-HEAD, LONGEST = 60_000, 24
-KEPT_WORDS = 250_000
+#: Characters of a unit whose boundaries fit the bits of a long.
+LONGEST = 62
+#: Characters of a chunk of documents with one table of units, and units of one row of such a table.
+CHUNK, TABLE_ROW = 64_000_000, 4096
 NO_EDGE = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
@@ -54,8 +60,6 @@ class Pieces:
     names: list[str]
     first_byte: int | None
     longest: int
-    head: dict[str, bytes] = field(default_factory=dict)
-    known: Words | None = None
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -70,8 +74,12 @@ class Pieces:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i, self.scores[p]) for p, i in self.ids.items()], "piece string, id int, score double")
 
-    def spelled(self, symbols: list[str]) -> bytes:
-        out = array("i")
+    def pairs(self) -> set[str]:
+        """Two characters that some piece holds side by side."""
+        return {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+
+    def spelled(self, symbols: list[str]) -> list[int]:
+        out = []
         for s in symbols:
             i = self.ids.get(s)
             if i is not None:
@@ -80,32 +88,13 @@ class Pieces:
                 out.extend(self.first_byte + b for b in s.encode("utf-8", "surrogatepass"))
             else:
                 out.append(0)
-        return out.tobytes()
-
-    def fold(self, word: str) -> bytes:
-        """Ids of one word: the best edge over two neighbours, leftmost of equals, until none is left."""
-        if len(word) > LONGEST:
-            return self.spelled(self.merged_long(word))
-        symbols, get = list(word), self.scores.get
-        best = [get(a + b, NO_EDGE) for a, b in zip(symbols, word[1:])]
-        while best:
-            top = max(best)
-            if top == NO_EDGE:
-                break
-            i = best.index(top)
-            symbols[i] += symbols.pop(i + 1)
-            del best[i]
-            if i:
-                best[i - 1] = get(symbols[i - 1] + symbols[i], NO_EDGE)
-            if i < len(best):
-                best[i] = get(symbols[i] + symbols[i + 1], NO_EDGE)
-        return self.spelled(symbols)
+        return out
 
-    def merged_long(self, word: str) -> list[str]:
-        """The same for long words, with a queue of edges and linked symbols."""
-        scores, n = self.scores, len(word)
+    def fold(self, unit: str) -> list[int]:
+        """Ids of one unit by a queue of edges and linked symbols: the best edge over two neighbours, leftmost of equals."""
+        scores, n = self.scores, len(unit)
         nexts, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(-scores[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in scores]
+        queue = [(-scores[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in scores]
         heapq.heapify(queue)
         while queue:
             _, a, m, e = heapq.heappop(queue)
@@ -115,38 +104,19 @@ class Pieces:
             if e < n:
                 before[e] = a
                 f = nexts[e]
-                s = scores.get(word[a:f])
+                s = scores.get(unit[a:f])
                 if s is not None:
                     heapq.heappush(queue, (-s, a, e, f))
             p = before[a]
             if p >= 0:
-                s = scores.get(word[p:e])
+                s = scores.get(unit[p:e])
                 if s is not None:
                     heapq.heappush(queue, (-s, p, a, e))
         symbols, i = [], 0
         while i < n:
-            symbols.append(word[i : nexts[i]])
+            symbols.append(unit[i : nexts[i]])
             i = nexts[i]
-        return symbols
-
-    def of(self, words: list[str]) -> bytes:
-        """Ids of a text's words: from the broadcast lattice, else kept, else folded here."""
-        if self.known is None or len(self.known) > len(self.head) + KEPT_WORDS:
-            self.known = Words(self)
-        return b"".join(map(self.known.__getitem__, words))
-
-
-class Words(dict):
-    """Ids of words; one that is met first is folded and kept. Begins with the broadcast ones."""
-
-    def __init__(self, pieces: Pieces):
-        super().__init__(pieces.head)
-        self[""] = b""
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.pieces.fold(word)
-        return found
+        return self.spelled(symbols)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -159,42 +129,113 @@ def words_of(text: str | None) -> list[str]:
     return text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE).split("\0")
 
 
-def frequent_words(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """(word, n): the words that are met most often; counts of a batch's single words are left out, which only decides what is broadcast."""
+def units_of(word: str, pairs: set[str]) -> list[str]:
+    """A word cut wherever no piece holds the characters on both sides."""
+    cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+class Units(dict):
+    """Numbers of each word's units (as bytes of 32-bit integers); units are numbered as they are met."""
+
+    def __init__(self, pairs: set[str]):
+        super().__init__()
+        self.pairs, self.numbers = pairs, {}
+
+    def __missing__(self, word: str) -> bytes:
+        numbers = self.numbers
+        found = self[word] = array("i", [numbers.setdefault(u, len(numbers)) for u in units_of(word, self.pairs)]).tobytes()
+        return found
+
+
+CODED = "chunk long, doc_id long, codes array<int>, text_crc32 long, first int, units array<string>"
+
+
+def lists_of(parts: list[bytes], kind: pa.DataType, dtype: str) -> pa.ListArray:
+    """Bytes of integers as one list each."""
+    ends = np.cumsum([0, *(len(x) // np.dtype(dtype).itemsize for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype), kind))
+
+
+def coded(docs: DataFrame, pairs: set[str], chunk: int = CHUNK) -> DataFrame:
+    """Rows of documents (chunk, doc_id, codes, text_crc32) and rows of their chunks' tables (chunk, first, units)."""
+    names = ["chunk", "doc_id", "codes", "text_crc32", "first", "units"]
+
+    def table(number: int, units: Units) -> Iterator[pa.RecordBatch]:
+        known = list(units.numbers)
+        for k in range(0, len(known), TABLE_ROW):
+            part = pa.array([known[k : k + TABLE_ROW]], pa.list_(pa.string()))
+            yield pa.record_batch([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), part], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, units, size = TaskContext.get().partitionId() << 24, Units(pairs), 0
         for b in batches:
-            counts: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
-            found = [(w, n) for w, n in counts.items() if n > 1 and 0 < len(w) <= LONGEST]
-            yield pa.record_batch([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
+            texts = b.column(1).to_pylist()
+            codes = [b"".join(map(units.__getitem__, words_of(t))) for t in texts]
+            crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            n = len(texts)
+            yield pa.record_batch([pa.array([number] * n, pa.int64()), b.column(0), lists_of(codes, pa.int32(), "<i4"), pa.array(crc, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))], names=names)
+            size += sum(len(t) for t in texts if t)
+            if size >= chunk:
+                yield from table(number, units)
+                number, units, size = number + 1, Units(pairs), 0
+        yield from table(number, units)
 
     C.small_batches(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head)
+    return C.first_with_text(docs).mapInArrow(run, CODED)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, whatever the optimiser inlines."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): pieces found in each word, as structs of start, end, score, id."""
+    """(word, edges): pieces found in each distinct word, as structs of start, end, score, id; best score first, then leftmost.
+
+    The words are dealt by word, and so are the edges that come of them: grouping them needs no exchange.
+    """
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + F.lit(longest)))).alias("e"))
-    found = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(pieces), "piece")
-    edges = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("s", "e", "score", "id"))).alias("edges"))
-    return words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,score:double,id:int>>")))
+    found = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(pieces), "piece", "left")
+    # a word of no piece at all keeps the row of its first character
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))
+    return found.where("id is not null or (s = 0 and e = 1)").groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def bpe_bounds(edges: Column, n: Column) -> Column:
-    """Boundaries after all merges; a step per character is enough, as each takes one boundary out."""
+    """Boundaries after all merges, as bits of a long (of words of at most LONGEST characters)."""
+    one = F.lit(1).cast("long")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    ends = lambda e: bit(e["s"]).bitwiseOR(bit(e["e"]))
+    between = lambda e: bit(e["e"]) - bit(e["s"] + 1)
+    merges = F.transform(F.filter(edges, lambda e: e["e"] - e["s"] > 1), lambda e: F.struct(e["cost"].alias("cost"), ends(e).alias("ends"), between(e).alias("between")))
+    fits = lambda e, bounds: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["between"])) == 1)
+    without = lambda e, bounds: bounds.bitwiseAND(F.bitwise_not(e["between"]))
+    every = bit(n + 1) - one
+    state = lambda bounds, missed: F.struct(bounds.alias("bounds"), missed.alias("missed"))
 
-    def step(bounds: Column, _: Column) -> Column:
-        inner = lambda e: F.filter(bounds, lambda x: (x > e["s"]) & (x < e["e"]))
-        fits = lambda e: F.array_contains(bounds, e["s"]) & F.array_contains(bounds, e["e"]) & (F.size(inner(e)) == 1)
-        best = F.array_max(F.transform(F.filter(edges, fits), lambda e: F.struct(e["score"].alias("score"), (-e["s"]).alias("s"), e["e"].alias("e"))))
-        return F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), bounds).otherwise(F.filter(bounds, lambda x: (x <= -b["s"]) | (x >= b["e"])))), 0)
+    def walk(found: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            now = without(e, s["bounds"])
+            better = F.exists(found, lambda f: (f["cost"] < e["cost"]) & fits(f, now))
+            return F.when(~s["missed"] & fits(e, s["bounds"]), state(now, better)).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+        return F.aggregate(found, state(every, F.lit(False)), step)
+
+    def by_steps(found: Column) -> Column:
+        """A step per character is enough, as each takes one boundary out."""
+
+        def step(bounds: Column, _: Column) -> Column:
+            best = F.get(F.filter(found, lambda e: fits(e, bounds)), 0)
+            return F.coalesce(without(best, bounds), bounds)
+
+        return F.aggregate(F.sequence(F.lit(1), n), every, step)
+
+    return let(merges, lambda found: let(walk(found), lambda s: F.when(s["missed"], by_steps(found)).otherwise(s["bounds"])))
 
 
 def viterbi_bounds(edges: Column, n: Column, unknown: float = -1e4):
@@ -202,7 +243,7 @@ def viterbi_bounds(edges: Column, n: Column, unknown: float = -1e4):
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s")))
 
     def step(best: Column, e: Column) -> Column:
-        ways = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s")))
+        ways = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] + (-x["cost"])).alias("score"), x["s"].alias("s")))
         alone = F.struct((F.get(best, e - 1)["score"] + F.lit(unknown)).alias("score"), (e - 1).alias("s"))
         return F.concat(best, F.array(F.array_max(F.concat(ways, F.array(alone)))))
 
@@ -212,41 +253,96 @@ def viterbi_bounds(edges: Column, n: Column, unknown: float = -1e4):
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int | None, fold: str = "bpe") -> DataFrame:
-    """(word, ids) through the lattice."""
+    """(word, ids) of distinct words through the lattice."""
     n = F.length("word")
     rows = lattice(words.select("word").where(n > 0), pieces, longest)
     if fold == "bpe":
-        rows = rows.withColumn("bounds", bpe_bounds(F.col("edges"), n))
+        bounds = let(bpe_bounds(F.col("edges"), n), lambda bits: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(bits, i) == 1))
     else:
         best, back = viterbi_bounds(F.col("edges"), n)
-        rows = rows.withColumn("best", best).withColumn("bounds", F.aggregate(F.sequence(F.lit(1), n), F.array(n), back))
-    byte_of = "cast(conv(substring(hex(encode(c, 'UTF-8')), cast(2 * k + 1 as int), 2), 16, 10) as int)"
-    spelled = f"transform(sequence(0, octet_length(c) - 1), k -> {first_byte} + {byte_of})" if first_byte is not None else "array(0)"
-    ids = F.expr(
-        f"""flatten(transform(slice(bounds, 1, size(bounds) - 1), (s, i) -> get(transform(array(filter(edges, x -> x.s = s and x.e = bounds[i + 1])),
-            hit -> case when size(hit) > 0 then array(hit[0].id) else get(transform(array(substring(word, s + 1, bounds[i + 1] - s)), c -> {spelled}), 0) end), 0)))"""
-    )
-    return rows.select("word", ids.alias("ids"))
+        rows = rows.withColumn("best", best)
+        bounds = F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
+    def spelled(c: Column) -> Column:
+        """Byte pieces of a character without a piece, or the unknown id."""
+        if first_byte is None:
+            return F.array(F.lit(0))
+        digit = lambda k: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.lit(first_byte) + digit(k))
 
-def with_head(docs: DataFrame, model_file: str, head: int = HEAD) -> Pieces:
-    """The model's pieces with the ids of the corpus's frequent words, folded by the relations; at most `head` rows are fetched."""
-    pieces = Pieces.load(model_file)
-    words = C.cut(frequent_words(docs, head), "words").repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    for r in encode_words(words, pieces.frame(docs.sparkSession), pieces.longest, pieces.first_byte).toLocalIterator():
-        pieces.head[r.word] = array("i", r.ids).tobytes()
-    return pieces
+    def symbol(start: Column, end: Column) -> Column:
+        hit = F.filter("edges", lambda x: (x["s"] == start) & (x["e"] == end))
+        return let(hit, lambda h: F.when(F.size(h) > 0, F.array(h[0]["id"])).otherwise(spelled(F.substring("word", start + 1, end - start))))
 
+    ids = let(bounds, lambda b: F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda s, i: symbol(s, F.get(b, i + 1)))))
+    return rows.select("word", ids.alias("ids"))
+
+
+def folded_long(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of distinct words of more than LONGEST characters."""
 
-def encoded(batches: Iterator[pa.RecordBatch], pieces: Pieces, key: str) -> Iterator[pa.RecordBatch]:
-    """(key, text) batches to (key, ids, ids_crc32, text_crc32)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([pieces.fold(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids array<int>")
+
+
+def dictionaries(rows: DataFrame, pieces: Pieces) -> str:
+    """Writes (code, ids) of each chunk's units to a folder of its own; the folder they are in."""
+    spark = rows.sparkSession
+    units = rows.where("units is not null").select("chunk", "first", F.posexplode("units").alias("at", "word")).select("chunk", (F.col("first") + F.col("at")).alias("code"), "word")
+    # a number of its own, as Spark would merge these small partitions, whose words become many more rows each
+    units = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "word")
+    words = units.select("word").distinct()
+    short = encode_words(words.where(F.length("word") <= LONGEST), pieces.frame(spark), pieces.longest, pieces.first_byte)
+    long = folded_long(words.where(F.length("word") > LONGEST), pieces)
+    found = units.where(F.length("word") <= LONGEST).join(short, "word").unionByName(units.where(F.length("word") > LONGEST).join(long, "word"))
+    return C.cut_by(found.select("chunk", "code", "ids"), "chunk", "code", "dictionary")
+
+
+class Dictionary:
+    """Ids of one chunk's units: all in one array, with the place of each unit's."""
+
+    def __init__(self, folder: str, chunk: int):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(f"{folder}/chunk={chunk}")
+        files = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet")]
+        table = pa.concat_tables([pq.ParquetFile(f, filesystem=store).read(["code", "ids"]) for f in files]).combine_chunks()
+        ids = table.column("ids").combine_chunks() if files else pa.array([], pa.list_(pa.int32()))
+        offsets = ids.offsets.to_numpy()
+        code = table.column("code").to_numpy()
+        self.ids = ids.values.to_numpy(zero_copy_only=False)
+        self.starts, self.counts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        self.starts[code], self.counts[code] = offsets[:-1], np.diff(offsets)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in order, and how many come of each."""
+        n = self.counts[codes]
+        at = np.repeat(self.starts[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.ids[at], n
+
+
+def encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """(chunk, doc_id, codes, text_crc32) batches to (doc_id, ids, text_crc32)."""
+    chunk, known = None, None
     for b in batches:
-        texts = b.column(1).to_pylist()
-        ids = [pieces.of(words_of(t)) for t in texts]
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        crc = [zlib.crc32((t or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")) for t in texts]
-        yield pa.record_batch([b.column(0), lists, pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(crc, pa.int64())], names=[key, "ids", "ids_crc32", "text_crc32"])
+        chunks = b.column(0).to_numpy(zero_copy_only=False)
+        offsets = b.column(2).offsets.to_numpy()
+        codes = b.column(2).values.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1), len(chunks)] if len(chunks) else []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            own = codes[offsets[x] : offsets[y]]
+            if len(own):
+                if chunk != chunks[x]:
+                    chunk, known = chunks[x], Dictionary(folder, int(chunks[x]))
+                ids, n = known.of(own)
+            else:
+                ids, n = np.empty(0, np.int32), np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])[offsets[x : y + 1] - offsets[x]].astype(np.int32)
+            yield pa.record_batch([b.column(1).slice(x, y - x), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), b.column(3).slice(x, y - x)], names=["doc_id", "ids", "text_crc32"])
 
 
 def decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -268,11 +364,16 @@ def spellings(pieces: Pieces) -> list[bytes]:
     return table
 
 
-def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id") -> DataFrame:
-    """doc_id, ids, ids_crc32 (of the ids as little-endian 32-bit integers), text_crc32 of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs, key).mapInArrow(lambda batches: encoded(batches, sent.value, key), f"{key} long, ids array<int>, ids_crc32 long, text_crc32 long")
+def prepared(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """Rows of documents as numbers of units, and the folder of their chunks' dictionaries; both are in the shared folder."""
+    rows = C.cut(coded(docs, pieces.pairs(), chunk), "coded", "zstd")
+    return rows.where("units is null").select("chunk", "doc_id", "codes", "text_crc32"), dictionaries(rows, pieces)
+
+
+def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, ids, text_crc32 of every row."""
+    rows, folder = prepared(docs, pieces, chunk)
+    return rows.mapInArrow(lambda batches: encoded(batches, folder), "doc_id long, ids array<int>, text_crc32 long")
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -282,17 +383,19 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select(*more, "ids").mapInArrow(lambda batches: decoded(batches, table), rows.select(*more).schema.add("text", "string"))
 
 
-def round_trip(docs: DataFrame, model_file: str, head: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, round_trip: whether the ids decode to the text. Both directions run in one worker."""
-    sent = docs.sparkSession.sparkContext.broadcast(with_head(docs, model_file, head))
+def round_trip(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip: whether the ids decode to the text."""
+    pieces = Pieces.load(model_file)
+    table = spellings(pieces)
+    rows, folder = prepared(docs, pieces, chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spellings(sent.value)
-        for b in encoded(batches, sent.value, "doc_id"):
+        for b in encoded(batches, folder):
+            lists = b.column("ids")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
+            crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
             (back,) = decoded(iter([b]), table)
             same = [zlib.crc32(t.encode()) == c for t, c in zip(back.column("text").to_pylist(), b.column("text_crc32").to_pylist(), strict=True)]
-            counts = np.diff(b.column("ids").offsets.to_numpy()).astype(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(counts), b.column("ids_crc32"), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -61,7 +61,7 @@ def test_machine_learns_pairs():
     rows = [sorted(set(rng.choice(2, 2).tolist()) if k % 2 else {int(rng.integers(2))}) for k in range(400)]
     y = np.array([len(r) == 2 for r in rows])
     bias, w, v = toxicity.train(rows, y, 2)
-    s = toxicity.Machine({}, bias, w, v).scores([[0], [1], [0, 1]])
+    s = toxicity.Machine(np.arange(2), bias, w, v).scores([{0}, {1}, {0, 1}])
     assert s[2] > 0.5 > max(s[0], s[1])
 
 
@@ -156,31 +156,60 @@ def test_decontamination_keeps_rows_for_several_blocks(spark, docs):
 # ---- SentencePiece
 
 
-def test_sentencepiece_words_fold_like_the_library():
+def test_long_units_fold_like_the_library():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
     pieces = sentencepiece_lattice.Pieces.load(BPE)
+    pairs = pieces.pairs()
     for t in [*(t for _, t in DOCS), "a" * 3000, " " * 99, "x  y   z\n\n q \n", "日本語テキスト"]:
-        assert list(array("i", pieces.of(sentencepiece_lattice.words_of(t)))) == sp.encode(t or "")
+        units = [u for w in sentencepiece_lattice.words_of(t) for u in sentencepiece_lattice.units_of(w, pairs)]
+        assert [i for u in units for i in pieces.fold(u)] == sp.encode(t or "")
+
+
+def test_lattice_is_the_library(spark):
+    """Every text of a whole table, and random strings of awkward characters, long units and several chunks a task."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in whole.collect()}
+    for r in sentencepiece_lattice.round_trip(whole, BPE).collect():
+        ids = sp.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(array("i", ids).tobytes()), True)
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "é", "日", "\U0001F600", "the", "there", "ing", "er", "h", "e", "re", "▁", "\0", ",", "'s", "1", "12"]
+    odd = ["".join(rng.choices(parts, k=rng.randrange(1, 90))) for _ in range(3000)] + ["a" * 500, "ab" * 300, "the" * 21]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    pieces = sentencepiece_lattice.Pieces.load(BPE)
+    assert all(list(r.ids) == sp.encode(odd[r.doc_id]) for r in sentencepiece_lattice.encode(df, pieces, chunk=5000).collect())
+
+
+def test_a_merge_that_lets_a_better_one_in(spark):
+    """ab is merged late, and only then can abc, which scores better, be."""
+    toy = sentencepiece_lattice.Pieces({"a": 1, "b": 2, "c": 3, "ab": 4, "abc": 5, "cd": 6, "d": 7}, {"a": -9.0, "b": -9.0, "c": -9.0, "d": -9.0, "ab": -5.0, "abc": -1.0, "cd": -6.0}, [""] * 8, None, 3)
+    words = spark.createDataFrame([("abcd",), ("abc",), ("cdab",)], "word string")
+    got = {r.word: list(r.ids) for r in sentencepiece_lattice.encode_words(words, toy.frame(spark), 3, None).collect()}
+    assert got == {w: toy.fold(w) for w in got} and got["abcd"] == [5, 7]
 
 
 def test_sentencepiece_relations(spark, docs, none):
     import sentencepiece
 
-    pieces = sentencepiece_lattice.with_head(documents(spark).limit(60), BPE, 800)
-    assert pieces.head and all(ids == pieces.fold(w) for w, ids in pieces.head.items())
+    pieces = sentencepiece_lattice.Pieces.load(BPE)
     toy = spark.createDataFrame([("a", 1, -2.0), ("b", 2, -2.0), ("ab", 3, -3.0), ("abc", 4, -9.0), ("c", 5, -1.0), ("bc", 6, -2.5)], "piece string, id int, score double")
     words = spark.createDataFrame([("abc",), ("aab",), ("xab",)], "word string")
     best = {r.word: r.ids for r in sentencepiece_lattice.encode_words(words, toy, 3, None, "viterbi").collect()}
     assert best == {"abc": [3, 5], "aab": [1, 3], "xab": [0, 3]}
     strange = spark.createDataFrame([("\U0001F600b",), ("日x",), ("▁▁▁x",), ("\n",)], "word string")
     for r in sentencepiece_lattice.encode_words(strange, pieces.frame(spark), pieces.longest, pieces.first_byte).collect():
-        assert array("i", r.ids).tobytes() == pieces.fold(r.word)
-    rows = sentencepiece_lattice.round_trip(docs, BPE).collect()
-    assert len(rows) == len(DOCS) and all(r.round_trip for r in rows)
-    sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
-    assert all(r.n_tokens == len(sp.encode(next(t for i, t in DOCS if i == r.doc_id) or "")) for r in rows)
+        assert r.ids == pieces.fold(r.word)
+    for chunk in (sentencepiece_lattice.CHUNK, 10):
+        rows = sentencepiece_lattice.round_trip(docs, BPE, chunk).collect()
+        assert len(rows) == len(DOCS) and all(r.round_trip for r in rows)
+        sp = sentencepiece.SentencePieceProcessor(model_file=BPE)
+        assert all(r.n_tokens == len(sp.encode(next(t for i, t in DOCS if i == r.doc_id) or "")) for r in rows)
+    assert not sentencepiece_lattice.round_trip(spark.createDataFrame([(1, "x▁y")], "doc_id long, text string"), BPE).first().round_trip
     assert sentencepiece_lattice.round_trip(none, BPE).count() == 0
     ids = sentencepiece_lattice.encode(docs, pieces).select("doc_id", "ids")
     assert {(r.doc_id, tuple(r.ids)) for r in ids.collect()} == {(i, tuple(sp.encode(t or ""))) for i, t in DOCS}
