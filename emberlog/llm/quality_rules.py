@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm import common as C
+
 #: The most labelled rows that a list is fitted on, those with the smallest hash of doc_id; a documented bound.
 SAMPLE = 20_000
 QUANTILES, MAX_CONDITIONS, MAX_RULES, LEAST_COVER, LEAST_PRECISION = 20, 3, 8, 8, 0.85
@@ -167,10 +169,12 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
-    """The rules, from the labelled rows among docs; only their texts are read."""
+    """The rules, from the labelled rows among docs. Their texts are written out before, as Spark would otherwise push the base rules below the join and work out the statistics of every document."""
     chosen = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    return learn(statistics(few), labels, sample)
+    few = C.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi"), "sample")
+    rules = learn(statistics(few), labels, sample)
+    C.drop_cut(few)
+    return rules
 
 
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
