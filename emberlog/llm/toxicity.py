@@ -7,12 +7,16 @@ is neutral alone. A bucket's input is not 1 but between FLOOR and 1: large where
 all rows, either way, or where it is frequent; it only says how fast a bucket is learned. A score is the logistic of bias,
 weights and pair products over the known buckets of the whole text.
 
-Only text is an input of a score. Null or empty texts have no terms and get the bias's score. Repeated rows: a row each.
-Without labelled rows of both classes the machine has no terms and every score is the smoothed share of toxic labels.
+Only text is an input of a score. Null or empty texts have no terms and get the bias's score; a very long one enters
+whole, by its distinct terms. Repeated rows and rows of one doc_id: a row each, and equal texts have equal scores. A null
+doc_id is not held out, and labels without one teach nothing. A score of exactly 0.5 is predicted toxic. Extra columns,
+also of the names used here, pass through `cleaned` unchanged; an empty table gives no rows. Without labelled rows of both
+classes the machine has no terms and every score is a smoothed share of toxic labels, a quarter if there are none.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +36,8 @@ SAMPLE = 16_000
 FLOOR, SURE, FREQUENT = 0.05, 50.0, 0.5
 FACTORS, EPOCHS, RATE_WEIGHTS, RATE_VECTORS, RATE_BIAS = 8, 20, 0.2, 0.1, 0.1
 KEPT_WORDS = 150_000
+#: Places that are gathered at once for scores (64 bytes each).
+TOGETHER = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,16 +80,33 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        """Probabilities of rows of places."""
-        x = np.full(len(rows), self.bias)
-        for i, r in enumerate(rows):
-            if r:
-                v = self.vectors[r]
-                s = v.sum(axis=0)
-                x[i] += self.weights[r].sum() + 0.5 * float(s @ s - (v * v).sum())
+    def scores(self, rows: list[set[int]]) -> np.ndarray:
+        """Probabilities of rows of places, a bounded number of places at a time."""
+        out, at = [], 0
+        while at < len(rows):
+            end, n = at, 0
+            while end < len(rows) and (end == at or n + len(rows[end]) <= TOGETHER):
+                n += len(rows[end])
+                end += 1
+            out.append(self.sums(rows[at:end], n))
+            at = end
+        x = np.concatenate(out) + self.bias if out else np.empty(0)
         return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
+    def sums(self, rows: list[set[int]], n: int) -> np.ndarray:
+        """Weights and pair products; the places of a row are taken in order, so a score does not depend on its batch."""
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        key = np.repeat(np.arange(len(rows), dtype=np.int64) << 32, counts) | np.fromiter(itertools.chain.from_iterable(rows), np.int64, n)
+        key.sort()
+        place, full = key & 0xFFFFFFFF, np.flatnonzero(counts)
+        x = np.zeros(len(rows))
+        if len(full):
+            starts = (np.cumsum(counts) - counts)[full]
+            v = self.vectors[place].astype(np.float64)
+            s = np.add.reduceat(v, starts, axis=0)
+            x[full] = np.add.reduceat(self.weights[place].astype(np.float64), starts) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), starts))
+        return x
+
 
 def inputs(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     """The input of each bucket, from how far its toxic share is from that of all rows, and how frequent it is."""
@@ -127,8 +150,32 @@ def train(rows: list[np.ndarray] | list[list[int]], labels: np.ndarray, n: int,
     return bias, w * x, v * x[:, None]
 
 
+MACHINE = pa.schema([("bias", pa.float64()), ("buckets", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the machine, from all rows (doc_id, label, buckets) of the sample; their order does not matter."""
+    data = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True))
+    labelled = np.array([label for _, _, label in data], float)
+    toxic, total = labelled.sum(), len(labelled)
+    if not toxic or toxic == total:
+        bias, none = float(np.log((toxic + 1) / (total - toxic + 3))), np.zeros(0, np.int32).tobytes()
+        yield pa.record_batch([pa.array([bias]), *(pa.array([none], pa.binary()) for _ in range(3))], schema=MACHINE)
+        return
+    found = [np.frombuffer(b, "<i4") for _, b, _ in data]
+    met = np.zeros(1 << BITS, bool)
+    for b in found:
+        met[b] = True
+    buckets = np.flatnonzero(met).astype(np.int32)
+    bias, weights, vectors = train([np.searchsorted(buckets, b).astype(np.int32) for b in found], labelled, len(buckets))
+    yield pa.record_batch([pa.array([bias]), *(pa.array([x.tobytes()], pa.binary()) for x in (buckets, weights.astype(np.float32), vectors.astype(np.float32)))], schema=MACHINE)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from labelled rows that are not held out; the distinct buckets of the sample's texts, four bytes each, are fetched."""
+    """Learns from labelled rows that are not held out, in one task over the bounded sample; only the machine is fetched.
+
+    Of labels of one doc_id that differ, the toxic one counts.
+    """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -141,19 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     C.small_batches(docs.sparkSession)
     texts = C.first_with_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = C.cut(texts.mapInArrow(hashed, "doc_id long, label int, buckets binary"), "terms")
-    data = sorted((r.doc_id, bytes(r.buckets), r.label) for r in rows.toLocalIterator())
-    C.drop_cut(rows)
-    labelled = np.array([label for _, _, label in data], float)
-    toxic, total = labelled.sum(), len(labelled)
-    bias = float(np.log((toxic + 1) / (total - toxic + 1)))
-    if not toxic or toxic == total:
-        return Machine(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    found = [np.frombuffer(b, "<i4") for _, b, _ in data]
-    met = np.zeros(1 << BITS, bool)
-    for b in found:
-        met[b] = True
-    buckets = np.flatnonzero(met).astype(np.int32)
-    return Machine(buckets, *train([np.searchsorted(buckets, b) for b in found], labelled, len(buckets)))
+    made = C.cut(rows.coalesce(1).mapInArrow(fitted, "bias double, buckets binary, weights binary, vectors binary"), "machine")
+    one = made.first()
+    C.drop_cut(rows, made)
+    if one is None:  # no labelled row at all
+        one = next(fitted(iter(()))).to_pylist()[0]
+    vectors = np.frombuffer(one["vectors"], np.float32).reshape(-1, FACTORS)
+    return Machine(np.frombuffer(one["buckets"], np.int32), one["bias"], np.frombuffer(one["weights"], np.float32), vectors)
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
@@ -166,7 +207,7 @@ def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
         machine = sent.value
         terms = Terms(machine.buckets)
         for b in batches:
-            s = machine.scores([sorted(terms.of(t)) for t in b.column("text").to_pylist()])
+            s = machine.scores([terms.of(t) for t in b.column("text").to_pylist()])
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     C.small_batches(spark)
@@ -181,4 +222,4 @@ def cleaned(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     rows = score(C.first_with_text(docs), fit(docs, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
