@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python; texts can be long, so far fewer than Spark's default.
@@ -61,6 +61,48 @@ def drop_cut(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a bitmap of hashed keys (64 bits each), broadcast: at most about 10 MB, whatever the number of keys.
+BITMAP_WORDS = 1 << 17
+
+
+def bitmap_word(key: str) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64)), 6).cast("int")
+
+
+def _bit(key: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(word__, bits__) of the hashed keys; join it by bitmap_word() and test with in_bitmap(), which lets few others through."""
+    return keys.select(bitmap_word(key).alias("word__"), _bit(key).alias("bit__")).groupBy("word__").agg(F.bit_or("bit__").alias("bits__"))
+
+
+def in_bitmap(key: str) -> Column:
+    return F.col("bits__").bitwiseAND(_bit(key)) != 0
+
+
+#: Parts that a key's rows are dealt to where a large part of all rows may share it.
+SALTS = 16
+
+
+def salted(many: DataFrame, few: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """A join on a key that a large part of `many` may share: its rows are dealt to SALTS parts by another column, and `few` goes to each."""
+    left = many.withColumn("salt__", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [on, "salt__"], how).drop("salt__")
+
+
+def joined_by_hot(many: DataFrame, few: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """An inner join with a table that knows how many rows of `many` each key has.
+
+    Keys that have more than a thousandth of all rows, so fewer than a thousand of them, are broadcast; the others are dealt.
+    """
+    hot = few.where(F.col(count) * 1000 > total)
+    rest = many.join(F.broadcast(hot.select(on)), on, "left_anti").join(few, on)
+    return many.join(F.broadcast(hot), on).unionByName(rest).drop(count)
+
+
 def first_with_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 

@@ -5,7 +5,8 @@ sequence of words as its only shingle, and one without words has an empty set an
 anything but ASCII white space after A-Z are lower-cased. Documents are linked if the Jaccard similarity of their
 sets is at least `threshold`; a group is a connected component.
 
-1. Documents of equal sets form a class; its smallest doc_id stands for it (copies never meet in pairs).
+1. Documents of equal sets form a class with a number of its own; copies never meet in pairs, and which text a doc_id has
+   plays no part, so rows of one doc_id with different texts are in the classes of their texts.
 2. SetSketch: every shingle emits the points of a Poisson process on the registers; a register keeps the smallest,
    stored as a truncated exponent of base b. Sketches of parts merge by taking maxima.
 3. Bands of registers are hashed; classes with an equal band are candidates. Instead of all pairs of a bucket, each
@@ -15,9 +16,11 @@ sets is at least `threshold`; a group is a connected component.
    otherwise confirmed on the full sets.
 
 Chance of no common band at similarity 0.75: (1 - 0.75**4)**64 < 3e-11 a pair. Shingles are 64-bit hashes.
-Null or empty text: n_shingles 0, its own group. A doc_id names one text: repeated rows of it give a result each, and of
-rows of one doc_id with different texts an arbitrary one would stand for all. A row without doc_id
-takes the group of its equals, if any, and is never kept.
+Null or empty text: n_shingles 0, its own group. Very long texts go whole. Repeated rows, and rows of one doc_id with
+different texts, give a result each; a doc_id reaches what any of its rows is linked with only through that row's text. A row
+without doc_id is linked like others; its component_id is that of its group, null if the group has no doc_id, and it is never
+`kept`. `deduplicated` keeps one whole row of every group (the smallest doc_id, rows without one last, ties by the digest of the
+text) and every row without words. Extra columns pass through, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,10 +42,8 @@ LOG_BASE = math.log(BASE)
 NATS = 12.0
 #: Rows of one block of a hub's neighbourhood; a task compares two blocks.
 BLOCK = 512
-#: Rows of the bitmap of ids (64 bits each) that is broadcast: at most about 10 MB.
-BITMAP_WORDS = 1 << 17
 #: Centre rounds go on while the comparisons left exceed so many per class and the last round still found links.
-WORK_PER_CLASS, CENTRE_ROUNDS = 2000, 4
+WORK_PER_CLASS, CENTRE_ROUNDS = 2000, 8
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -103,26 +104,32 @@ def likely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
     return at >= ll.max(axis=1) - NATS
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("regs", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("place", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("regs", pa.binary())])
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): place names a row by its doc_id and the digest of its text, so only true repeats share it."""
+    text = F.sha2(F.col("text").cast("binary"), 256)
+    return C.first_with_text(docs).withColumn("place", F.concat_ws("/", F.col("doc_id").cast("string"), text))
 
 
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set), regs."""
+    """doc_id, place, n_shingles, set_key (128-bit digest of the set), regs of rows of placed()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, size) for t in b.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             regs = iter(registers(full)) if full else iter(())
             yield pa.record_batch(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())],
                 schema=SKETCH,
             )
 
     C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place string, n_shingles long, set_key binary, regs binary")
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
@@ -166,7 +173,7 @@ def hubs(rows: DataFrame) -> DataFrame:
     """
     size = rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     hub = size.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("hub"))
-    return rows.join(hub, "bucket").select("hub", "id", "comp").distinct()
+    return C.salted(rows, hub, "bucket", F.col("id")).select("hub", "id", "comp").distinct()
 
 
 def hub_work(near: DataFrame) -> float:
@@ -210,7 +217,7 @@ def hub_links(near: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
 
     size = near.groupBy("hub").agg(F.count_if(F.col("comp") != F.col("hub")).alias("o"), F.count_if(F.col("comp") == F.col("hub")).alias("l"))
     blocks = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / F.lit(BLOCK)).cast("int")
-    rows = near.join(size, "hub").withColumn("outer", F.col("comp") != F.col("hub")).withColumn("no", blocks("o")).withColumn("nl", blocks("l"))
+    rows = C.salted(near, size, "hub", F.col("id")).withColumn("outer", F.col("comp") != F.col("hub")).withColumn("no", blocks("o")).withColumn("nl", blocks("l"))
     own = F.pmod(F.xxhash64("id"), F.when(F.col("outer"), F.col("no")).otherwise(F.col("nl"))).cast("int")
     rows = rows.withColumn("own", own)
     steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -242,22 +249,21 @@ def sized_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def full_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of some documents, written to the shared folder.
+def full_sets(texts: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of some classes, from the texts of the rows that stand for them, written to the shared folder.
 
-    Texts are not shuffled for it: a bitmap of the hashed ids, of at most BITMAP_WORDS rows whatever the input,
-    is broadcast and takes out nearly all others; the exact join follows on what is left.
+    Texts are not shuffled for it: a bitmap of the hashed places, of a bounded number of rows whatever the input,
+    is broadcast and takes out nearly all others (fewer, the more millions of classes are asked for); the exact join follows
+    on what is left.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_WORDS * 64))
-    word, bit = F.shiftright(place, 6).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
-    bits = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    near = texts.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
-    return C.cut(near.join(ids, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(make, "id long, shingles binary"), "sets")
+    wanted = ids.join(reps.select("id", "place"), "id")
+    near = texts.withColumn("word__", C.bitmap_word("place")).join(F.broadcast(C.bitmap(wanted, "place")), "word__").where(C.in_bitmap("place")).select("place", "text")
+    return C.cut(near.join(wanted, "place").dropDuplicates(["id"]).select("id", "text").mapInArrow(make, "id long, shingles binary"), "sets")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -307,13 +313,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return comp.unionByName(roots.join(comp.select("id"), "id", "left_anti")) if edges.head(1) else spark.createDataFrame([], "id long, comp long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    docs = C.first_with_text(docs)
-    sketches = C.cut(sketch(docs, size), "sketches")
-    classes = C.cut(sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    reps = C.cut(sketches.join(classes, F.col("doc_id") == F.col("id")).select("id", "n_shingles", "regs").dropDuplicates(["id"]), "reps")
-    texts = docs.withColumnRenamed("doc_id", "id")
+def grouped(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, place, n_shingles, set_key) of every row and (set_key, least, n_rows, comp) of every class; comp is the number of its component."""
+    texts = placed(docs)
+    sketches = C.cut(sketch(texts, size), "sketches")
+    least = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+    # numbers are written down once, so they stay what they are
+    classes = C.cut(least.withColumn("id", F.monotonically_increasing_id()), "classes")
+    stands = (F.col("s.set_key") == F.col("c.set_key")) & F.col("s.doc_id").eqNullSafe(F.col("c.least"))
+    reps = C.cut(sketches.alias("s").join(classes.alias("c"), stands).select("id", "place", "n_shingles", "regs").dropDuplicates(["id"]), "reps")
     rows = C.cut(shared_buckets(bucket_rows(reps)), "buckets")
     work = WORK_PER_CLASS * max(reps.count(), 1000)
 
@@ -321,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
 
     def tested(pairs: DataFrame) -> DataFrame:
         found = C.cut(sized_pairs(pairs, reps, threshold), "likely")
-        sets = full_sets(texts, ends(found), size)
+        sets = full_sets(texts, ends(found), reps, size)
         links = C.cut(confirmed(found, sets, threshold), "links")
         C.drop_cut(found, sets)
         return links
@@ -331,11 +339,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     for turn in range(1, CENTRE_ROUNDS + 1):
         now = rows.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-        now = C.cut(now.join(mixed, "bucket"), "open")
+        now = C.cut(C.salted(now, mixed, "bucket", F.col("id")), "open")
         near = C.cut(hubs(now), "hubs")
         last = turn == CENTRE_ROUNDS or hub_work(near) <= work
         if last:
-            sets = full_sets(texts, near.select("id").distinct(), size)
+            sets = full_sets(texts, near.select("id").distinct(), reps, size)
             found = C.cut(hub_links(near, reps, sets, threshold), "links")
             C.drop_cut(sets)
         else:
@@ -347,14 +355,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
         if last:
             break
     C.drop_cut(rows, reps)
+    by_set = classes.join(comp, "id", "left").select("set_key", "least", "n_rows", F.coalesce("comp", "id").alias("comp"))
+    return sketches.select("doc_id", "place", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")), by_set
 
-    by_set = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows, by_set = grouped(docs, size, threshold)
+    smallest = by_set.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = by_set.join(smallest, "comp").select("set_key", "n_rows", "component_id")
+    alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = alone.unionByName(C.joined_by_hot(rows.where("set_key is not null"), named, "set_key", "n_rows", rows.count()).select("doc_id", "n_shingles", "component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
-    """One row of docs for each group: that of the smallest doc_id."""
-    kept = near_duplicates(docs, size, threshold).where("kept").select(F.col("doc_id").alias("kept__")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept__")).drop("kept__").dropDuplicates(["doc_id"])
+    """One row of docs for each group, and every row without words."""
+    rows, by_set = grouped(docs, size, threshold)
+    members = C.joined_by_hot(rows.where("set_key is not null"), by_set.select("set_key", "n_rows", "comp"), "set_key", "n_rows", rows.count())
+    best = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place"))["place"].alias("place__"))
+    text = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    own = docs.withColumn("place__", F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), text))
+    empty = F.coalesce(F.length(F.regexp_replace(F.col("text").cast("string"), r"[ \t\n\x0B\f\r]+", "")), F.lit(0)) == 0
+    kept = own.where(~empty).join(best.select("place__"), "place__").dropDuplicates(["place__"]).select(docs.columns)
+    return docs.where(empty).unionByName(kept)
