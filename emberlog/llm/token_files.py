@@ -8,11 +8,13 @@ and in the file's schema metadata the shard's number and count of ids. A documen
 ids of the shards before (summed over the index's metadata) and its start.
 
 Files are written under a temporary name and renamed, so a task that runs again after a lost executor replaces its own
-file. Words between ASCII white space are encoded once and kept (the tokenizer drops white space and joins nothing
-across it), which gives the library's ids for the whole text.
+file. Where the tokenizer's file says that it drops white space and joins nothing across it, words between ASCII white
+space are encoded once and kept, which gives the library's ids for the whole text; any other tokenizer gets whole texts.
+Ids have two bytes, or four where the vocabulary needs them. The number of shards follows from the counted bytes of texts.
 
-Null or empty text: only the end id. Ties of doc_id follow text order. An empty table gives no shard. Paths are those
-pyarrow.fs can open (file:, hdfs:, s3:, gs:).
+Null or empty text: only the end id. A very long text goes whole, over as many sequences as it fills. Rows of one doc_id, and
+repeated ones, follow text order and have an index entry each; rows without doc_id come first. Extra columns are ignored,
+whatever their names. An empty table gives no shard. Paths are those pyarrow.fs can open (file:, hdfs:, s3:, gs:).
 """
 
 from __future__ import annotations
@@ -38,18 +40,34 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256.
 _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SAME} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SAME)}
-#: Bytes of one shard's documents as Catalyst estimates them (no job is run for it), and the most shards.
-SHARD_BYTES, MOST_SHARDS = 16_000_000, 100_000
+#: Bytes of the texts of one shard, about.
+SHARD_BYTES = 16_000_000
+# How a tokenizer file says that it composes, lower-cases and drops white space, so that words stand alone.
+ALONE = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def words_stand_alone(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its file's JSON) is of the kind whose words can be encoded one by one; others get whole texts."""
+    parts = {"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}
+    spaced = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokenizer["added_tokens"])
+    return not spaced and all((tokenizer[k] or {}).get(v) == ALONE[k] for k, v in parts.items())
 
 
 class WordEncoder(dict):
-    """Little-endian ids of words, each encoded when it is first met; ids() joins them to those of texts.
+    """Little-endian ids of texts, of two bytes or, for vocabularies above 65,536, of four.
 
-    A plain word (Latin letters, perhaps a closing mark) is one piece to the pre-tokenizer, or a piece and its mark, in
+    Where words stand alone, each is encoded when it is first met, and ids() joins them. A plain word (Latin letters, perhaps a closing mark) is one piece to the pre-tokenizer, or a piece and its mark, in
     composed form already; so the library's model is asked for it directly. All else goes through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: str = "<u2", kept: int = KEPT_WORDS):
+    def __init__(self, tokenizer_file: str, kept: int = KEPT_WORDS):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +75,9 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
-        self.code, self.kept = "H" if dtype[1:] == "u2" else "I", kept
+        self.alone = words_stand_alone(json.loads(self.tokenizer.to_str()))
+        self.dtype = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
+        self.code, self.kept = "H" if self.dtype == "<u2" else "I", kept
         self.stems: dict[str, bytes] = {}
 
     def stem(self, stem: str) -> bytes:
@@ -77,6 +97,8 @@ class WordEncoder(dict):
         return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if not self.alone:
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self) > self.kept:
             self.clear()
         if len(self.stems) > 2 * self.kept:
@@ -86,18 +108,16 @@ class WordEncoder(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def encoder_of(tokenizer_file: str, dtype: str) -> WordEncoder:
+def encoder_of(tokenizer_file: str) -> WordEncoder:
     """One encoder a Python worker, so that its words outlast a task."""
-    return WordEncoder(tokenizer_file, dtype)
+    return WordEncoder(tokenizer_file)
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int = LENGTH, end: int = END, shards: int | None = None) -> DataFrame:
     """Writes the shards and returns (shard, path, n_tokens, n_docs), one row each."""
     docs = C.first_with_text(docs)
     if shards is None:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        shards = min(MOST_SHARDS, max(1, -(-size // SHARD_BYTES)))
-    dtype = "<u2"
+        shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -106,10 +126,12 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int
         shard = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        last, encoder = np.array([end], dtype).tobytes(), None
+        encoder = encoder_of(tokenizer_file)
+        dtype = encoder.dtype
+        last = np.array([end], dtype).tobytes()
         name, part = f"{base}/shard-{shard:06d}", f".{uuid.uuid4().hex}"
         width = np.dtype(dtype).itemsize * length
-        kind = pa.uint16()
+        kind = pa.uint16() if dtype == "<u2" else pa.uint32()
         schema = pa.schema([pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.bool_(), length))])
         index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         total = n_docs = 0
@@ -122,7 +144,6 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int
                 data.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, kind), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
             for b in batches:
-                encoder = encoder or encoder_of(tokenizer_file, dtype)
                 ids = [x + last for x in encoder.ids(b.column(1).to_pylist())]
                 counts = np.array([len(x) for x in ids], np.int64) // np.dtype(dtype).itemsize
                 starts = total + np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(ids) else counts
