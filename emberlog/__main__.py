@@ -31,21 +31,25 @@ def parser() -> argparse.ArgumentParser:
 
     key = ("--key", {"required": True})
     ident = ("--id", {"required": True})
-    command("init", ("--buckets", {"type": int, "default": 128}))
+    command("init", ("--buckets", {"type": int, "default": 128}), ("--option", {"action": "append", "default": [], "help": "name=value of a store's options"}))
     command("put", key, ("--value", {"required": True}), ("--expires-at", {"type": int, "default": 0}))
     command("get", key, ("--out", {}))
     command("exists", key)
     command("del", key)
     command("batch", ("--ops", {"required": True, "help": "a JSON array, or @file"}))
-    command("scan", ("--prefix", {"default": ""}))
+    command("scan", ("--prefix", {"default": ""}), ("--text", {"action": "store_true"}))
     command("status")
-    command("compact")
-    command("vacuum")
-    command("report")
+    command("doctor", ("--pages", {"required": True, "help": "a segment or a folder of them"}), ("--page-size", {"type": int, "default": 65536}), ("--strict", {"action": "store_true"}))
+    command("sweep")
+    command("compact", ("--bucket", {"type": int}), ("--forget", {"type": int, "default": 0, "help": "LSN up to which tombstones may go"}))
+    command("vacuum", ("--all", {"action": "store_true", "help": "compact and sweep, too"}))
+    command("auto-maint", ("--max-buckets", {"type": int, "default": 32}), ("--sweep", {"action": "store_true"}))
+    command("bloom", ("--bytes", {"type": int, "default": 4096}), ("--hashes", {"type": int, "default": 6}))
+    command("report", ("--bucket", {"type": int}))
     command("snapshot-create", ("--message", {"default": ""}), ("--label", {"action": "append"}), ("--parent", {}))
     command("snapshot-list")
     command("snapshot-inspect", ident)
-    command("snapshot-restore", ident, ("--to", {"required": True}))
+    command("snapshot-restore", ident, ("--to", {"required": True}), ("--verify", {"action": "store_true"}))
     command("snapshot-delete", ident)
     command("cdc-ship", ("--since-lsn", {"type": int, "default": 0}), ("--to", {"required": True}))
     command("cdc-apply", ("--from", {"required": True, "dest": "source"}))
@@ -53,13 +57,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark, args: argparse.Namespace, out=print) -> int:
-    from emberlog.operators import reads
-    from emberlog.store import ROWS, Store
+    from emberlog.config import Config
+    from emberlog.operators import compaction, integrity, reads
+    from emberlog.sources import pages
+    from emberlog.store import SHIPPED, Store
 
     now = int(time.time()) if args.now is None else args.now
     if args.command == "init":
         try:
-            Store.create(spark, args.path, args.buckets)
+            Store.create(spark, args.path, config=Config.of({"buckets": str(args.buckets)} | dict(x.split("=", 1) for x in args.option)))
         except FileExistsError:
             out("exists already")
         return 0
@@ -87,16 +93,30 @@ def run(spark, args: argparse.Namespace, out=print) -> int:
         case "batch":
             out(json.dumps({"lsn": s.batch_json(value_of(args.ops).decode())}))
         case "scan":
-            for r in reads.scan_json(s.scan(now, args.prefix.encode())).toLocalIterator():
+            form = reads.scan_text if args.text else reads.scan_json
+            for r in reads.stream(form(s.scan(now, args.prefix.encode()))):
                 out(r.line)
         case "status":
             out(s.status_json(now))
+        case "doctor":
+            pages.register(spark)
+            images = spark.read.format("kvpages").option("page_size", args.page_size).load(args.pages)
+            lines(integrity.doctor(images, args.strict))
+        case "sweep":
+            out(json.dumps({"overflow_pages_freed": s.sweep()}))
         case "compact":
-            out(json.dumps({"generation": s.compact(now)}))
+            told = s.report(now) if args.bucket is None else s.report(now).where(f"bucket = {args.bucket}")
+            said = compaction.summary(told).first().asDict() if args.bucket is None else next((r.asDict() for r in told.collect()), {})
+            out(json.dumps({"generation": s.compact(now, forget=args.forget, buckets=None if args.bucket is None else [args.bucket])} | said))
         case "vacuum":
-            out(json.dumps({"dropped": s.vacuum()}))
+            out(json.dumps(s.vacuum_all(now) if args.all else {"dropped": s.vacuum()}))
+        case "auto-maint":
+            out(json.dumps(s.auto_maintenance(now, args.max_buckets, args.sweep)))
+        case "bloom":
+            s.rebuild_bloom(now, args.bytes, args.hashes)
+            out(s.bloom_state())
         case "report":
-            lines(s.report(now))
+            lines(s.report(now) if args.bucket is None else s.report(now).where(f"bucket = {args.bucket}"))
         case "snapshot-create":
             out(s.snapshot(args.message, args.label, args.parent, now * 1000))
         case "snapshot-list":
@@ -104,13 +124,13 @@ def run(spark, args: argparse.Namespace, out=print) -> int:
         case "snapshot-inspect":
             out(json.dumps(s.inspect(args.id)))
         case "snapshot-restore":
-            s.restore(args.id, args.to)
+            s.restore(args.id, args.to, args.verify)
         case "snapshot-delete":
             s.drop_snapshot(args.id)
         case "cdc-ship":
             s.ship(args.since_lsn).write.mode("append").parquet(args.to)
         case "cdc-apply":
-            out(json.dumps({"last_lsn": s.apply(spark.read.schema(ROWS).parquet(args.source))}))
+            out(json.dumps({"last_lsn": s.apply(spark.read.schema(SHIPPED).parquet(args.source))}))
     return 0
 
 

@@ -18,8 +18,8 @@ def survivors(log: DataFrame, now: int, reset_ttl: bool = False) -> DataFrame:
 
 
 def write_compacted(log: DataFrame, now: int, path: str, files: int) -> None:
-    """Survivors dealt by bucket and sorted by key, so that key ranges and Parquet statistics prune later reads."""
-    survivors(log, now).repartition(files, "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").parquet(path)
+    """Survivors dealt by ranges of bucket and key and sorted, so that Parquet statistics prune later reads and a hot bucket fills several files."""
+    survivors(log, now).repartitionByRange(files, "bucket", "key").sortWithinPartitions("bucket", "key").write.mode("overwrite").parquet(path)
 
 
 def bucket_reports(log: DataFrame, now: int, page_records: int) -> DataFrame:
@@ -50,6 +50,15 @@ def auto_maintenance(log: DataFrame, heads: DataFrame, n: int, now: int, page_re
     return bucket_reports(log.join(F.broadcast(first_buckets(heads, n)), "bucket", "left_semi"), now, page_records)
 
 
+def auto_summary(reports: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+    """What a round of maintenance did: buckets looked at and written, pages written, overflow pages freed by a sweep."""
+    done = reports.agg(F.count("*").alias("buckets_scanned"), F.count_if(F.col("pages_written") > 0).alias("buckets_compacted"), F.coalesce(F.sum("pages_written"), F.lit(0)).cast("long").alias("pages_written_sum"))
+    if orphans is None:
+        return done.withColumn("overflow_pages_freed", F.lit(0).cast("long"))
+    freed = orphans.agg(F.count("*").alias("overflow_pages_freed")).withColumn("one__", F.lit(1))
+    return done.withColumn("one__", F.lit(1)).join(freed, "one__").drop("one__")
+
+
 def long_chains(log: DataFrame, threshold: int = 64) -> DataFrame:
     return log.groupBy("bucket").agg(F.count_distinct("page_id").alias("chain_len")).where(F.col("chain_len") >= threshold)
 

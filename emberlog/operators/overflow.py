@@ -54,3 +54,26 @@ def guarded(values: DataFrame, limit: int = 1 << 30) -> DataFrame:
     """Fails when a value is larger than the limit."""
     size = F.octet_length("value")
     return values.withColumn("value", F.when(F.coalesce(size, F.lit(0)) <= limit, F.col("value")).otherwise(F.raise_error(F.lit("value above the limit")).cast("binary")))
+
+
+def inflated(parts: DataFrame) -> DataFrame:
+    """Chunks with chunk_len as the length of what they stand for."""
+    packed = F.col("codec_id") == 1
+    plain = F.when(packed, zstd_decompress(F.when(packed, F.col("payload")))).otherwise(F.col("payload"))
+    return parts.withColumn("payload", plain).withColumn("codec_id", F.lit(0)).withColumn("chunk_len", F.octet_length("payload"))
+
+
+def expanded(chains: DataFrame, parts: DataFrame, max_bytes: int = 1 << 30, max_chunks: int = 1_000_000, zstd: bool = True) -> DataFrame:
+    """(chain_id, value) of chains (chain_id, total_len): a chain above either limit, or of another length, is an error.
+
+    The limits are held against the stated length and the number of chunks before any chunk is put together.
+    """
+    counts = parts.groupBy("chain_id").agg(F.count("*").alias("n__"))
+    held = chains.join(counts, "chain_id", "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("chain_id").cast("string")))
+    sound = F.when(F.col("total_len") > max_bytes, fail("value above the limit: chain ")).when(F.coalesce("n__", F.lit(0)) > max_chunks, fail("too many chunks: chain "))
+    checked = held.withColumn("bad__", sound.cast("string")).where(F.col("bad__").isNull()).select("chain_id", "total_len")
+    whole = reassembled(parts.join(checked.select("chain_id"), "chain_id", "left_semi"), zstd).withColumnRenamed("total_len", "found__")
+    got = checked.join(whole, "chain_id", "left")
+    ok = F.coalesce(F.col("found__"), F.lit(0)) == F.col("total_len")
+    return got.select("chain_id", F.when(ok, F.col("value")).otherwise(fail("another length than stated: chain ").cast("binary")).alias("value"))

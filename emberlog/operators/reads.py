@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.scalars import prefix_predicate
+from emberlog.functions.scalars import display_text, prefix_predicate
 from emberlog.operators.fold import newest, visible
 
 
@@ -55,6 +55,11 @@ def scan_json(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.to_json(line).alias("line"))
 
 
+def scan_text(rows: DataFrame) -> DataFrame:
+    """One readable line for each pair; bytes that are no UTF-8 are named by their number."""
+    return rows.select("key", F.concat(display_text(F.col("key")), F.lit(" = "), display_text(F.col("value"))).alias("line"))
+
+
 def keydir(log: DataFrame, now: int) -> DataFrame:
     """Where the deciding record of each key lies; page and slot are null under a tombstone."""
     at = newest(log.drop("value"), now)
