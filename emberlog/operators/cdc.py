@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.ordered import max_before, numbered
+from emberlog.sources.wal import HEADER, MAGIC, TRUNCATE
 
-#: Record types of the log.
-BEGIN, IMAGE, DELTA, COMMIT, TRUNCATE, HEADS = 1, 2, 3, 4, 5, 6
+#: Record types of the log, beside that of a truncation.
+BEGIN, IMAGE, DELTA, COMMIT, HEADS = 1, 2, 3, 4, 6
 HEAD_ENTRY = 12
 
 
@@ -63,17 +64,19 @@ def bad_heads(frames: DataFrame) -> DataFrame:
     return frames.where(~heads_valid())
 
 
-def little_endian(bytes_: Column, at: Column, n: int) -> Column:
-    """Unsigned integer of n bytes from a binary column, within a signed 64-bit range (an all-ones value becomes -1)."""
-    digits = F.concat(*(F.hex(F.substring(bytes_, at + (n - 1 - k), F.lit(1))) for k in range(n)))
-    return F.when(digits == "F" * 2 * n, F.lit(-1).cast("long")).otherwise(F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long"))
+def little_endian(digits: Column, at: Column, n: int) -> Column:
+    """Unsigned integer of n bytes from hex digits, `at` counted in bytes from 1; within a signed 64-bit range (an all-ones value becomes -1)."""
+    turned = F.concat(*(F.substring(digits, 2 * (at + (n - 1 - k)) - 1, F.lit(2)) for k in range(n)))
+    return F.when(turned == "F" * 2 * n, F.lit(-1).cast("long")).otherwise(F.conv(turned, 16, 10).cast("decimal(20,0)").cast("long"))
 
 
 def decoded_heads(frames: DataFrame) -> DataFrame:
-    """(lsn, ord, i, bucket, head_pid) of valid payloads of 12-byte entries."""
-    each = frames.where(heads_valid()).select("lsn", "ord", "payload", F.explode(F.sequence(F.lit(0), (F.octet_length("payload") / HEAD_ENTRY).cast("int") - 1)).alias("i"))
-    at = F.col("i") * HEAD_ENTRY + 1
-    return each.select("lsn", "ord", "i", little_endian(F.col("payload"), at, 4).cast("int").alias("bucket"), little_endian(F.col("payload"), at + 4, 8).alias("head_pid"))
+    """(lsn, ord, i, bucket, head_pid) of valid payloads of 12-byte entries; a payload is turned into digits once, then cut into entries."""
+    digits = frames.where(heads_valid()).select("lsn", "ord", F.hex("payload").alias("h"))
+    entries = F.split(F.regexp_replace("h", f"(.{{{2 * HEAD_ENTRY}}})(?=.)", "$1,"), ",")
+    each = digits.select("lsn", "ord", F.posexplode(entries).alias("i", "e"))
+    one = lambda n: F.lit(n)
+    return each.select("lsn", "ord", "i", little_endian(F.col("e"), one(1), 4).cast("int").alias("bucket"), little_endian(F.col("e"), one(5), 8).alias("head_pid"))
 
 
 def applied_heads(frames: DataFrame, floor: int, block: Column) -> DataFrame:
@@ -85,11 +88,14 @@ def applied_heads(frames: DataFrame, floor: int, block: Column) -> DataFrame:
     return last.select("bucket", F.when(F.col("head_pid") >= 0, F.col("head_pid")).alias("head_pid"))
 
 
-def mid_headers(frames: DataFrame, by: str = "stream_id") -> DataFrame:
-    """Repeated stream headers (rec_type 0) and whether they may be skipped: right after a truncation, or first of all."""
-    w = Window.partitionBy(by).orderBy("ord")
-    before = F.lag("rec_type").over(w)
-    return frames.withColumn("before", before).where("rec_type = 0").select(by, "ord", (F.col("before").isNull() | (F.col("before") == TRUNCATE)).alias("skipped"))
+def mid_headers(frames: DataFrame, by: str = "stream_id", block: Column | None = None) -> DataFrame:
+    """Repeated stream headers (rec_type 0) and whether they may be skipped: right after a truncation, or first of all.
+
+    The frame before is the last in the order of (ord, rec_type), found block by block, so a hot stream is no single task.
+    """
+    block = F.floor(F.col("ord") / F.lit(1 << 32)) if block is None else block
+    rows = max_before(frames, F.struct("ord", "rec_type"), F.col("ord"), block, [by], "before").where("rec_type = 0")
+    return rows.select(by, "ord", (F.col("before").isNull() | (F.col("before.rec_type") == TRUNCATE)).alias("skipped"))
 
 
 def progress(frames: DataFrame, by: list[str]) -> DataFrame:
@@ -107,8 +113,8 @@ def oversized(frames: DataFrame, page_size: int, buckets: int) -> DataFrame:
     return frames.where(F.octet_length("payload") > cap)
 
 
-def without_hello(frames: DataFrame, header_len: int = 16) -> DataFrame:
+def without_hello(frames: DataFrame, header_len: int = HEADER) -> DataFrame:
     """Streams whose first frame is not the log's header."""
     first = frames.groupBy("stream_id").agg(F.min_by("payload", "ord").alias("first"))
-    magic = F.substring(F.col("first"), 1, 8) == F.encode(F.lit("P2WAL001"), "UTF-8")
+    magic = F.substring(F.col("first"), 1, 8) == F.lit(bytearray(MAGIC))
     return first.where(~((F.octet_length("first") == header_len) & magic)).select("stream_id")

@@ -53,3 +53,9 @@ def decisions(log: DataFrame, now: int, by: str = "page_id") -> DataFrame:
     top = log.groupBy("key", by).agg(top_code(now, flag).alias("top__"))
     kind = F.col("top__") % 4
     return top.select("key", by, F.when(F.col("top__").isNull(), "continue").when(kind == 1, "tombstone").when(kind == 2, "overflow").otherwise("valid").alias("decision"))
+
+
+def exists_decisions(log: DataFrame, now: int, by: str = "page_id") -> DataFrame:
+    """(key, page, decision) of each page alone without reading a value: tombstone, present or continue."""
+    top = log.select("key", by, "expires_at_sec", "tombstone", "seq").groupBy("key", by).agg(top_code(now, F.col("tombstone").cast("long")).alias("top__"))
+    return top.select("key", by, F.when(F.col("top__").isNull(), "continue").when(F.col("top__") % 4 == 1, "tombstone").otherwise("present").alias("decision"))

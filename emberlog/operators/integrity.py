@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.ordered import max_before
+from emberlog.functions.scalars import page_location, unwrapped_key
+
 KV, OVERFLOW = 2, 3
+#: LSNs of one block when pages are matched with key epochs.
+EPOCH_BLOCK = 1 << 16
 
 
 def classified(pages: DataFrame, strict: bool = False) -> DataFrame:
@@ -39,23 +44,63 @@ def trusted(tag_ok: Column, crc_ok: Column, lsn: Column, since: Column, strict:
 
 
 def epoch_of(pages: DataFrame, epochs: DataFrame) -> DataFrame:
-    """The key epoch of each page: the last with since_lsn <= lsn. Epochs are a key history (one row a rotation).
+    """The key epoch of each page: the last with since_lsn <= lsn; pages before the first have none.
 
-    Epochs become intervals by lead(); the table is sorted into one row and searched in place, so pages are not shuffled.
+    Both sides are dealt by coarse blocks of LSNs; an epoch that still holds when a later block begins goes to the blocks
+    where none begins too, by the same running maximum over the table of blocks. Nothing is collected or crossed.
     """
-    packed = epochs.agg(F.sort_array(F.collect_list(F.struct("since_lsn", "kid"))).alias("e")).withColumn("one__", F.lit(1))
-    rows = pages.withColumn("one__", F.lit(1)).join(F.broadcast(packed), "one__").drop("one__")
-    past = F.filter("e", lambda x: x["since_lsn"] <= F.col("lsn"))
-    return rows.withColumn("kid", F.get(past, F.size(past) - 1)["kid"]).drop("e")
+    width = F.lit(EPOCH_BLOCK)
+    kind = F.struct(F.col("since_lsn").alias("since"), F.col("kid"))
+    both = epochs.select(F.col("since_lsn").alias("lsn"), F.lit(0).alias("is_page"), kind.alias("e")).unionByName(pages.select("lsn", F.lit(1).alias("is_page"), F.lit(None).cast(epochs.select(kind.alias("e")).schema["e"].dataType).alias("e"), F.struct("*").alias("row")), allowMissingColumns=True)
+    order = F.struct("lsn", "is_page")
+    held = max_before(both, F.col("e"), order, F.floor(F.col("lsn") / width), [], "last").where("is_page = 1")
+    return held.select("row.*", F.col("last.kid").alias("kid"))
 
 
 def valid_epochs(epochs: DataFrame) -> DataFrame:
-    """Rows whose since_lsn does not grow strictly over the one before, by ord."""
-    from pyspark.sql import Window
-
-    return epochs.withColumn("before", F.lag("since_lsn").over(Window.orderBy("ord"))).where("before >= since_lsn")
+    """Rows whose since_lsn does not grow strictly over all before, by ord."""
+    held = max_before(epochs, F.col("since_lsn"), F.col("ord"), F.floor(F.col("ord") / F.lit(EPOCH_BLOCK)), [], "before")
+    return held.where("before >= since_lsn")
 
 
 def last_keys(entries: DataFrame) -> DataFrame:
     """(kid, wrapped) of a key ring (ord, kid, wrapped): the last entry of each key id wins."""
     return entries.groupBy("kid").agg(F.max_by("wrapped", "ord").alias("wrapped"))
+
+
+def key_id(explicit: str | None, journal: DataFrame | None, default: str | None) -> str:
+    """Which key is used: the one asked for, else the journal's last (since_lsn, kid), else the environment's, else `default`."""
+    if explicit is not None:
+        return explicit
+    last = journal.agg(F.max_by("kid", "since_lsn")).first()[0] if journal is not None else None
+    return last if last is not None else default if default is not None else "default"
+
+
+def data_key(kid: str, ring: DataFrame | None, kek: bytes | None, static: bytes | None) -> bytes:
+    """The 32 bytes of a key: unwrapped from the ring's last entry, or the environment's where the ring has none."""
+    row = last_keys(ring.where(F.col("kid") == kid)).first() if ring is not None else None
+    if row is not None:
+        if kek is None:
+            raise ValueError(f"key {kid} is wrapped and there is no key to unwrap it")
+        one = ring.sparkSession.createDataFrame([(bytearray(row.wrapped), bytearray(kek))], "wrapped binary, kek binary")
+        found = bytes(one.select(unwrapped_key(F.col("wrapped"), F.col("kek"))).first()[0])
+    elif static is not None:
+        found = static
+    else:
+        raise KeyError(kid)
+    if len(found) != 32:
+        raise ValueError(f"key {kid} has {len(found)} bytes, not 32")
+    return found
+
+
+def unallocated(pages: DataFrame, next_page_id: int, segment_bytes: DataFrame | None = None, page_size: int = 65536) -> DataFrame:
+    """Page ids (page_id) that must not be read: at or beyond the next one to be given out.
+
+    With the bytes (segment, bytes) of segments the lenient rule holds: such a page may be read where its segment has it whole.
+    """
+    beyond = pages.where(F.col("page_id") >= next_page_id)
+    if segment_bytes is None:
+        return beyond
+    at = beyond.withColumn("at__", page_location(F.col("page_id"), page_size)).withColumn("segment", F.col("at__.segment"))
+    held = at.join(segment_bytes.select("segment", F.col("bytes").alias("held__")), "segment", "left")
+    return held.where(F.coalesce("held__", F.lit(0)) < F.col("at__.offset") + page_size).select(pages.columns)

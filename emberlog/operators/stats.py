@@ -19,6 +19,17 @@ def chain_stats(log: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("buckets"), zero(F.min("n"), "long", "min_len"), zero(F.avg("n"), "double", "avg_len"), zero(F.max("n"), "long", "max_len"))
 
 
+def chain_length(log: DataFrame, bucket: int) -> DataFrame:
+    """Pages of one bucket; the predicate reaches the scan."""
+    return log.where(F.col("bucket") == bucket).agg(F.count_distinct("page_id").alias("chain_len"))
+
+
+def throughput(ops: DataFrame, by: str, at: str) -> DataFrame:
+    """(by, ops, seconds, per_second) of operations with a Unix time in seconds; zero where all came at once."""
+    span = (F.max(at) - F.min(at)).cast("double")
+    return ops.groupBy(by).agg(F.count("*").alias("ops"), span.alias("seconds")).withColumn("per_second", ratio(F.col("ops"), F.col("seconds")))
+
+
 def overflow_stats(parts: DataFrame) -> DataFrame:
     return parts.agg(F.count("*").alias("pages"), F.coalesce(F.sum("chunk_len"), F.lit(0)).cast("long").alias("bytes"))
 

@@ -2,8 +2,9 @@
 
 `kvpages` gives one row a page (its header, whether its checksum holds, its bytes); `kvrecords` one row a record of the
 key-value pages, in slot order, with large values as (total_len, chain_id) instead of a placeholder; `kvdirectory` the
-head page of each bucket. Options: `path` (a file, or a folder of *.p2seg segments; dir-000 for the directory), `page_size`.
-Segments are read in ranges of whole pages, one input partition each, so one file does not bound the parallelism.
+head page of each bucket. Options: `path` (a file, or a folder of *.p2seg segments; dir-000 for the directory), `page_size`;
+for records also `corrupt` (`fail`, or `skip` pages whose checksum does not hold) and `strict` (a checksum of zero fails,
+too). A segment that ends within a page gives a row with the error `short read` in `kvpages` and counts as corrupt. Segments are read in ranges of whole pages, one input partition each, so one file does not bound the parallelism.
 """
 
 from __future__ import annotations
@@ -94,6 +95,11 @@ def page_row(page: bytes, at: int) -> tuple:
     return page_id, kind, lsn, signed(nxt) if nxt is not None else None, codec, used, chunk, err is None, err, zero, len(page), page
 
 
+def short_row(page: bytes, at: int) -> tuple:
+    """The row of a page that the segment ends in."""
+    return at, None, None, None, None, None, None, False, "short read", False, len(page), page
+
+
 def record_rows(page: bytes) -> Iterator[tuple]:
     """Records of a key-value page, older first (the order of slots)."""
     magic, _, kind, page_id = PREFIX.unpack_from(page)
@@ -144,6 +150,7 @@ def ranges(path: str, page_size: int) -> list[Range]:
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict, records: bool):
         self.path, self.size, self.records = options["path"], int(options.get("page_size", 65536)), records
+        self.skip, self.strict = options.get("corrupt", "fail") == "skip", options.get("strict", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
         return ranges(self.path, self.size)
@@ -151,12 +158,15 @@ class PagesReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         store, base = opened(partition.path)
         with store.open_input_file(base) as f:
-            for at in range(partition.start, partition.stop - self.size + 1, self.size):
-                page = f.read_at(self.size, at)
-                if self.records:
+            for at in range(partition.start, partition.stop, self.size):
+                page = f.read_at(min(self.size, partition.stop - at), at)
+                row = page_row(page, at // self.size) if len(page) == self.size else short_row(page, at // self.size)
+                if not self.records:
+                    yield row
+                elif row[7] and not (self.strict and row[9]):
                     yield from record_rows(page)
-                else:
-                    yield page_row(page, at // self.size)
+                elif not self.skip:
+                    raise ValueError(f"page {row[0]} at {at} of {partition.path}: {row[8] or 'checksum of zero'}")
 
 
 class PagesSource(DataSource):

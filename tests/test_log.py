@@ -135,7 +135,7 @@ def test_ordered_columns(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
     got = [r.i for r in numbered(df, [F.col("v")], F.floor("v")).orderBy("n").collect()]
     assert got == sorted(range(500), key=lambda i: values[i])
-    q = {r.q: r.v for r in nearest_rank(df, "v", [0.5, 0.99], F.floor("v")).collect()}
+    q = {r.q: r.v for r in nearest_rank(df, "v", [0.5, 0.99]).collect()}
     assert q == {p: sorted(values)[int(499 * p + 0.5)] for p in (0.5, 0.99)}
     top = {r.i: r.t for r in max_before(df.withColumn("g", F.lit(1)), F.col("v"), F.col("i"), F.floor(F.col("i") / 7), ["g"], "t").collect()}
     assert top[0] is None and all(top[i] == max(values[:i]) for i in range(1, 500))
@@ -148,6 +148,12 @@ def test_snapshots(spark):
     assert pairs(snapshots.collectable(objects, "s1"), "hash_hex") == {("h2",)}
     store = spark.createDataFrame([("h1", "c1")], "hash_hex string, content string")
     assert pairs(snapshots.restored(objects, store, "s2"), "content") == {("c1",)}
+    with pytest.raises(Exception, match="another hash"):
+        snapshots.restored(objects, store, "s2", verify=True).collect()
+    with pytest.raises(Exception, match="another length"):
+        snapshots.restored(objects, store, "s2", page_size=4096).collect()
+    with pytest.raises(ValueError, match="page_size"):
+        snapshots.same_geometry({"page_size": 4096, "buckets": 8}, 8192, 8)
     with pytest.raises(Exception, match="object missing"):
         snapshots.restored(objects, store, "s1").collect()
 
