@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from emberlog.config import Config
 from emberlog.functions import scalars as S
 from emberlog.functions.ordered import nearest_rank
-from emberlog.operators import cdc, compaction, fold, integrity, overflow, reads, snapshots, stats, writes
+from emberlog.operators import bloom, cdc, compaction, fold, integrity, overflow, paging, reads, snapshots, stats, writes
 from emberlog.plans import testkit as K
+from emberlog.sources import wal
+from emberlog.store import Store
 
 QUERIES, SQL = {}, {}
 NOW = K.NOW
@@ -37,7 +41,7 @@ def query(sql: str | None = None, *parts: str):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+            SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
         return f
 
     return add
@@ -283,18 +287,69 @@ def lazy_compact_candidates(spark, sf):
     return compaction.long_chains(K.ev_pages(spark, sf), 20).select(*long("bucket"), "chain_len")
 
 
-@query()
+@query(
+    f"""SELECT bucket, CAST(page_no AS BIGINT) AS page_no, count(*) AS records, CAST(sum(size) AS BIGINT) AS data_bytes FROM filled GROUP BY 1, 2""",
+    LOG,
+    f"""sized AS (SELECT bucket, octet_length(encode(key))+coalesce(octet_length(encode(value)),0)+11 AS size, row_number() OVER (PARTITION BY bucket ORDER BY seq) AS i FROM log),
+    filled AS (SELECT bucket, i, size, 0 AS page_no, 1 AS n, size AS used FROM sized WHERE i=1
+      UNION ALL SELECT s.bucket, s.i, s.size, CASE WHEN f.used+s.size+6*(f.n+1)+80>{K.PAGE_SIZE} THEN f.page_no+1 ELSE f.page_no END,
+      CASE WHEN f.used+s.size+6*(f.n+1)+80>{K.PAGE_SIZE} THEN 1 ELSE f.n+1 END, CASE WHEN f.used+s.size+6*(f.n+1)+80>{K.PAGE_SIZE} THEN s.size ELSE f.used+s.size END
+      FROM filled f JOIN sized s ON s.bucket=f.bucket AND s.i=f.i+1)""",
+)
 def pack_pages(spark, sf):
-    return compaction.packed(K.ev_log(spark, sf), K.PAGE_SIZE, F.octet_length("key") + F.octet_length("value") + 11)
+    return compaction.packed(K.ev_log(spark, sf), K.PAGE_SIZE, F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 11)
 
 
-@query()
+#: XXH64 of keys of up to 31 bytes in SQL, in 128-bit arithmetic: a lane of eight bytes each, then one of four, then single bytes.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+M64 = (1 << 64) - 1
+
+
+def _u(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _times(a: str, b: int) -> str:
+    return f"((({a}) * {_u(b)}) & {_u(M64)})"
+
+
+def _turn(a: str, n: int) -> str:
+    """Rotation to the left, as products and quotients of powers of two."""
+    return f"(((({a}) * {_u(1 << n)}) & {_u(M64)}) + (({a}) // {_u(1 << (64 - n))}))"
+
+
+def _xxh64(key: str, seed: int, out: str) -> str:
+    """A table `out` (key, h) of the distinct keys of the table `key`."""
+    value = lambda at, n: "(" + " + ".join(f"list_extract(b, CAST({at} + {k} AS INTEGER))::UHUGEINT * {_u(256**k)}" for k in range(n)) + ")"
+    add = lambda a, b: f"((({a}) + ({b})) & {_u(M64)})"
+    lane = f"xor(h, {_times(_turn(_times('v', P2), 31), P1)})"
+    return f"""{out}_0 AS (SELECT key, len(b) AS n, b, {add(_u((seed + P5) & M64), 'len(b)::UHUGEINT')} AS h FROM (SELECT key, [CAST(('0x'||substr(hex(encode(key)), 2*i+1, 2)) AS INTEGER) FOR i IN range(octet_length(encode(key)))] AS b FROM (SELECT DISTINCT key FROM {key}))),
+    {out}_8 AS (SELECT key, n, b, 0 AS i, h FROM {out}_0 UNION ALL SELECT key, n, b, i+8, {add(_times(_turn(lane, 27), P1), _u(P4))} FROM (SELECT *, {value('i+1', 8)} AS v FROM {out}_8 WHERE i+8<=n)),
+    {out}_8e AS (SELECT key, n, b, max(i) AS i, max_by(h, i) AS h FROM {out}_8 GROUP BY 1, 2, 3),
+    {out}_4 AS (SELECT key, n, b, i, h FROM {out}_8e WHERE i+4>n UNION ALL SELECT key, n, b, i+4, {add(_times(_turn(f"xor(h, {_times('v', P1)})", 23), P2), _u(P3))} FROM (SELECT *, {value('i+1', 4)} AS v FROM {out}_8e WHERE i+4<=n)),
+    {out}_1 AS (SELECT key, n, b, i, h FROM {out}_4 UNION ALL SELECT key, n, b, i+1, {_times(_turn(f"xor(h, {_times('v', P5)})", 11), P1)} FROM (SELECT *, {value('i+1', 1)} AS v FROM {out}_1 WHERE i+1<=n)),
+    {out}_e AS (SELECT key, h FROM {out}_1 WHERE i=n),
+    {out} AS (SELECT key, xor(h, h // {_u(1 << 32)}) AS h FROM (SELECT key, {_times(f"xor(h, h // {_u(1 << 29)})", P3)} AS h FROM (SELECT key, {_times(f"xor(h, h // {_u(1 << 33)})", P2)} AS h FROM {out}_e)))"""
+
+
+@query(
+    f"SELECT DISTINCT CAST(v.bucket AS BIGINT) AS bucket, CAST(((a.h + ((i::UHUGEINT * b.h) & {_u(M64)})) & {_u(M64)}) % 32768 AS BIGINT) AS bit FROM visible v JOIN h1 a ON v.key=a.key JOIN h2 b ON v.key=b.key, range({bloom.HASHES}) t(i)",
+    LOG, _xxh64("visible", bloom.SEEDS[0], "h1"), _xxh64("visible", bloom.SEEDS[1], "h2"),
+)
 def bloom_bits(spark, sf):
-    """Set bits of each bucket's filter over the visible keys: 32768 bits, six probes h1 + i * h2."""
+    """Set bits of each bucket's filter over the visible keys."""
     keys = reads.scan_all(K.ev_log(spark, sf), NOW).select("key")
-    h1, h2 = F.xxhash64(F.lit(1), "key"), F.xxhash64(F.lit(2), "key").bitwiseOR(F.lit(1))
-    bits = keys.select(S.bucket_of(F.col("key"), K.BUCKETS).alias("bucket"), F.explode(F.array(*(F.pmod(F.shiftright(h1, 1) + F.shiftright(h2, 8) * i, F.lit(32768)) for i in range(6)))).alias("bit"))
-    return bits.distinct()
+    return bloom.set_bits(keys.select(S.bucket_of(F.col("key"), K.BUCKETS).alias("bucket"), F.encode("key", "UTF-8").alias("key"))).select(*long("bucket"), "bit")
+
+
+@query("SELECT p.idx, p.key, v.key IS NOT NULL AS found FROM probes p LEFT JOIN visible v ON p.key=v.key WHERE v.key IS NOT NULL", LOG)
+def bloom_probe(spark, sf):
+    """Probes that the filters let through and that are there: a filter never hides a key."""
+    log = K.ev_log(spark, sf)
+    keys = reads.scan_all(log, NOW).select("key")
+    dealt = lambda df: df.withColumn("bucket", S.bucket_of(F.col("key"), K.BUCKETS)).withColumn("text", F.col("key")).withColumn("key", F.encode("key", "UTF-8"))
+    maybe = bloom.tested(bloom.built(dealt(keys).select("bucket", "key")), dealt(K.probes(spark, sf))).where("maybe").select("idx", F.col("text").alias("key"))
+    return reads.exists_many(log, maybe, NOW).where("found")
 
 
 # ---- statistics
@@ -327,25 +382,35 @@ def ratio_metrics(spark, sf):
 
 @query("SELECT q, x[1+CAST(round((n-1)*q) AS INTEGER)] AS v FROM (SELECT list_sort(list(value)) x, count(value) n FROM events), (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) q)")
 def latency_percentiles(spark, sf):
-    return nearest_rank(K.table(spark, sf, "events"), "value", [0.5, 0.9, 0.99], F.floor("value"))
+    return nearest_rank(K.table(spark, sf, "events"), "value", [0.5, 0.9, 0.99])
 
 
-STATUS = "(SELECT count(DISTINCT key) FROM log) AS keys, (SELECT count(*) FROM log) AS versions, (SELECT count(*) FROM visible) AS visible_keys, (SELECT max(lsn) FROM log) AS last_lsn"
+STATUS = """(SELECT count(DISTINCT key) FROM log) AS keys, (SELECT count(*) FROM log) AS versions, (SELECT count(*) FROM visible) AS visible_keys, (SELECT count(*) FROM newest WHERE tomb) AS deleted_keys, (SELECT max(lsn) FROM log) AS last_lsn,
+  (SELECT count(head_pid) FROM heads) AS used_buckets, (SELECT count(*) FROM heads) AS buckets, (SELECT max(n) FROM chains) AS chain_max, (SELECT min(n) FROM chains) AS chain_min, (SELECT sum(n)::BIGINT FROM chains) AS pages,
+  (SELECT count(*) FROM (SELECT 1 FROM pages GROUP BY bucket, page_id HAVING count(*)=1)) AS single_record_pages, (SELECT sum(octet_length(encode(value)))::BIGINT FROM log) AS value_bytes"""
+CHAINS = "chains AS (SELECT bucket, count(DISTINCT page_id) n FROM pages GROUP BY 1)"
+STATUS_NAMES = ["keys", "versions", "visible_keys", "deleted_keys", "last_lsn", "used_buckets", "buckets", "chain_max", "chain_min", "pages", "single_record_pages", "value_bytes"]
 
 
 def _status(spark, sf):
-    log = K.ev_log(spark, sf)
-    one = log.agg(F.count_distinct("key").alias("keys"), F.count("*").alias("versions"), F.max("lsn").alias("last_lsn")).withColumn("one__", F.lit(1))
-    seen = fold.visible(log, NOW).agg(F.count("*").alias("visible_keys")).withColumn("one__", F.lit(1))
-    return one.join(seen, "one__").select("keys", "versions", "visible_keys", "last_lsn")
-
-
-@query(f"""SELECT '{{"keys":'||keys||',"versions":'||versions||',"visible_keys":'||visible_keys||',"last_lsn":'||last_lsn||'}}' AS status FROM (SELECT {STATUS})""", LOG)
+    log, pages = K.ev_log(spark, sf), K.ev_pages(spark, sf)
+    one = lambda df: df.withColumn("one__", F.lit(1))
+    whole = log.agg(F.count_distinct("key").alias("keys"), F.count("*").alias("versions"), F.max("lsn").alias("last_lsn"), F.sum(F.octet_length("value")).alias("value_bytes"))
+    seen = fold.newest(log.drop("value"), NOW).agg(F.count_if(~F.col("tombstone")).alias("visible_keys"), F.count_if("tombstone").alias("deleted_keys"))
+    packs = stats.pack_stats(pages).select("pages", "single_record_pages")
+    chains = stats.chain_stats(pages).select(F.col("min_len").alias("chain_min"), F.col("max_len").alias("chain_max"))
+    out = one(whole)
+    for part in (seen, packs, chains, stats.used_buckets(K.heads(spark, sf))):
+        out = out.join(one(part), "one__")
+    return out.select(STATUS_NAMES)
+
+
+@query("SELECT '{" + ",".join(f'"{n}":\'||{n}||\'' for n in STATUS_NAMES) + f"}}' AS status FROM (SELECT {STATUS})", LOG, CHAINS)
 def status_json(spark, sf):
     return stats.status_json(_status(spark, sf))
 
 
-@query(f"SELECT unnest(['emberlog_keys '||keys, 'emberlog_last_lsn '||last_lsn, 'emberlog_versions '||versions, 'emberlog_visible_keys '||visible_keys]) AS line FROM (SELECT {STATUS})", LOG)
+@query("SELECT unnest([" + ", ".join(f"'emberlog_{n} '||{n}" for n in sorted(STATUS_NAMES)) + f"]) AS line FROM (SELECT {STATUS})", LOG, CHAINS)
 def prometheus_text(spark, sf):
     return stats.prometheus_text(_status(spark, sf))
 
@@ -445,11 +510,11 @@ def wal_midheader(spark, sf):
 
 @query(
     """SELECT page_id, lsn, payload FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lsn DESC, ord) rn FROM
-    (SELECT page_id, lsn, ord, payload FROM frames WHERE rec_type=2 UNION ALL SELECT c_custkey%200, 300, -1, c_name FROM customer WHERE c_custkey<=200)) WHERE rn=1""",
+    (SELECT page_id, lsn, ord, payload FROM frames WHERE rec_type=2 UNION ALL SELECT c_custkey, 300, -1, c_name FROM customer)) WHERE rn=1""",
     FRAMES,
 )
 def wal_replay_state(spark, sf):
-    current = K.table(spark, sf, "customer").where("c_custkey <= 200").select((F.col("c_custkey") % 200).alias("page_id"), F.lit(300).cast("long").alias("lsn"), F.col("c_name").alias("payload"))
+    current = K.table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.lit(300).cast("long").alias("lsn"), F.col("c_name").alias("payload"))
     return cdc.replayed(K.frames(spark, sf), current).select("page_id", "lsn", "payload")
 
 
@@ -458,13 +523,22 @@ def cdc_progress(spark, sf):
     return cdc.progress(K.frames(spark, sf), ["stream_id"])
 
 
-@query()
+def _pad(secret: bytes, byte: int) -> str:
+    return "from_hex('" + bytes(x ^ byte for x in secret.ljust(64, b"\0")).hex() + "')"
+
+
+SECRET = b"a shared secret!"
+_LE = lambda c, n: "from_hex(" + "||".join(f"lpad(hex(({c} // {256**k}) % 256), 2, '0')" for k in range(n)) + ")"
+MAC_BODY = f"from_hex('{S.FRAME_MAGIC.hex()}')||{_LE('seq', 8)}||{_LE('octet_length(encode(payload))', 4)}||encode(payload)"
+
+
+@query(f"SELECT stream_id, seq, sha256({_pad(SECRET, 0x5C)}||from_hex(sha256({_pad(SECRET, 0x36)}||{MAC_BODY}))) AS mac, seq%10<>0 AS mac_ok FROM frames", FRAMES)
 def cdc_mac_ok(spark, sf):
-    """Frames whose MAC under a shared secret holds; every tenth is forged."""
-    rows = K.frames(spark, sf).select("stream_id", "seq", F.encode(F.concat_ws("|", F.col("seq").cast("string"), "payload"), "UTF-8").alias("body"))
-    mac = S.hmac_sha256(b"a shared secret!")
-    sent = rows.withColumn("mac", F.when(F.col("seq") % 10 == 0, F.sha2("body", 256).cast("binary")).otherwise(mac("body")))
-    return sent.select("stream_id", "seq", (mac("body") == F.col("mac")).alias("mac_ok"))
+    """Each frame's MAC under a shared secret, and whether the one that came with it holds; every tenth is forged."""
+    rows = K.frames(spark, sf).select("stream_id", "seq", S.framed(F.col("seq"), F.encode("payload", "UTF-8")).alias("body"))
+    rows = rows.withColumn("own", S.hmac_sha256(SECRET)("body"))
+    sent = rows.withColumn("sent", F.when(F.col("seq") % 10 == 0, F.unhex(F.sha2("body", 256))).otherwise(F.col("own")))
+    return sent.select("stream_id", "seq", F.lower(F.hex("own")).alias("mac"), (F.col("own") == F.col("sent")).alias("mac_ok"))
 
 
 # ---- snapshots
@@ -551,25 +625,238 @@ def page_size_valid(spark, sf):
     return K.table(spark, sf, "part").select("p_partkey", S.page_size_valid(F.col("p_partkey") * 64).alias("valid"))
 
 
-@query()
+PAGE_BYTES = "encode(rpad(content, 240, ' '))||from_hex('" + "00" * 16 + "')"
+
+
+@query(
+    "SELECT page_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(('0x'||substr(hex(page), CAST(2*i+1 AS BIGINT), 2)) AS BIGINT) FOR i IN range(256)]), lambda c, b: xor(c//256, t[CAST(xor(c%256, b) AS INTEGER)+1])), 4294967295) AS crc32c FROM bare, (SELECT list(v ORDER BY k) AS t FROM crc_table)",
+    IMAGES,
+    "steps AS (SELECT k, k AS v, 0 AS i FROM (SELECT unnest(range(256))::BIGINT AS k) UNION ALL SELECT k, CASE WHEN v%2=1 THEN xor(v//2, 2197175160) ELSE v//2 END, i+1 FROM steps WHERE i<8)",
+    "crc_table AS (SELECT k, v FROM steps WHERE i=8)",
+    f"bare AS (SELECT page_id, {PAGE_BYTES} AS page FROM images)",
+)
 def page_crc(spark, sf):
-    return K.page_images(spark, sf).select("page_id", S.crc32c(F.encode("content", "UTF-8")).alias("crc32c"))
+    """CRC32C of pages with their trailer zeroed."""
+    return _whole_pages(spark, sf).select("page_id", S.crc32c(S.bare_page(F.col("page"))).alias("crc32c"))
 
 
-@query()
+def _whole_pages(spark, sf):
+    """Pages of 256 bytes whose trailers hold something."""
+    page = F.concat(F.encode(F.rpad("content", 240, " "), "UTF-8"), F.lit(bytearray(b"\x07" * 16)))
+    return K.page_images(spark, sf).withColumn("page", page)
+
+
+@query(f"SELECT key, lpad(lower(format('{{:x}}', h)), 16, '0') AS xxh64, CAST(h % 256 AS INTEGER) AS fingerprint, CAST(h % {K.BUCKETS} AS INTEGER) AS bucket FROM kh", LOG, _xxh64("log", 0, "kh"))
 def key_hash(spark, sf):
-    """XXH64 (seed 0) of keys and the eight-bit fingerprint in it."""
-    return K.ev_log(spark, sf).select("key").distinct().withColumn("xxh64", S.xxh64_hex(F.encode("key", "UTF-8"))).withColumn("fingerprint", F.conv(F.substring("xxh64", 15, 2), 16, 10).cast("int"))
+    """XXH64 (seed 0) of keys, the eight-bit fingerprint in it, and the bucket as the binary files have it."""
+    keys = K.ev_log(spark, sf).select("key").distinct().withColumn("xxh64", S.xxh64_hex(F.encode("key", "UTF-8")))
+    return keys.select("key", "xxh64", F.conv(F.substring("xxh64", 15, 2), 16, 10).cast("int").alias("fingerprint"), S.bucket_of_xxh64(F.encode("key", "UTF-8"), K.BUCKETS).alias("bucket"))
 
 
 @query()
 def aead_tag(spark, sf):
-    """Tags of page images under a fixed key; the nonce is the low 48 bits of page id and LSN."""
-    low = lambda c: F.lpad(F.hex(c), 12, "0")
-    nonce = F.unhex(F.concat(low("page_id"), low("lsn")))
-    page = F.encode("content", "UTF-8")
-    tag = S.gcm_tag(page, F.unhex(F.lit("11" * 32)), nonce, F.concat(F.encode(F.lit("P2AEAD01"), "UTF-8"), F.substring(page, 1, 16)))
-    return K.page_images(spark, sf).select("page_id", F.lower(F.hex(tag)).alias("tag"))
+    """Tags of pages under a fixed key, and whether the page that holds its tag is found sound (every seventh is changed)."""
+    key = F.unhex(F.lit("11" * 32))
+    rows = _whole_pages(spark, sf).withColumn("tag", S.page_tag(F.col("page"), key, F.col("page_id"), F.col("lsn")))
+    body = F.when(F.col("page_id") % 7 == 0, F.overlay("page", F.lit(bytearray(b"?")), 100)).otherwise(F.col("page"))
+    rows = rows.withColumn("sealed", F.concat(F.substring(body, 1, 240), F.col("tag")))
+    return rows.select("page_id", F.lower(F.hex("tag")).alias("tag"), S.page_tag_ok(F.col("sealed"), key, F.col("page_id"), F.col("lsn")).alias("sound"))
+
+
+# ---- more of the same data
+
+
+@query("SELECT p_partkey AS page_id FROM part WHERE p_partkey>=50 AND (p_partkey*4096)%33554432+4096>300000")
+def unallocated_pages(spark, sf):
+    """Pages beyond the last given out that their segment does not hold whole."""
+    pages = K.page_images(spark, sf).select("page_id")
+    held = pages.select(S.page_location(F.col("page_id"), 4096)["segment"].alias("segment")).distinct().withColumn("bytes", F.lit(300000))
+    return integrity.unallocated(pages, 50, held, 4096)
+
+
+@query("SELECT key, page_id, CASE WHEN n IS NULL THEN 'continue' WHEN n THEN 'tombstone' ELSE 'present' END AS decision FROM (SELECT key, page_id, max_by(tomb, seq) FILTER (tomb OR exp=0 OR exp>" + str(NOW) + ") AS n FROM pages GROUP BY 1, 2)", LOG)
+def kv_decide_exists(spark, sf):
+    return fold.exists_decisions(K.ev_pages(spark, sf), NOW)
+
+
+@query("SELECT key, key||' = '||value AS line FROM visible", LOG)
+def scan_text(spark, sf):
+    return reads.scan_text(fold.visible(K.ev_log(spark, sf), NOW).select("key", F.encode("key", "UTF-8").alias("k"), F.encode("value", "UTF-8").alias("v")).select(F.col("k").alias("key"), F.col("v").alias("value"))).withColumn("key", F.decode("key", "UTF-8"))
+
+
+@query("SELECT s_suppkey AS ord, CAST(s_suppkey*13%50 AS BIGINT) AS since_lsn FROM (SELECT *, max(s_suppkey*13%50) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM supplier) WHERE top>=s_suppkey*13%50")
+def epochs_out_of_order(spark, sf):
+    k = F.col("s_suppkey")
+    rows = K.table(spark, sf, "supplier").select(k.alias("ord"), (k * 13 % 50).alias("since_lsn"))
+    return integrity.valid_epochs(rows).select("ord", "since_lsn")
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS kid, max_by(s_name, s_suppkey) AS wrapped FROM supplier GROUP BY 1")
+def keyring_last(spark, sf):
+    rows = K.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_nationkey").cast("string").alias("kid"), F.col("s_name").alias("wrapped"))
+    return integrity.last_keys(rows)
+
+
+@query("SELECT p_partkey, octet_length(encode(p_name)) AS n, lower(hex(p_name)) AS back, true AS same FROM part")
+def base64_decode(spark, sf):
+    p = K.table(spark, sf, "part")
+    back = S.base64_bytes(F.concat(F.lit(" "), F.base64(F.encode("p_name", "UTF-8")), F.lit(" ")))
+    return p.select("p_partkey", F.octet_length(back).cast("long").alias("n"), F.lower(F.hex(back)).alias("back"), (F.decode(back, "UTF-8") == F.col("p_name")).alias("same"))
+
+
+@query("SELECT p_partkey, left(regexp_replace(lower(hex(p_name)), '(..)', '\\1 ', 'g'), least(47, 3*octet_length(encode(p_name))::INTEGER-1)) AS line FROM part WHERE p_name<>''")
+def hex_dump(spark, sf):
+    """The first line of each value's dump."""
+    return K.table(spark, sf, "part").where("p_name <> ''").select("p_partkey", F.get(S.hex_lines(F.encode("p_name", "UTF-8")), 0).alias("line"))
+
+
+@query("SELECT p_partkey, lower(trim(t)) IN ('1','true','yes','on') AS v FROM (SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN ' TRUE' WHEN 1 THEN '0' WHEN 2 THEN 'On ' WHEN 3 THEN 'yes' ELSE p_name END AS t FROM part)")
+def env_bool(spark, sf):
+    k = F.col("p_partkey") % 5
+    text = F.when(k == 0, " TRUE").when(k == 1, "0").when(k == 2, "On ").when(k == 3, "yes").otherwise(F.col("p_name"))
+    return K.table(spark, sf, "part").select("p_partkey", S.env_bool(text).alias("v"))
+
+
+@query("SELECT hash_hex, any_value(bytes) AS bytes FROM objects GROUP BY 1", OBJECTS)
+def object_sizes(spark, sf):
+    d = K.table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content"))
+    store = d.select(F.sha2("content", 256).alias("hash_hex"), "content").dropDuplicates(["hash_hex"])
+    return snapshots.sizes(store, K.manifest_objects(spark, sf).select("hash_hex").distinct())
+
+
+@query("SELECT count(*) AS buckets_scanned, count(*) FILTER (pages_written>0) AS buckets_compacted, sum(pages_written)::BIGINT AS pages_written_sum, (SELECT count(*) FROM orphans) AS overflow_pages_freed FROM report WHERE bucket IN (SELECT bucket FROM heads WHERE head_pid IS NOT NULL ORDER BY bucket LIMIT 5)", LOG, REPORT)
+def auto_maint_summary(spark, sf):
+    told = compaction.auto_maintenance(K.ev_pages(spark, sf), K.heads(spark, sf), 5, NOW, K.PAGE_RECORDS)
+    return compaction.auto_summary(told, _orphans(spark, sf))
+
+
+@query("SELECT count(DISTINCT page_id) AS chain_len FROM pages WHERE bucket=5", LOG)
+def chain_length(spark, sf):
+    return stats.chain_length(K.ev_pages(spark, sf), 5)
+
+
+@query("SELECT event_type, count(*) AS ops, (max(s)-min(s))::DOUBLE AS seconds, CASE WHEN max(s)=min(s) THEN 0 ELSE count(*)/(max(s)-min(s))::DOUBLE END AS per_second FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) GROUP BY 1")
+def throughput(spark, sf):
+    return stats.throughput(K.table(spark, sf, "events").select("event_type", S.seconds_of(F.col("ts")).alias("s")), "event_type", "s")
+
+
+def _content(spark, sf):
+    d = K.table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content"), "doc_id")
+    return d.select("doc_id", F.sha2("content", 256).alias("hash_hex"), "content")
+
+
+@query("SELECT o.hash_hex, k.hash_hex IS NOT NULL AS found FROM (SELECT DISTINCT hash_hex FROM objects) o LEFT JOIN (SELECT DISTINCT hash_hex FROM objects WHERE page_id%3=0) k ON o.hash_hex=k.hash_hex", OBJECTS)
+def object_has(spark, sf):
+    return snapshots.present(_content(spark, sf).where("doc_id % 3 = 0"), K.manifest_objects(spark, sf).select("hash_hex").distinct())
+
+
+@query("SELECT DISTINCT sha256(text) AS hash_hex, md5(text) AS content_md5 FROM documents")
+def object_get(spark, sf):
+    store = _content(spark, sf).dropDuplicates(["hash_hex"])
+    return snapshots.fetched(store, K.manifest_objects(spark, sf).select("hash_hex").distinct()).select("hash_hex", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT DISTINCT page_id, sha256(text) AS hash_hex, octet_length(encode(text)) AS n FROM objects JOIN documents ON page_id=doc_id WHERE snapshot_id='s1'", OBJECTS)
+def snap_restore_verified(spark, sf):
+    """Every object is hashed again."""
+    store = _content(spark, sf).dropDuplicates(["hash_hex"])
+    return snapshots.restored(K.manifest_objects(spark, sf), store, "s1", verify=True).select("page_id", "hash_hex", F.octet_length("content").cast("long").alias("n"))
+
+
+# ---- binary pages, files and a store on disk
+
+
+def _log_pages(spark, sf):
+    return paging.to_pages(K.ev_log(spark, sf), K.PAGE_SIZE)
+
+
+@query("SELECT CAST(bucket AS BIGINT) AS bucket, key, CASE WHEN NOT tomb THEN value END AS value, exp AS expires_at_sec, tomb AS tombstone, seq//1000 AS block FROM log", LOG)
+def page_records(spark, sf):
+    """Every record of the log, packed into binary pages and read back from them in order of bucket, page and slot."""
+    rows = paging.records(_log_pages(spark, sf)).withColumn("bucket", F.floor(F.col("page_id") / paging.OF_BUCKET))
+    log = K.ev_log(spark, sf).select("bucket", "seq")
+    place = Window.partitionBy("bucket").orderBy("page_id", "slot")
+    order = Window.partitionBy("bucket").orderBy("seq")
+    numbered = rows.withColumn("i", F.row_number().over(place)).join(log.withColumn("i", F.row_number().over(order)), ["bucket", "i"])
+    return numbered.select(*long("bucket"), F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "expires_at_sec", "tombstone", F.expr("seq div 1000").alias("block"))
+
+
+PACKED = SQL["pack_pages"].split("SELECT bucket, CAST(page_no")[0]
+
+
+@query()
+def page_verify(spark, sf):
+    """Pages of the log, every third with a byte changed: whether their checksums hold, and what the header says."""
+    changed = F.when(F.col("page_id") % 3 == 1, F.overlay("bytes", F.lit(bytearray(b"?")), 70)).otherwise(F.col("bytes"))
+    return paging.checked(_log_pages(spark, sf).withColumn("bytes", changed)).select("page_id", *long("page_type", "used_slots"), F.col("next_pid"), "lsn", "ok", F.coalesce("err", F.lit("")).alias("err"))
+
+
+SQL["page_verify"] = PACKED + f"""SELECT bucket*{paging.OF_BUCKET}::BIGINT+page_no AS page_id, 2::BIGINT AS page_type, count(*) AS used_slots, CASE WHEN page_no>0 THEN bucket*{paging.OF_BUCKET}::BIGINT+page_no-1 END AS next_pid,
+  max(lsn) AS lsn, (bucket*{paging.OF_BUCKET}::BIGINT+page_no)%3<>1 AS ok, CASE WHEN (bucket*{paging.OF_BUCKET}::BIGINT+page_no)%3=1 THEN 'checksum mismatch' ELSE '' END AS err
+  FROM filled JOIN (SELECT bucket AS b, lsn, row_number() OVER (PARTITION BY bucket ORDER BY seq) AS j FROM log) ON bucket=b AND i=j GROUP BY bucket, page_no"""
+
+
+@query("SELECT stream_id, rec_type::BIGINT AS rec_type, lsn, page_id, payload FROM (SELECT '0000000000000007' AS stream_id, rec_type, lsn, page_id, payload FROM frames)", FRAMES)
+def wal_files(spark, sf):
+    """Frames written as change-log files, one a task, and read back."""
+    wal.register(spark)
+    folder = K.scratch(spark, "wal")
+    K.frames(spark, sf).select("rec_type", "lsn", "page_id", F.encode("payload", "UTF-8").alias("payload")).write.format("kvwal").mode("append").option("stream_id", "7").save(folder)
+    return spark.read.format("kvwal").load(folder).select("stream_id", *long("rec_type"), "lsn", "page_id", F.decode("payload", "UTF-8").alias("payload"))
+
+
+def _store(spark, sf, name, **options):
+    """A store with the customers' operations as one batch."""
+    s = Store.create(spark, K.scratch(spark, name), config=Config(buckets=K.BUCKETS, **options))
+    s.batch(_ops(spark, sf).withColumn("key", F.encode("key", "UTF-8")).withColumn("value", F.encode("value", "UTF-8")))
+    return s
+
+
+def _pairs(rows):
+    return rows.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+@query("SELECT key, value FROM last WHERE NOT tomb", OPS)
+def store_scan(spark, sf):
+    """A batch, compacted twice, the second time with its tombstones forgotten."""
+    s = _store(spark, sf, "store")
+    s.compact(NOW)
+    s.compact(NOW, forget=s.last()[1])
+    return _pairs(s.scan(NOW))
+
+
+@query("SELECT key, value FROM last WHERE NOT tomb AND key<>'1' UNION ALL SELECT 'late', 'row'", OPS)
+def store_replica(spark, sf):
+    """A replica that hears of a delete and a put across compactions of its source."""
+    s, other = _store(spark, sf, "source"), Store.create(spark, K.scratch(spark, "replica"), 8)
+    other.apply(s.ship(0))
+    s.delete(b"1", NOW)
+    s.compact(NOW)
+    other.apply(s.ship(other.last()[1]))
+    s.put(b"late", b"row")
+    s.compact(NOW)
+    other.apply(s.ship(other.last()[1]))
+    return _pairs(other.scan(NOW))
+
+
+@query("SELECT key, value FROM last WHERE NOT tomb", OPS)
+def store_restored(spark, sf):
+    """What a snapshot pinned, restored elsewhere with all counts checked, after the store has gone on."""
+    s = _store(spark, sf, "store", zstd=True, overflow_above=10)
+    snap = s.snapshot("before")
+    s.delete(b"1", NOW)
+    s.compact(NOW)
+    return _pairs(s.restore(snap, K.scratch(spark, "restored"), verify=True).scan(NOW))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, octet_length(encode(text)) AS n, sha256(text) AS hash_hex FROM documents")
+def store_large_values(spark, sf):
+    """Documents as values, the larger ones in compressed chunks beside the log, read after a sweep."""
+    s = Store.create(spark, K.scratch(spark, "large"), config=Config(buckets=K.BUCKETS, page_size=K.PAGE_SIZE, overflow_above=K.THRESHOLD, zstd=True))
+    d = K.table(spark, sf, "documents")
+    s.batch(d.select(F.col("doc_id").alias("ord"), F.lit("put").alias("op"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("key"), F.encode("text", "UTF-8").alias("value"), F.lit(0).cast("long").alias("expires_at_sec")))
+    s.sweep()
+    return s.scan(NOW).select(F.decode("key", "UTF-8").alias("key"), F.octet_length("value").cast("long").alias("n"), F.sha2("value", 256).alias("hash_hex"))
 
 
 def queries():
