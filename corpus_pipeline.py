@@ -2,6 +2,10 @@
 
 toxicity (toxic documents go), quality_rules (poor ones go), near_dedup (one of each group stays), decontaminate (those
 with a benchmark passage go), sentencepiece (what stays is encoded, and decoded again as a check).
+
+Every stage takes rows with nulls in any column, extra columns whatever their names, and empty tables (which stay empty).
+Null, empty and short texts go with the quality rules (fewer than 50 words); a null doc_id is no reason to go. Repeated rows and
+copies, also under one doc_id, become one row in near_dedup. Very long texts go whole through all stages.
 """
 
 from __future__ import annotations
