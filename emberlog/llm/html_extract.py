@@ -4,15 +4,21 @@ A page is cut into blocks at block-level tags; a block knows its length, its sha
 share of stop words, whether it is a heading, and the region it stands in (outside, an article, or one that its tag,
 role, class or id marks as menu, header, footer, sidebar, notice, advert, form or comments).
 
-Pass 1, each block alone: a marked region or a high share of links is boilerplate; long text with enough stop words
-is content, and so is any long text of an article, or of a page in a language that the stop words (English, French,
-German, Spanish) are not of; the rest is open.
-Pass 2: open blocks (short ones, mostly) take the label of the nearest decided neighbour of their region, a tie going
-to content; headings look forward first. A region with nothing decided is content if it is an article, else not.
-
-Character references are decoded, white space of a block becomes one space, blocks are joined by a newline. Null or
-empty html gives an empty text. Broken markup is read leniently: end tags without a start are ignored, a
-paragraph, list item, row or cell ends with the next one or with its parent, and what else is never closed ends with the page. Repeated rows: a row each.
+Pass 1, each block alone: a high share of links or a marked region is boilerplate; long text with enough stop words is
+content, inside an article or not, and so is any long text of a page in a language that the stop words (English, French,
+German, Spanish) are not of. The rest is open: headings, short blocks, long ones with few stop words, and in an article
+also a linked sentence (enough stop words, ending like one).
+Pass 2: open blocks take the label of the nearest decided neighbour of their region, a tie going to content; headings look
+forward first. A region with nothing decided is content if it is an article, else not.
+
+Character references are decoded, white space of a block becomes one space, blocks are joined by a newline. Broken markup is
+read leniently: end tags without a start are ignored, a paragraph, list item, row or cell ends with the next one or with its
+parent, a link goes on through blocks up to its end tag, or to the end of its block if it has none, and what else is never
+closed ends with the page.
+
+Null or empty html gives an empty text; very long pages go whole, in time linear in them. Repeated rows, and rows of one
+page_id or without one: a row each. Two decided neighbours that are equally far: see pass 2. Extra columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +43,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s></]*)((?:[
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: The next begin or end of a link, and the ends of elements whose contents are no text.
+LINK = re.compile(r"<(/?)a(?=[\s>/])", re.I | re.A)
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 BLOCK_TAGS = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an opening tag ends although its end tag is missing, and the elements that such a search stops at.
 NEAR = BLOCK_TAGS - {"li", "dt", "dd", "option", "address", "div", "p", "label", "legend"}
@@ -89,8 +98,8 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, region, marked, article
     parts: list[str] = []
-    links = regions = in_link = 0
-    heading = False
+    links = regions = 0
+    in_link = through = heading = False
 
     def end() -> None:
         nonlocal links
@@ -115,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in stops:
                 return
 
-    at, low = 0, page.lower()
+    at = 0
     while (m := TOKEN.match(page, at)) is not None:
         at = m.end()
         tag = m[2]
@@ -128,12 +137,15 @@ def blocks_of(page: str) -> list[Block]:
         tag, closing = tag.lower(), m[1] == "/"
         if tag in RAW:
             if not closing and not m[3].endswith("/>"):
-                stop = low.find(f"</{tag}", at)
-                at = len(page) if stop < 0 else stop
+                stop = RAW_ENDS[tag].search(page, at)
+                at = stop.start() if stop else len(page)
                 parts.append(" ")
             continue
         if tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
+            if in_link:  # with an end tag of its own it goes on through blocks
+                nearest = LINK.search(page, at)
+                through = nearest is not None and nearest[1] == "/"
             continue
         if tag not in BLOCK_TAGS:
             if tag == "br":
@@ -142,7 +154,7 @@ def blocks_of(page: str) -> list[Block]:
         end()
         if tag in HEADINGS:
             heading = not closing
-        in_link = 0
+        in_link = in_link and through
         if closing:
             if tag == "p":
                 leave({"p"}, AROUND)
@@ -167,18 +179,20 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def decide(b: Block, unknown: bool = False) -> bool | None:
-    """Pass 1: content, boilerplate, or open; `unknown` if the stop words say nothing about the page."""
-    if b.marked:
-        return False
+def decide(b: Block, unknown: bool = False) -> tuple[bool | None, str]:
+    """Pass 1: content, boilerplate, or open, and by which rule; `unknown` if the stop words say nothing about the page."""
+    stops, words = stops_of(b)
+    dense = stops >= ENOUGH_STOPS * words
     if b.links > MOST_LINKS * len(b.text):
-        return False
+        sentence = b.article and not b.marked and dense and b.text[-1] in ".!?…"
+        return (None, "linked sentence") if sentence else (False, "links")
+    if b.marked:
+        return False, "marked"
     if b.heading or len(b.text) < LONG:
-        return None
-    if b.article or unknown:
-        return True
-    stops, words = stops_of(b)
-    return True if stops >= ENOUGH_STOPS * words else None
+        return None, "short"
+    if dense:
+        return True, "stop words"
+    return (True, "length") if unknown else (None, "few stop words")
 
 
 def stops_of(b: Block) -> tuple[int, int]:
@@ -193,9 +207,10 @@ def is_unknown(blocks: list[Block]) -> bool:
     return sum(n for k, n in counts if k >= ENOUGH_STOPS * n) < KNOWN * sum(n for _, n in counts)
 
 
-def main_text(page: str | None) -> str:
+def explained(page: str | None) -> list[tuple[str, bool, str]]:
+    """(text, kept, rule) of every block."""
     blocks = blocks_of(page or "")
-    unknown = not all(b.article or b.marked for b in blocks) and is_unknown(blocks)
+    unknown = is_unknown(blocks)
     first = [decide(b, unknown) for b in blocks]
     n = len(blocks)
     # nearest decided neighbour of the same region, by one walk each way
@@ -204,25 +219,30 @@ def main_text(page: str | None) -> str:
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
-            if first[i] is not None:
-                last[blocks[i].region] = (i, first[i])
+            if first[i][0] is not None:
+                last[blocks[i].region] = (i, first[i][0])
             out[i] = last.get(blocks[i].region)
-    kept = []
+    told = []
     for i, b in enumerate(blocks):
-        label = first[i]
+        label, rule = first[i]
         if label is None:
             x, y = before[i], after[i]
-            if b.heading and y is not None:
-                label = y[1]
-            elif x is None and y is None:
-                label = b.article
-            elif x is None or y is None:
-                label = (x or y)[1]
+            if x is None and y is None:
+                label, rule = b.article, "region"
             else:
-                label = x[1] if i - x[0] < y[0] - i else y[1] if y[0] - i < i - x[0] else x[1] or y[1]
-        if label:
-            kept.append(b.text)
-    return "\n".join(kept)
+                rule = "neighbour"
+                if b.heading and y is not None:
+                    label = y[1]
+                elif x is None or y is None:
+                    label = (x or y)[1]
+                else:
+                    label = x[1] if i - x[0] < y[0] - i else y[1] if y[0] - i < i - x[0] else x[1] or y[1]
+        told.append((b.text, label, rule))
+    return told
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(text for text, kept, _ in explained(page) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
