@@ -7,11 +7,14 @@ For every row, languages get a posterior from
 * the address suffix, likewise;
 * the host: a prior of how many other rows of the host are of each language, smoothed towards its domain's, and that
   towards the corpus's (leaving the row itself out).
-All counts are grouped aggregations over all rows of the languages that the text alone suggests; the tables of hosts
-and suffixes are joined, not broadcast, so they can grow with the corpus, and a hot host is only many compact rows.
+All counts are grouped aggregations over all rows of the languages that the text alone suggests. Domain and suffix go with
+the host, so rows are joined to one table of hosts, which grows with the corpus and is dealt; hosts with more than a
+thousandth of all rows are broadcast instead, and rows without a host are not joined at all.
 
 Null or empty texts have no text evidence, missing addresses and declarations none of theirs; a row without any gets
-the corpus's most common language. Ties go to the first language in alphabetical order. Repeated rows: a row each.
+the corpus's most common language. Very long texts go whole. Ties go to the first language in alphabetical order. Repeated
+rows, and rows of one id or without one: a row each. Extra columns are ignored, whatever their names. Empty tables give no
+rows; without a labelled row the only language is `und`.
 """
 
 from __future__ import annotations
@@ -66,16 +69,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = some.union(ids.withColumn("rank__", rank).where(F.col("rank__") <= OF_EACH).select("doc_id")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, np.ndarray] = {}
         for b in batches:
-            by: dict[str, np.ndarray] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by[lang] = by.get(lang, 0) + np.bincount(trigrams(text), minlength=1 << BITS)
-            yield pa.record_batch([pa.array(list(by), pa.string()), pa.array([v.astype("<i8").tobytes() for v in by.values()], pa.binary())], names=["lang", "counts"])
+        for lang, v in by.items():
+            yield pa.record_batch([pa.array([lang], pa.string()), pa.array([v.astype("<i8").tobytes()], pa.binary())], names=["lang", "counts"])
 
     C.small_batches(labelled.sparkSession)
     few = C.cut(rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id").select("lang", "text"), "labelled")
     counts: dict[str, np.ndarray] = {}
-    for r in few.coalesce(2).mapInArrow(count, "lang string, counts binary").toLocalIterator():  # a row for each batch and language
+    for r in few.coalesce(2).mapInArrow(count, "lang string, counts binary").toLocalIterator():  # a row for each task and language
         counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
     C.drop_cut(few) if counts else None
     langs = sorted(counts) or ["und"]
@@ -128,7 +132,7 @@ def fuse(rows: DataFrame, languages: list[str], kappa: float = KAPPA) -> DataFra
     rows = rows.withColumn("own", argmax(F.col("likelihood")))
     tally = F.array(*(F.count_if(F.col("own") == k) for k in range(n)))
     nil = F.array(*(F.lit(0).cast("long") for _ in range(n)))
-    total = rows.agg(tally.alias("t")).first()["t"]
+    total, n_rows = rows.agg(tally.alias("t"), F.count("*")).first()
     base = [(t + 1) / (sum(total) + n) for t in total]
     lang_of = {x: k for k, x in enumerate(languages)}
     # how texts of each language declare themselves: one row for each known language and one for others
@@ -138,11 +142,11 @@ def fuse(rows: DataFrame, languages: list[str], kappa: float = KAPPA) -> DataFra
     speaks = [[float(np.log((said.get(c, [0] * n)[k] + SMOOTH) / (per[k] + SMOOTH * (n + 1)))) for k in range(n)] for c in range(n + 1)]
     table = F.array(*(F.array(*map(F.lit, x)) for x in speaks))
     named = rows.where(F.col("host").isNotNull())
-    hosts = named.groupBy("host", "domain").agg(tally.alias("host_n"))
-    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.get("host_n", F.lit(k))) for k in range(n))).alias("domain_n"))
-    hosts = hosts.join(domains, "domain").select("host", "host_n", "domain_n")
-    suffixes = named.where(F.col("suffix").isNotNull()).groupBy("suffix").agg(tally.alias("suffix_n"))
-    rows = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    hosts = named.groupBy("host", "domain", "suffix").agg(tally.alias("host_n"), F.count("*").alias("n_rows"))
+    add_up = lambda by, name: hosts.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*(F.sum(F.get("host_n", F.lit(k))) for k in range(n))).alias(name))
+    hosts = hosts.join(add_up("domain", "domain_n"), "domain", "left").join(add_up("suffix", "suffix_n"), "suffix", "left").select("host", "n_rows", "host_n", "domain_n", "suffix_n")
+    found = C.joined_by_hot(named, hosts, "host", "n_rows", n_rows)
+    rows = rows.where(F.col("host").isNull()).unionByName(found, allowMissingColumns=True)
     own = F.array(*(F.coalesce((F.col("own") == k).cast("long"), F.lit(0).cast("long")) for k in range(n)))
     less = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.coalesce(F.col(c), nil), k) - F.when(F.col(c).isNotNull(), F.get(own, k)).otherwise(0))
     rows = rows.withColumn("host_n", less("host_n")).withColumn("domain_n", less("domain_n")).withColumn("suffix_n", less("suffix_n"))

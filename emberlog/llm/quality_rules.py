@@ -10,8 +10,10 @@ thresholds (at quantiles of the sample), grown by FOIL gain on two thirds of the
 class of bad texts; texts covered by a rule leave the sample, and the next rule is grown. Only the sample's numbers
 (features and label, no text) reach the driver. The list becomes one ordered CASE expression.
 
-Null or empty text: all zero, base_failed. Ties and repeated rows: a row each. With no labelled row of either class the
-list is empty and keeps what passes the base rules.
+Null or empty text: all zero, base_failed. Very long texts go whole. Repeated rows, and rows of one doc_id or without one: a row
+each. A value equal to a threshold is not above it; of rules of equal gain the first in order of feature, side and threshold
+is grown. Of labels of one doc_id that differ, the better one counts. Extra columns pass through in `row`, whatever their names. An
+empty table gives no rows. With no labelled row of either class the list is empty and keeps what passes the base rules.
 """
 
 from __future__ import annotations

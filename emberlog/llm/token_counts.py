@@ -7,7 +7,9 @@ encoded independently. If an overlap has no such boundary, it is doubled, up to
 always those of the whole text. The memory of one encoding is bounded by the chunk unless a text has no stable
 boundary at all.
 
-Null or empty text: 0 bytes, 0 tokens. Repeated doc_ids: a row each.
+Null or empty text: 0 bytes, 0 tokens. Very long texts are what the method is for; none is cut short. Repeated rows, and rows
+of one doc_id or without one: a row each, so equal texts have equal counts. Of several stable boundaries in an overlap the
+last is taken. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
