@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python; texts can be long, so far fewer than Spark's default.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python; texts can be long, so far fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: a batch holds BATCH_ROWS texts at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the memory of a Python worker: a batch holds BATCH_ROWS rows at most, and no more than BATCH_BYTES unless one row has.
+
+    The settings stay with the session, as frames are run after the operators that made them have returned; smaller ones are left.
+    """
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
+    """Session settings for the jobs that run inside, put back afterwards; `_` in a name stands for `.`."""
+    names = {k.replace("_", "."): v for k, v in changed.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -3,8 +3,10 @@
 Text with its dummy space in front is cut into units at places that no piece of the vocabulary spans, so units are encoded
 alone: before a run of spaces, around newlines, and between any two characters that no piece holds side by side.
 
-1. Documents become lists of numbers of units, in chunks of at most CHUNK characters with a table of their units each,
-   written to the shared folder once. So only units are dealt, each once a chunk, and never their occurrences.
+1. Documents become lists of numbers of units (of one to four bytes, frequent units mostly fewer), in chunks of about CHUNK
+   characters with a table of their units each, written to the shared folder once. So only units are dealt, each once a
+   chunk, and never their occurrences. A table is in buckets by the hash of a unit, a row each, and a unit's number is its
+   place in the bucket times the number of buckets, and the bucket.
 2. The distinct units of the whole corpus go through the lattice as relations: all substrings of at most the longest
    piece's length are exploded, equi-joined to the piece table (as many rows as the vocabulary, so it is broadcast), the
    edges found are grouped by unit, and a fold with Spark's aggregate() reads the best path:
@@ -14,8 +16,8 @@ alone: before a run of spaces, around newlines, and between any two characters t
      leftmost of equals. One walk over the sorted edges is enough unless a merge lets a better edge in that it has passed;
      the fold notes that, and such units are folded step by step.
    Characters without a piece become their byte pieces (bpe), or an unknown edge (viterbi).
-3. Ids are joined back to the chunks' tables, dealt by chunk and written as one small file a chunk, and documents are put
-   together from them by array arithmetic.
+3. Ids are joined back to the chunks' tables within each bucket, dealt by chunk and written as one small file a chunk, and
+   documents are put together from them by array arithmetic.
 
 Units of more than LONGEST characters (a bit each in a long) are folded in Python with a queue, once for each distinct one,
 by the same rule. Decoding joins ids to pieces, byte pieces to UTF-8, and takes the dummy space off.
@@ -31,7 +33,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,8 +46,11 @@ from emberlog.llm import common as C
 SPACE = "▁"
 #: Characters of a unit whose boundaries fit the bits of a long.
 LONGEST = 62
-#: Characters of a chunk of documents with one table of units, and units of one row of such a table.
-CHUNK, TABLE_ROW = 64_000_000, 4096
+#: Characters of a chunk of documents with one table of units, and the least number of buckets of such a table; units of more
+#: than LONGEST characters have buckets of their own after them.
+CHUNK, BUCKETS, LONG_BUCKETS = 64_000_000, 256, 16
+#: Units of one task whose edges are grouped in memory; more of them are grouped by sorting.
+IN_MEMORY = "20000"
 NO_EDGE = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
@@ -135,56 +139,81 @@ def units_of(word: str, pairs: set[str]) -> list[str]:
     return [word[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+def separator_of(pieces: Pieces) -> str:
+    """A character that no piece holds beside another, so units with it are that character alone."""
+    joined = "".join(p for p in pieces.ids if len(p) > 1)
+    return next(c for c in "\n\t\r\v" if c not in joined)
+
+
+def varint(n: int) -> bytes:
+    """Seven bits a byte, the lowest first; the last byte is below 128."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def numbers_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in bytes of varint(), and where each ends."""
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first) if len(first) else np.empty(0, np.int64), last + 1
+
+
 class Units(dict):
-    """Numbers of each word's units (as bytes of 32-bit integers); units are numbered as they are met."""
+    """Numbers of each word's units, as bytes; units get the next place of their bucket as they are met."""
 
-    def __init__(self, pairs: set[str]):
+    def __init__(self, pairs: set[str], buckets: int):
         super().__init__()
-        self.pairs, self.numbers = pairs, {}
+        self.pairs, self.numbers, self.buckets, self.table = pairs, {}, buckets, [[] for _ in range(buckets + LONG_BUCKETS)]
 
     def __missing__(self, word: str) -> bytes:
-        numbers = self.numbers
-        found = self[word] = array("i", [numbers.setdefault(u, len(numbers)) for u in units_of(word, self.pairs)]).tobytes()
+        found = self[word] = b"".join(map(self.number, units_of(word, self.pairs)))
         return found
 
-
-CODED = "chunk long, doc_id long, codes array<int>, text_crc32 long, first int, units array<string>"
+    def number(self, unit: str) -> bytes:
+        found = self.numbers.get(unit)
+        if found is None:
+            h = zlib.crc32(unit.encode("utf-8", "surrogatepass"))
+            bucket = h % self.buckets if len(unit) <= LONGEST else self.buckets + h % LONG_BUCKETS
+            found = self.numbers[unit] = varint(len(self.table[bucket]) * len(self.table) + bucket)
+            self.table[bucket].append(unit)
+        return found
 
 
-def lists_of(parts: list[bytes], kind: pa.DataType, dtype: str) -> pa.ListArray:
-    """Bytes of integers as one list each."""
-    ends = np.cumsum([0, *(len(x) // np.dtype(dtype).itemsize for x in parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype), kind))
+CODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("text_crc32", pa.int64()), ("bucket", pa.int32()), ("units", pa.string())])
 
 
-def coded(docs: DataFrame, pairs: set[str], chunk: int = CHUNK) -> DataFrame:
-    """Rows of documents (chunk, doc_id, codes, text_crc32) and rows of their chunks' tables (chunk, first, units)."""
-    names = ["chunk", "doc_id", "codes", "text_crc32", "first", "units"]
+def coded(docs: DataFrame, pieces: Pieces, buckets: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows of documents (chunk, doc_id, codes, text_crc32), and of their chunks' tables (chunk, bucket, units in order)."""
+    pairs, separator = pieces.pairs(), separator_of(pieces)
 
-    def table(number: int, units: Units) -> Iterator[pa.RecordBatch]:
-        known = list(units.numbers)
-        for k in range(0, len(known), TABLE_ROW):
-            part = pa.array([known[k : k + TABLE_ROW]], pa.list_(pa.string()))
-            yield pa.record_batch([pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), part], names=names)
+    def table(number: int, units: Units) -> pa.RecordBatch:
+        rows = [(k, separator.join("" if u == separator else u for u in x)) for k, x in enumerate(units.table) if x]
+        n = len(rows)
+        return pa.record_batch([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.string())], schema=CODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, units, size = TaskContext.get().partitionId() << 24, Units(pairs), 0
+        number, units, size = TaskContext.get().partitionId() << 24, Units(pairs, buckets), 0
         for b in batches:
             texts = b.column(1).to_pylist()
             codes = [b"".join(map(units.__getitem__, words_of(t))) for t in texts]
             crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             n = len(texts)
-            yield pa.record_batch([pa.array([number] * n, pa.int64()), b.column(0), lists_of(codes, pa.int32(), "<i4"), pa.array(crc, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))], names=names)
+            yield pa.record_batch([pa.array([number] * n, pa.int64()), b.column(0), pa.array(codes, pa.binary()), pa.array(crc, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=CODED)
             size += sum(len(t) for t in texts if t)
             if size >= chunk:
-                yield from table(number, units)
-                number, units, size = number + 1, Units(pairs), 0
-        yield from table(number, units)
+                yield table(number, units)
+                number, units, size = number + 1, Units(pairs, buckets), 0
+        yield table(number, units)
 
     C.small_batches(docs.sparkSession)
-    return C.first_with_text(docs).mapInArrow(run, CODED)
+    return C.first_with_text(docs).mapInArrow(run, "chunk long, doc_id long, codes binary, text_crc32 long, bucket int, units string")
 
 
 def let(value: Column, body) -> Column:
@@ -192,18 +221,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): pieces found in each distinct word, as structs of start, end, score, id; best score first, then leftmost.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, by: list[str]) -> DataFrame:
+    """(by, word, edges): pieces found in each distinct word, as structs of start, end, score, id; best score first, then leftmost.
 
-    The words are dealt by word, and so are the edges that come of them: grouping them needs no exchange.
+    The words are dealt by `by`, and so are the edges that come of them: grouping them needs no exchange.
     """
     n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + F.lit(longest)))).alias("e"))
+    starts = words.select(*by, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select(*by, "word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + F.lit(longest)))).alias("e"))
     found = spans.withColumn("piece", F.expr("substring(word, s + 1, e - s)")).join(F.broadcast(pieces), "piece", "left")
     # a word of no piece at all keeps the row of its first character
     edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))
-    return found.where("id is not null or (s = 0 and e = 1)").groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.where("id is not null or (s = 0 and e = 1)").groupBy(*by, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def bpe_bounds(edges: Column, n: Column) -> Column:
@@ -252,10 +281,10 @@ def viterbi_bounds(edges: Column, n: Column, unknown: float = -1e4):
     return best, back
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int | None, fold: str = "bpe") -> DataFrame:
-    """(word, ids) of distinct words through the lattice."""
-    n = F.length("word")
-    rows = lattice(words.select("word").where(n > 0), pieces, longest)
+def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte: int | None, fold: str = "bpe", by: list[str] | None = None) -> DataFrame:
+    """(by, word, ids) of distinct words through the lattice; `by` are columns that they are dealt by."""
+    n, by = F.length("word"), by or []
+    rows = lattice(words.select(*by, "word").where(n > 0), pieces, longest, by)
     if fold == "bpe":
         bounds = let(bpe_bounds(F.col("edges"), n), lambda bits: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(bits, i) == 1))
     else:
@@ -275,73 +304,94 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte:
         return let(hit, lambda h: F.when(F.size(h) > 0, F.array(h[0]["id"])).otherwise(spelled(F.substring("word", start + 1, end - start))))
 
     ids = let(bounds, lambda b: F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda s, i: symbol(s, F.get(b, i + 1)))))
-    return rows.select("word", ids.alias("ids"))
+    return rows.select(*by, "word", ids.alias("ids"))
 
 
 def folded_long(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct words of more than LONGEST characters."""
+    """(bucket, word, ids) of distinct words of more than LONGEST characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([pieces.fold(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([pieces.fold(w) for w in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["bucket", "word", "ids"])
+
+    return words.mapInArrow(run, "bucket int, word string, ids array<int>")
+
+
+def dictionaries(rows: DataFrame, pieces: Pieces, buckets: int) -> str:
+    """Writes the ids of each chunk's units (counts and ids of each bucket, in order) to a folder of its own; the folder they are in."""
+    spark, separator = rows.sparkSession, separator_of(pieces)
+    # the chunk goes before its units in one text, so that both sides of the join need the same columns and share an exchange
+    packed = rows.where("units is not null").select("bucket", F.concat_ws(separator, "chunk", "units").alias("packed"))
+
+    def found(dealt: DataFrame, encode) -> DataFrame:
+        parts = dealt.select("bucket", F.split("packed", separator, -1).alias("p"))
+        units = parts.select("bucket", F.col("p")[0].cast("long").alias("chunk"), F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("at", "word"))
+        units = units.withColumn("word", F.when(F.col("word") == "", separator).otherwise(F.col("word")))
+        # joined by merging, as the size of what comes of a packed row is not known beforehand
+        return units.join(encode(units.select("bucket", "word").distinct()).hint("merge"), ["bucket", "word"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    # a number of partitions of its own, as Spark would merge these small ones, whose words become many more rows each
+    short = found(packed.where(F.col("bucket") < buckets).repartition(buckets, "bucket"), lambda words: encode_words(words, pieces.frame(spark), pieces.longest, pieces.first_byte, by=["bucket"]))
+    long = found(packed.where(F.col("bucket") >= buckets).repartition(LONG_BUCKETS, "bucket"), lambda words: folded_long(words, pieces))
+    parts = [x.groupBy("chunk", "bucket").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x")) for x in (short, long)]
+    kind = "array<smallint>" if len(pieces.names) <= 1 << 15 else "array<int>"
+    ids = parts[0].unionByName(parts[1]).select("chunk", "bucket", F.transform("x", lambda u: F.size(u["ids"])).alias("counts"), F.flatten(F.transform("x", lambda u: u["ids"])).cast(kind).alias("ids"))
+    # the tables are dealt by bucket, which is enough to join them by bucket and word
+    with C.settings(spark, spark_sql_requireAllClusterKeysForCoPartition="false", spark_sql_objectHashAggregate_sortBased_fallbackThreshold=IN_MEMORY):
+        return C.cut_by(ids, "chunk", "bucket", "dictionary")
 
 
-def dictionaries(rows: DataFrame, pieces: Pieces) -> str:
-    """Writes (code, ids) of each chunk's units to a folder of its own; the folder they are in."""
-    spark = rows.sparkSession
-    units = rows.where("units is not null").select("chunk", "first", F.posexplode("units").alias("at", "word")).select("chunk", (F.col("first") + F.col("at")).alias("code"), "word")
-    # a number of its own, as Spark would merge these small partitions, whose words become many more rows each
-    units = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "word")
-    words = units.select("word").distinct()
-    short = encode_words(words.where(F.length("word") <= LONGEST), pieces.frame(spark), pieces.longest, pieces.first_byte)
-    long = folded_long(words.where(F.length("word") > LONGEST), pieces)
-    found = units.where(F.length("word") <= LONGEST).join(short, "word").unionByName(units.where(F.length("word") > LONGEST).join(long, "word"))
-    return C.cut_by(found.select("chunk", "code", "ids"), "chunk", "code", "dictionary")
+def buckets_of(spark: SparkSession) -> int:
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 class Dictionary:
     """Ids of one chunk's units: all in one array, with the place of each unit's."""
 
-    def __init__(self, folder: str, chunk: int):
+    def __init__(self, folder: str, chunk: int, buckets: int):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(f"{folder}/chunk={chunk}")
         files = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet")]
-        table = pa.concat_tables([pq.ParquetFile(f, filesystem=store).read(["code", "ids"]) for f in files]).combine_chunks()
-        ids = table.column("ids").combine_chunks() if files else pa.array([], pa.list_(pa.int32()))
-        offsets = ids.offsets.to_numpy()
-        code = table.column("code").to_numpy()
-        self.ids = ids.values.to_numpy(zero_copy_only=False)
-        self.starts, self.counts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        self.starts[code], self.counts[code] = offsets[:-1], np.diff(offsets)
-
-    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.buckets = buckets + LONG_BUCKETS
+        self.first, ids, counts, n = np.zeros(self.buckets, np.int64), [], [], 0
+        for file in files:
+            table = pq.ParquetFile(file, filesystem=store).read(["bucket", "counts", "ids"])
+            for bucket, c, i in zip(*(table.column(k).combine_chunks() for k in ("bucket", "counts", "ids")), strict=True):
+                self.first[bucket.as_py()] = n
+                counts.append(c.values.to_numpy(zero_copy_only=False))
+                ids.append(i.values.to_numpy(zero_copy_only=False))
+                n += len(counts[-1])
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units in order, and how many come of each."""
-        n = self.counts[codes]
-        at = np.repeat(self.starts[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return self.ids[at], n
+        unit = self.first[numbers % self.buckets] + numbers // self.buckets
+        n = self.counts[unit]
+        at = np.repeat(self.starts[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.ids[at].astype(np.int32), n
 
 
-def encoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def encoded(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """(chunk, doc_id, codes, text_crc32) batches to (doc_id, ids, text_crc32)."""
     chunk, known = None, None
     for b in batches:
-        chunks = b.column(0).to_numpy(zero_copy_only=False)
-        offsets = b.column(2).offsets.to_numpy()
-        codes = b.column(2).values.to_numpy(zero_copy_only=False)
+        chunks, codes = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
         edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1), len(chunks)] if len(chunks) else []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
-            own = codes[offsets[x] : offsets[y]]
-            if len(own):
+            ends = np.cumsum([0, *map(len, codes[x:y])])
+            numbers, stops = numbers_of(np.frombuffer(b"".join(codes[x:y]), np.uint8))
+            if len(numbers):
                 if chunk != chunks[x]:
-                    chunk, known = chunks[x], Dictionary(folder, int(chunks[x]))
-                ids, n = known.of(own)
+                    chunk, known = chunks[x], Dictionary(folder, int(chunks[x]), buckets)
+                ids, n = known.of(numbers)
             else:
                 ids, n = np.empty(0, np.int32), np.empty(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(n)])[offsets[x : y + 1] - offsets[x]].astype(np.int32)
+            # how many units end before each document's end, and so how many ids
+            ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(stops, ends, "right")].astype(np.int32)
             yield pa.record_batch([b.column(1).slice(x, y - x), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), b.column(3).slice(x, y - x)], names=["doc_id", "ids", "text_crc32"])
 
 
@@ -364,16 +414,17 @@ def spellings(pieces: Pieces) -> list[bytes]:
     return table
 
 
-def prepared(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> tuple[DataFrame, str]:
-    """Rows of documents as numbers of units, and the folder of their chunks' dictionaries; both are in the shared folder."""
-    rows = C.cut(coded(docs, pieces.pairs(), chunk), "coded", "zstd")
-    return rows.where("units is null").select("chunk", "doc_id", "codes", "text_crc32"), dictionaries(rows, pieces)
+def prepared(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> tuple[DataFrame, str, int]:
+    """Rows of documents as numbers of units, the folder of their chunks' dictionaries, and the number of buckets."""
+    buckets = buckets_of(docs.sparkSession)
+    rows = C.cut(coded(docs, pieces, buckets, chunk), "coded", "zstd")
+    return rows.where("units is null").select("chunk", "doc_id", "codes", "text_crc32"), dictionaries(rows, pieces, buckets), buckets
 
 
 def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids, text_crc32 of every row."""
-    rows, folder = prepared(docs, pieces, chunk)
-    return rows.mapInArrow(lambda batches: encoded(batches, folder), "doc_id long, ids array<int>, text_crc32 long")
+    rows, folder, buckets = prepared(docs, pieces, chunk)
+    return rows.mapInArrow(lambda batches: encoded(batches, folder, buckets), "doc_id long, ids array<int>, text_crc32 long")
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
@@ -387,10 +438,10 @@ def round_trip(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFram
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip: whether the ids decode to the text."""
     pieces = Pieces.load(model_file)
     table = spellings(pieces)
-    rows, folder = prepared(docs, pieces, chunk)
+    rows, folder, buckets = prepared(docs, pieces, chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in encoded(batches, folder):
+        for b in encoded(batches, folder, buckets):
             lists = b.column("ids")
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4")
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
