@@ -41,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     command("status")
     command("doctor", ("--pages", {"required": True, "help": "a segment or a folder of them"}), ("--page-size", {"type": int, "default": 65536}), ("--strict", {"action": "store_true"}))
     command("sweep")
+    command("checkpoint")
+    command("tde-rotate", ("--kid", {"required": True}))
     command("compact", ("--bucket", {"type": int}), ("--forget", {"type": int, "default": 0, "help": "LSN up to which tombstones may go"}))
     command("vacuum", ("--all", {"action": "store_true", "help": "compact and sweep, too"}))
     command("auto-maint", ("--max-buckets", {"type": int, "default": 32}), ("--sweep", {"action": "store_true"}))
@@ -57,6 +59,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark, args: argparse.Namespace, out=print) -> int:
+    from pyspark.sql import functions as F
+
     from emberlog.config import Config
     from emberlog.operators import compaction, integrity, reads
     from emberlog.sources import pages
@@ -102,6 +106,10 @@ def run(spark, args: argparse.Namespace, out=print) -> int:
             pages.register(spark)
             images = spark.read.format("kvpages").option("page_size", args.page_size).load(args.pages)
             lines(integrity.doctor(images, args.strict))
+        case "checkpoint":
+            out(json.dumps({"removed": s.checkpoint(), "last_lsn": s.last()[1]}))
+        case "tde-rotate":
+            out(json.dumps({"kid": args.kid, "since_lsn": s.rotate(args.kid)}))
         case "sweep":
             out(json.dumps({"overflow_pages_freed": s.sweep()}))
         case "compact":
@@ -128,7 +136,10 @@ def run(spark, args: argparse.Namespace, out=print) -> int:
         case "snapshot-delete":
             s.drop_snapshot(args.id)
         case "cdc-ship":
-            s.ship(args.since_lsn).write.mode("append").parquet(args.to)
+            rows = s.ship(args.since_lsn)
+            rows.write.mode("append").parquet(args.to)
+            n, size, last = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)), F.coalesce(F.max("lsn"), F.lit(0))).first()
+            out(json.dumps({"rows": n, "bytes": size, "last_lsn": last}))
         case "cdc-apply":
             out(json.dumps({"last_lsn": s.apply(spark.read.schema(SHIPPED).parquet(args.source))}))
     return 0

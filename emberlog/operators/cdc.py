@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.ordered import max_before, numbered
-from emberlog.sources.wal import HEADER, MAGIC, TRUNCATE
+from emberlog.sources.wal import HEADER, HEADS, IMAGE, MAGIC, TRUNCATE
 
-#: Record types of the log, beside that of a truncation.
-BEGIN, IMAGE, DELTA, COMMIT, HEADS = 1, 2, 3, 4, 6
+#: Bytes of one entry of a heads payload: a bucket and a page id.
 HEAD_ENTRY = 12
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.ordered import max_before
 from emberlog.functions.scalars import page_location, unwrapped_key
+from emberlog.sources.pages import KV, OVERFLOW
 
-KV, OVERFLOW = 2, 3
 #: LSNs of one block when pages are matched with key epochs.
 EPOCH_BLOCK = 1 << 16
 

@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from emberlog.functions.scalars import PAGE_HEADER as HEADER
+from emberlog.functions.scalars import PAGE_TRAILER as TRAILER
 from emberlog.functions.scalars import crc32c_bytes
 
 # Fixed values of the format.
 PAGE_MAGIC, PAGE_VERSION, KV, OVERFLOW = b"P2PG", 3, 2, 3
 DIRECTORY_MAGIC, DIRECTORY_VERSION = b"P2DIR02\0", 2
-HEADER, TRAILER, SLOT, NONE = 64, 16, 6, 2**64 - 1
+SLOT, NONE = 6, 2**64 - 1
 CHAIN_TAG = b"\x01\x10"
 
 PREFIX = struct.Struct("<4sHHQ")

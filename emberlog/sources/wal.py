@@ -8,7 +8,8 @@ is an error. A repeated header is skipped right after a truncation frame and an
 One input partition a file. A stream's offset holds, for each file, how many of its bytes were there; a batch is the frames
 that end within the bytes that came since, read on executors. So frames that are appended to a file and files whatever
 their names are delivered once, and a frame cut short comes with the batch that completes it. A file that has become
-shorter was begun anew and is read from its start. Written (`df.write.format("kvwal").mode("append").save(folder)`, option
+shorter was begun anew and is read from its start. To find where frames begin, a batch walks a file from its start, without
+working earlier checksums out again; files of a rotated log have some megabytes. Written (`df.write.format("kvwal").mode("append").save(folder)`, option
 `stream_id`), every task makes one file. Files are opened through pyarrow.fs, so any path it knows works.
 """
 
@@ -25,7 +26,7 @@ from emberlog.functions.scalars import crc32c_bytes
 # Fixed values of the format.
 MAGIC, HEADER = b"P2WAL001", 16
 FRAME = struct.Struct("<BBHQQII")
-TRUNCATE = 5
+BEGIN, IMAGE, DELTA, COMMIT, TRUNCATE, HEADS = 1, 2, 3, 4, 5, 6
 SCHEMA = "stream_id string, pos long, rec_type int, flags int, lsn long, page_id long, len int, crc32c long, payload binary"
 
 

@@ -6,6 +6,7 @@
     <path>/chunks/commit=<lsn>/*.parquet          chunks of large values; the log holds (chain_id, total_len) in their place
     <path>/snapshots/id=<id>/*.json               manifests: generation, LSN, message, labels, parent
     <path>/bloom/...                              filters of the buckets over the visible keys
+    <path>/_epochs/<lsn>                          from which LSN on each key id holds
 
 A commit's rows land as a whole or not at all, by Spark's output commit; its chunks are written before, and a sweep takes
 what no record names. Pointers are only ever added, under a temporary name and renamed, and the highest counts: a crash at
@@ -213,7 +214,7 @@ class Store:
         chains = stats.chain_stats(self._pages()).select("min_len", "avg_len", "max_len").withColumn("one__", F.lit(1))
         large = stats.overflow_stats(self.chunks()).select(F.col("pages").alias("chunks"), F.col("bytes").alias("chunk_bytes")).withColumn("one__", F.lit(1))
         rows = whole.join(seen, "one__").join(chains, "one__").join(large, "one__").drop("one__")
-        told = {"generation": self.generation(), "last_lsn": lsn, "last_seq": seq, "commits": len(self.commits()), "snapshots": len(self._names(f"{self.path}/snapshots")), "buckets": self.config.buckets, "page_size": self.config.page_size, "overflow_above": self.config.threshold, "bloom": self.bloom_state()}
+        told = {"generation": self.generation(), "last_lsn": lsn, "last_seq": seq, "commits": len(self.commits()), "snapshots": len(self._names(f"{self.path}/snapshots")), "buckets": self.config.buckets, "page_size": self.config.page_size, "overflow_above": self.config.threshold, "bloom": self.bloom_state(), "key_epochs": len(self._names(f"{self.path}/_epochs"))}
         return rows.select("*", *(F.lit(v).alias(k) for k, v in told.items()))
 
     def status_json(self, now: int) -> str:
@@ -308,6 +309,31 @@ class Store:
         self.compact(now)
         return told | {"generations_dropped": self.vacuum(), "overflow_pages_freed": self.sweep()}
 
+    def checkpoint(self) -> int:
+        """Takes away what crashes have left: temporary files, and folders of commits that never landed. How many there were."""
+        folder, gone = self._generation(self.generation()), 0
+        left = [f"{self.path}/{x}" for x in self._names(self.path) if x.startswith("_new.")]
+        for at in (folder, f"{self.path}/chunks"):
+            left += [f"{at}/{x}" for x in self._names(at) if x.startswith("commit=") and not self._fs.exists(self._path(f"{at}/{x}/_SUCCESS"))]
+        for name in left:
+            gone += bool(self._fs.delete(self._path(name), True))
+        return gone
+
+    # ---- key epochs
+
+    def epochs(self) -> DataFrame:
+        """(since_lsn, kid): from which LSN on each key id holds."""
+        rows = [json.loads(self._text(f"_epochs/{x}")) for x in self._names(f"{self.path}/_epochs")]
+        return self.spark.createDataFrame([(r["since_lsn"], r["kid"]) for r in rows], "since_lsn long, kid string")
+
+    def rotate(self, kid: str) -> int:
+        """A new key id holds from the next LSN on; LSNs of epochs must grow, so two without a commit between are an error."""
+        since = self.last()[1] + 1
+        if any(int(x) >= since for x in self._names(f"{self.path}/_epochs")):
+            raise ValueError(f"there is an epoch from LSN {since} on already")
+        self._put(f"_epochs/{since:020d}", json.dumps({"since_lsn": since, "kid": kid}))
+        return since
+
     def _remove(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 

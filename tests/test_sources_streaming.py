@@ -40,6 +40,24 @@ def test_wal_stream(spark, tmp_path):
     q.stop()
 
 
+def test_a_log_file_streams_into_page_state(spark, tmp_path):
+    """Frames of a growing file through the idempotent apply, with a restart between."""
+    wal.register(spark)
+    image = lambda lsn, page, text: wal.encode_frame(2, lsn, page, text)
+    (tmp_path / "in").mkdir()
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run(body):
+        (tmp_path / "in" / "wal-1.log").write_bytes(wal.header(1) + body)
+        frames = spark.readStream.format("kvwal").load(str(tmp_path / "in")).where("rec_type = 2")
+        apply.apply_pages(frames.select("page_id", "lsn", F.col("pos").alias("ord"), F.decode("payload", "UTF-8").alias("payload")), out, check).awaitTermination()
+        return {(r.page_id, r.payload) for r in apply.page_state(spark, out).collect()}
+
+    first = image(3, 1, b"x") + image(2, 1, b"old") + wal.encode_frame(4, 3, 0, b"") + image(4, 2, b"y")
+    assert run(first) == {(1, "x"), (2, "y")}
+    assert run(first + image(3, 1, b"late") + image(5, 2, b"z")) == {(1, "x"), (2, "z")}
+
+
 def test_wal_sink_and_authenticated_frames(spark, tmp_path):
     from emberlog.sources import frames
 

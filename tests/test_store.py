@@ -119,6 +119,7 @@ def test_what_a_crash_leaves(spark, tmp_path):
     spark.createDataFrame([(9, 0, 0, 3, bytearray(b"abc"))], "chain_id long, chunk_no int, codec_id int, chunk_len int, payload binary").write.parquet(f"file://{tmp_path}/a/chunks/commit=00000000000000000002")
     again = Store(spark, f"file://{tmp_path}/a")
     assert again.config.overflow_above == 10 and again.last() == (1, 1) and content(again.scan(NOW)) == {b"k": b"v"}
+    assert again.checkpoint() == 2 and again.checkpoint() == 0 and again.last() == (1, 1)
     assert again.sweep() == 1 and again.put(b"k", b"w" * 20) == 2 and again.get(b"k", NOW) == b"w" * 20
 
 
@@ -166,6 +167,16 @@ def test_filters_and_maintenance(spark, tmp_path):
     assert s.vacuum_all(NOW)["keys_kept"] == 51
 
 
+def test_key_epochs(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}/a", 4)
+    assert s.rotate("first") == 1
+    s.put(b"a", b"1")
+    assert s.rotate("second") == 2 and [tuple(r) for r in s.epochs().orderBy("since_lsn").collect()] == [(1, "first"), (2, "second")]
+    with pytest.raises(ValueError):
+        s.rotate("third")
+    assert s.status(NOW).first().key_epochs == 2
+
+
 def test_config():
     assert Config.of({"buckets": "7", "zstd": " Yes", "overflow_above": ""}) == Config(buckets=7, zstd=True)
     assert Config(page_size=4096).threshold == 512 and Config.from_json(Config(buckets=3).to_json()) == Config(buckets=3)
@@ -197,7 +208,8 @@ def test_command_line(spark, tmp_path):
     assert call("bloom") == (0, ["fresh"])
     assert '"generation": 2' in call("compact")[1][0] and len(call("report")[1]) == 3
     assert '"buckets_scanned": 3' in call("auto-maint", "--sweep")[1][0] and call("sweep")[1] == ['{"overflow_pages_freed": 0}']
-    assert call("cdc-ship", "--to", f"file://{tmp_path}/c")[0] == 0
+    assert call("cdc-ship", "--to", f"file://{tmp_path}/c") == (0, ['{"rows": 3, "bytes": 202, "last_lsn": 4}'])
+    assert call("checkpoint") == (0, ['{"removed": 0, "last_lsn": 4}']) and call("tde-rotate", "--kid", "k1") == (0, ['{"kid": "k1", "since_lsn": 5}'])
     other = Store.create(spark, f"file://{tmp_path}/t", 2)
     run(spark, parser().parse_args([f"file://{tmp_path}/t", "cdc-apply", "--from", f"file://{tmp_path}/c"]), print)
     assert content(other.scan(NOW)) == {b"a": b"\x00\xff", b"c": b"c" * 200}
