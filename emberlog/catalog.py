@@ -663,6 +663,11 @@ def aead_tag(spark, sf):
     return rows.select("page_id", F.lower(F.hex("tag")).alias("tag"), S.page_tag_ok(F.col("sealed"), key, F.col("page_id"), F.col("lsn")).alias("sound"))
 
 
+@query(f"SELECT page_id, lower(hex({_LE('page_id', 6)}||{_LE('lsn', 6)})) AS nonce FROM images", IMAGES)
+def gcm_nonce(spark, sf):
+    return K.page_images(spark, sf).select("page_id", F.lower(F.hex(S.gcm_nonce(F.col("page_id"), F.col("lsn")))).alias("nonce"))
+
+
 # ---- more of the same data
 
 
@@ -796,6 +801,27 @@ SQL["page_verify"] = PACKED + f"""SELECT bucket*{paging.OF_BUCKET}::BIGINT+page_
   FROM filled JOIN (SELECT bucket AS b, lsn, row_number() OVER (PARTITION BY bucket ORDER BY seq) AS j FROM log) ON bucket=b AND i=j GROUP BY bucket, page_no"""
 
 
+@query()
+def page_find(spark, sf):
+    """The newest record of one key on each page."""
+    rows = paging.found(_log_pages(spark, sf), b"3")
+    return rows.select("page_id", F.decode("value", "UTF-8").alias("value"), "expires_at_sec", "tombstone")
+
+
+SQL["page_find"] = PACKED + f"""SELECT bucket*{paging.OF_BUCKET}::BIGINT+page_no AS page_id, CASE WHEN NOT max_by(tomb, i) THEN max_by(value, i) END AS value, max_by(exp, i) AS expires_at_sec, max_by(tomb, i) AS tombstone
+  FROM filled JOIN (SELECT bucket AS b, key, value, exp, tomb, row_number() OVER (PARTITION BY bucket ORDER BY seq) AS j FROM log) ON bucket=b AND i=j WHERE key='3' GROUP BY bucket, page_no"""
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN octet_length(encode(text))<={K.THRESHOLD} THEN sha256(text) END AS value_sha256, CASE WHEN octet_length(encode(text))>{K.THRESHOLD} THEN octet_length(encode(text)) END AS total_len, CASE WHEN octet_length(encode(text))>{K.THRESHOLD} THEN doc_id END AS chain_id FROM documents")
+def page_placeholders(spark, sf):
+    """Documents as records of binary pages, the larger ones as placeholders, read back."""
+    rows = overflow.placed(K.doc_values(spark, sf), K.THRESHOLD).withColumn("big", F.col("placement") == "overflow")
+    key = F.col("chain_id").cast("string")
+    log = rows.select(S.bucket_of(key, K.BUCKETS).alias("bucket"), key.alias("key"), F.when(~F.col("big"), F.col("value")).alias("value"), F.lit(0).cast("long").alias("expires_at_sec"), F.lit(False).alias("tombstone"), F.col("chain_id").alias("seq"), F.col("chain_id").alias("lsn"), F.when(F.col("big"), F.col("chain_id")).alias("chain_id"), F.col("value_len").alias("total_len"))
+    back = paging.records(paging.to_pages(log, K.PAGE_SIZE))
+    return back.select(F.decode("key", "UTF-8").alias("key"), F.sha2("value", 256).alias("value_sha256"), F.col("ovf.total_len").alias("total_len"), F.col("ovf.chain_id").alias("chain_id"))
+
+
 @query("SELECT stream_id, rec_type::BIGINT AS rec_type, lsn, page_id, payload FROM (SELECT '0000000000000007' AS stream_id, rec_type, lsn, page_id, payload FROM frames)", FRAMES)
 def wal_files(spark, sf):
     """Frames written as change-log files, one a task, and read back."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.scalars import little_endian_bytes
 from emberlog.sources import pages as P
 
 #: Page ids of a bucket begin at its number times this.
@@ -18,10 +19,14 @@ OF_BUCKET = 1 << 32
 def to_pages(rows: DataFrame, page_size: int) -> DataFrame:
     """(bucket, page_id, bytes) of records (bucket, key, value, expires_at_sec, tombstone, seq, lsn), filled greedily in order of seq.
 
-    A page points at the one before it, so the last of a bucket is its head; its LSN is the largest of its records. Filling is
-    sequential within a bucket, but streams: a task holds one page.
+    A page points at the one before it, so the last of a bucket is its head; its LSN is the largest of its records. Where the rows
+    have them, chain_id and total_len put a placeholder in the value's place. Filling is sequential within a bucket, but
+    streams: a task holds one page.
     """
     value = F.coalesce(F.col("value").cast("binary"), F.lit(bytearray()))
+    if "chain_id" in rows.columns:
+        stands = F.concat(F.lit(bytearray(P.CHAIN_TAG)), little_endian_bytes(F.col("total_len"), 8), little_endian_bytes(F.col("chain_id"), 8))
+        value = F.when(F.col("chain_id").isNotNull(), stands).otherwise(value)
     cols = rows.select(F.col("bucket").cast("int").alias("bucket"), F.col("key").cast("binary").alias("key"), value.alias("value"), "expires_at_sec", "tombstone", "seq", "lsn")
     room = page_size - P.HEADER - P.TRAILER
 
@@ -65,20 +70,32 @@ _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string"
 SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in P.PAGES.split(", ")])
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """Records of sound key-value pages (page_id, bytes); a page whose checksum does not hold is an error."""
-    names = ["page_id", "slot", "lsn", "key", "value", "expires_at_sec", "tombstone", "ovf"]
+RECORD_NAMES = ["page_id", "slot", "lsn", "key", "value", "expires_at_sec", "tombstone", "ovf"]
+CHAIN = pa.struct([("total_len", pa.int64()), ("chain_id", pa.int64())])
+RECORD_SCHEMA = pa.schema(list(zip(RECORD_NAMES, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), CHAIN], strict=True)))
+
+
+def _decoded(pages: DataFrame, rows_of) -> DataFrame:
+    """What rows_of(page) gives of sound pages (page_id, bytes); a page whose checksum does not hold is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = pa.struct([("total_len", pa.int64()), ("chain_id", pa.int64())])
-        schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), chain], strict=True)))
         for b in batches:
             rows = []
             for at, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 told = P.page_row(page, at)
                 if not told[7]:
                     raise ValueError(f"page {told[0]}: {told[8]}")
-                rows += [dict(zip(names, [*r[:7], None if r[7] is None else dict(zip(("total_len", "chain_id"), r[7], strict=True))], strict=True)) for r in P.record_rows(page)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows += [dict(zip(RECORD_NAMES, [*r[:7], None if r[7] is None else dict(zip(("total_len", "chain_id"), r[7], strict=True))], strict=True)) for r in rows_of(page)]
+            yield pa.RecordBatch.from_pylist(rows, schema=RECORD_SCHEMA)
 
     return pages.select("page_id", "bytes").mapInArrow(run, P.RECORDS)
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """All records of key-value pages."""
+    return _decoded(pages, lambda page: list(P.record_rows(page)))
+
+
+def found(pages: DataFrame, key: bytes) -> DataFrame:
+    """The newest record of a key on each page that has one; other records are not decoded."""
+    return _decoded(pages, lambda page: [r for r in [P.find(page, key)] if r is not None])

@@ -63,9 +63,7 @@ def kv_page(page_id: int, records: list[tuple[bytes, bytes, int, bool]], page_si
     if at > table or len(page) != page_size:
         raise ValueError("records do not fit the page")
     for i, off in enumerate(slots):
-        import xxhash
-
-        page[table + SLOT * i : table + SLOT * (i + 1)] = struct.pack("<IBB", off, xxhash.xxh64_intdigest(records[i][0]) & 255, 0)
+        page[table + SLOT * i : table + SLOT * (i + 1)] = struct.pack("<IBB", off, fingerprint(records[i][0]), 0)
     PREFIX.pack_into(page, 0, PAGE_MAGIC, PAGE_VERSION, KV, page_id)
     KV_HEADER.pack_into(page, 16, at, len(slots), len(slots), 0, next_pid, lsn, 0)
     return sealed(page)
@@ -123,6 +121,38 @@ def record_rows(page: bytes) -> Iterator[tuple]:
         yield page_id, slot, lsn, key, None if chain or flags & 1 else value, expires, bool(flags & 1), chain
 
 
+def placeholder(total_len: int, chain_id: int) -> bytes:
+    """What stands in a record for a large value."""
+    return CHAIN_TAG + struct.pack("<QQ", total_len, chain_id)
+
+
+def fingerprint(key: bytes) -> int:
+    """The byte that a slot holds of its key: the low one of XXH64 with seed 0."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(key) & 255
+
+
+def find(page: bytes, key: bytes) -> tuple | None:
+    """The newest record of a key on a page, as record_rows() gives it: slots are gone through from the last, by fingerprint first."""
+    magic, _, kind, page_id = PREFIX.unpack_from(page)
+    if magic != PAGE_MAGIC or kind != KV:
+        return None
+    start, capacity, used, _, _, lsn, _ = KV_HEADER.unpack_from(page, 16)
+    table, want = len(page) - TRAILER - SLOT * capacity, fingerprint(key)
+    for slot in range(used - 1, -1, -1):
+        off, own = struct.unpack_from("<IB", page, table + SLOT * slot)
+        if own != want or off < HEADER or off + RECORD.size > min(start, table):
+            continue
+        klen, vlen, expires, flags = RECORD.unpack_from(page, off)
+        at = off + RECORD.size
+        if at + klen + vlen <= min(start, table) and page[at : at + klen] == key:
+            value = page[at + klen : at + klen + vlen]
+            chain = struct.unpack("<QQ", value[2:18]) if len(value) == 18 and value[:2] == CHAIN_TAG else None
+            return page_id, slot, lsn, key, None if chain or flags & 1 else value, expires, bool(flags & 1), chain
+    return None
+
+
 @dataclass
 class Range(InputPartition):
     path: str

@@ -127,6 +127,8 @@ def test_snapshots(spark, tmp_path):
     s = Store.create(spark, f"file://{tmp_path}/a", 8)
     s.batch_json('[{"op":"put","key":"p","value":"1"},{"op":"put","key":"q","value":"2"},{"op":"put","key":"r","value":"3","expires_at_sec":2000}]')
     snap = s.snapshot("first", ["x"])
+    assert len(bytes.fromhex(snap)) == 16 and s.snapshot("again") != snap
+    s.drop_snapshot(next(r.id for r in s.snapshots().collect() if r.message == "again"))
     s.put(b"p", b"9")
     s.delete(b"q", NOW)
     assert {(r.keys_kept, r.keys_deleted) for r in s.report(NOW).groupBy().sum().toDF("b", "o", "keys_kept", "keys_deleted", "p").collect()} == {(2, 1)}
