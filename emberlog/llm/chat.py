@@ -38,13 +38,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # a key that is never null: all that follows is dealt by it once
     own_key = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), own_key.alias("key"), turn.alias("t"))
-    grouped = rows.groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select(own_key.alias("key"), turn.alias("t"))
+    grouped = rows.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # blocks begin where the role differs from that of the turn before
     begins = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.get("turns", i - 1)["role"] != F.get("turns", i - 2)["role"]))
     begun = grouped.withColumn("begins", begins)
     block = lambda b, k: F.slice("turns", b, F.coalesce(F.get("begins", k + 1), F.size("turns") + 1) - b)
-    blocks = begun.select("key", "conv_id", F.transform("begins", block).alias("blocks"))
+    blocks = begun.select("key", F.transform("begins", block).alias("blocks"))
 
     def piece(block: Column) -> Column:
         role = escaped(block[0]["role"])
@@ -59,16 +59,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
             ),
         )
 
-    pieces = blocks.select("key", "conv_id", F.size("blocks").alias("n_blocks"), F.transform("blocks", piece).alias("pieces"))
+    pieces = blocks.select("key", F.size("blocks").alias("n_blocks"), F.transform("blocks", piece).alias("pieces"))
     line = lambda b: F.array_join(F.transform(b, lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
     lengths = F.flatten(F.transform("pieces", lambda b: F.transform(b, lambda p: F.struct(p["own"].alias("own"), F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), (F.length(p["tail"]) + (p["tail"] != "").cast("int")).alias("tail")))))
     before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     each = pieces.select("key", F.posexplode(lengths).alias("i", "p")).select("key", "i", "p.*")
     each = each.withColumn("start", (F.coalesce(F.sum(F.col("head") + F.col("body") + F.col("tail")).over(before), F.lit(0)) + F.col("head")).cast("int"))
     spans = each.where("own").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("body")).alias("end")))).alias("mask"))
-    lines = pieces.select("key", "conv_id", F.array_join(F.transform("pieces", line), "\n").alias("formatted"), "n_blocks")
+    lines = pieces.select("key", F.array_join(F.transform("pieces", line), "\n").alias("formatted"), "n_blocks")
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return lines.join(spans, "key", "left").select("conv_id", "formatted", F.coalesce("mask", empty).alias("mask"), "n_blocks")
+    conv_id = F.when(F.col("key") != "", F.col("key")).cast("long").alias("conv_id")
+    return lines.join(spans, "key", "left").select(conv_id, "formatted", F.coalesce("mask", empty).alias("mask"), "n_blocks")
 
 
 def parse(formatted: DataFrame) -> DataFrame:
