@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def frugal(run):
+    """A function over batches whose Python worker gives its memory back at the end of a task, as workers outlive tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    """To the operating system what this process has freed; nothing where its C library cannot."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
     """Session settings for the jobs that run inside, put back afterwards; `_` in a name stands for `.`."""
@@ -57,29 +79,71 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has written and not removed yet.
+WRITTEN: set[str] = set()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.add(path)
+    return path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    WRITTEN.discard(folder)
+
+
+def clean(spark: SparkSession, before: Iterable[str] = (), keep: Iterable[DataFrame] = ()) -> None:
+    """Remove what operators have written to the shared folder; for when their results have been read or stored.
+
+    Folders of `before` (a copy of WRITTEN) stay, and those that the frames of `keep` read.
+    """
+    names = {f.split("://")[-1].replace("file:", "").lstrip("/") for df in keep for f in df.inputFiles()}
+    for folder in WRITTEN.difference(before):
+        own = folder.split("://")[-1].replace("file:", "").lstrip("/")
+        if not any(n.startswith(own) for n in names):
+            remove(spark, folder)
+
+
 def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: later stages survive lost executors without recomputing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_by(df: DataFrame, key: str, order: str, name: str) -> str:
     """Write a folder for each value of key, sorted by order, below the shared folder; the folder they are in."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.repartition(key).sortWithinPartitions(key, order).write.partitionBy(key).parquet(path, compression="zstd")
     return path
 
 
+def read_folder(folder: str, columns: list[str]) -> list[pa.Table]:
+    """The Parquet files of a folder that cut() wrote, read without Spark: for what workers load by themselves."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    files = sorted(x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet"))
+    return [pq.ParquetFile(f, filesystem=store).read(columns) for f in files]
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder behind a frame made by cut()."""
+    name = df.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[-1]
+    return f"{shared_folder(df.sparkSession)}/{name}"
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Remove the files behind frames made by cut(), once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+            remove(df.sparkSession, f)
+            WRITTEN.difference_update([w for w in WRITTEN if w.rsplit("/", 1)[-1] == f.rsplit("/", 1)[-1]])
 
 
 #: Rows of a bitmap of hashed keys (64 bits each), broadcast: at most about 10 MB, whatever the number of keys.

@@ -90,6 +90,7 @@ def filter_of(prints: DataFrame, n: int) -> Filter:
 def items_of(benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(item, item_id, windows) of every item row with words, written out, and its fingerprints (print, item, item_id, words)."""
 
+    @C.frugal
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [C.word_hashes(words_of(t)) for t in b.column(2).to_pylist()]
@@ -117,6 +118,7 @@ def scanned(docs: DataFrame, known: Filter, shorts: list[int], window: int, gram
     """doc_id, n_words of every row; for those with fingerprints that the filter knows also key (SHA-256 of the text), them, and the words."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in batches:
@@ -153,6 +155,7 @@ def scanned(docs: DataFrame, known: Filter, shorts: list[int], window: int, gram
 def surroundings(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, item, starts, counts, words): the words of all windows around each item's hits, from (key, words, hits)."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, words, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -176,6 +179,7 @@ def surroundings(texts: DataFrame, window: int, gram: int) -> DataFrame:
 def extended(rows: DataFrame, window: int) -> DataFrame:
     """(key, item_id, spans) from (key, item_id, starts, counts, words, windows); spans are pairs of positions, flattened."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

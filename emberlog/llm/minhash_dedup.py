@@ -116,6 +116,7 @@ def placed(docs: DataFrame) -> DataFrame:
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, place, n_shingles, set_key (128-bit digest of the set), regs of rows of placed()."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -135,6 +136,7 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
 def bucket_rows(reps: DataFrame) -> DataFrame:
     """(bucket, id): the band hashes of each class."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -234,6 +236,7 @@ def hub_links(near: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
 def sized_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes and sketches leave the threshold possible."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -257,6 +260,7 @@ def full_sets(texts: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> D
     on what is left.
     """
 
+    @C.frugal
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
@@ -275,6 +279,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     percent = round(threshold * 100)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())

@@ -49,8 +49,10 @@ LONGEST = 62
 #: Characters of a chunk of documents with one table of units, and the least number of buckets of such a table; units of more
 #: than LONGEST characters have buckets of their own after them.
 CHUNK, BUCKETS, LONG_BUCKETS = 64_000_000, 256, 16
+#: Bytes of numbers that are turned into ids at once.
+TOGETHER = 1_000_000
 #: Units of one task whose edges are grouped in memory; more of them are grouped by sorting.
-IN_MEMORY = "20000"
+IN_MEMORY = "10000"
 NO_EDGE = float("-inf")
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
@@ -196,6 +198,7 @@ def coded(docs: DataFrame, pieces: Pieces, buckets: int, chunk: int = CHUNK) ->
         n = len(rows)
         return pa.record_batch([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.string())], schema=CODED)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -310,6 +313,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, first_byte:
 def folded_long(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(bucket, word, ids) of distinct words of more than LONGEST characters."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([pieces.fold(w) for w in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["bucket", "word", "ids"])
@@ -349,15 +353,9 @@ class Dictionary:
     """Ids of one chunk's units: all in one array, with the place of each unit's."""
 
     def __init__(self, folder: str, chunk: int, buckets: int):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(f"{folder}/chunk={chunk}")
-        files = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".parquet")]
         self.buckets = buckets + LONG_BUCKETS
         self.first, ids, counts, n = np.zeros(self.buckets, np.int64), [], [], 0
-        for file in files:
-            table = pq.ParquetFile(file, filesystem=store).read(["bucket", "counts", "ids"])
+        for table in C.read_folder(f"{folder}/chunk={chunk}", ["bucket", "counts", "ids"]):
             for bucket, c, i in zip(*(table.column(k).combine_chunks() for k in ("bucket", "counts", "ids")), strict=True):
                 self.first[bucket.as_py()] = n
                 counts.append(c.values.to_numpy(zero_copy_only=False))
@@ -376,12 +374,16 @@ class Dictionary:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(chunk, doc_id, codes, text_crc32) batches to (doc_id, ids, text_crc32)."""
+    """(chunk, doc_id, codes, text_crc32) batches to (doc_id, ids, text_crc32), some documents of one chunk at a time."""
     chunk, known = None, None
     for b in batches:
         chunks, codes = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-        edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1), len(chunks)] if len(chunks) else []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
+        x = 0
+        while x < len(codes):
+            y, size = x, 0
+            while y < len(codes) and chunks[y] == chunks[x] and (y == x or size + len(codes[y]) <= TOGETHER):
+                size += len(codes[y])
+                y += 1
             ends = np.cumsum([0, *map(len, codes[x:y])])
             numbers, stops = numbers_of(np.frombuffer(b"".join(codes[x:y]), np.uint8))
             if len(numbers):
@@ -393,6 +395,7 @@ def encoded(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Ite
             # how many units end before each document's end, and so how many ids
             ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(stops, ends, "right")].astype(np.int32)
             yield pa.record_batch([b.column(1).slice(x, y - x), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), b.column(3).slice(x, y - x)], names=["doc_id", "ids", "text_crc32"])
+            x = y
 
 
 def decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -440,6 +443,7 @@ def round_trip(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFram
     table = spellings(pieces)
     rows, folder, buckets = prepared(docs, pieces, chunk)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in encoded(batches, folder, buckets):
             lists = b.column("ids")

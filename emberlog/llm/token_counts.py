@@ -103,6 +103,7 @@ class Counter:
 def count_tokens(docs: DataFrame, model_file: str, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model_file, chunk, overlap)
         for b in batches:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, quality_rules, registry, sentencepiece_lattice, token_counts, token_files, toxicity
 
@@ -65,6 +66,21 @@ def test_machine_learns_pairs():
     assert s[2] > 0.5 > max(s[0], s[1])
 
 
+def test_scores_by_brute_force():
+    """Bias, weights and all pairs one by one, whatever rows are gathered together."""
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(np.arange(50), -0.3, rng.normal(0, 0.5, 50).astype(np.float32), rng.normal(0, 0.3, (50, toxicity.FACTORS)).astype(np.float32))
+    rows = [set(rng.choice(50, rng.integers(0, 20), replace=False).tolist()) for _ in range(40)]
+    want = []
+    for r in map(sorted, rows):
+        x = m.bias + sum(float(m.weights[i]) for i in r) + sum(float(m.vectors[i].astype(float) @ m.vectors[j].astype(float)) for n, i in enumerate(r) for j in r[n + 1 :])
+        want.append(1 / (1 + np.exp(-x)))
+    assert np.allclose(m.scores(rows), want)
+    toxicity.TOGETHER, before = 30, toxicity.TOGETHER
+    assert np.allclose(m.scores(rows), want)
+    toxicity.TOGETHER = before
+
+
 def test_toxicity_held_out(spark, tmp_path):
     rng, words = random.Random(5), [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
     rows = []
@@ -237,6 +253,26 @@ def test_language_id(spark, docs, none):
     assert language_id.address("https://u@Blog.example.co.uk:80/p?q") == ("blog.example.co.uk", "example.co.uk", "uk")
 
 
+def test_language_held_out(spark):
+    """Fitted on half of the documents, judged on the other half, and on pages by the language that their address names."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 40")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    fitted = language_id.fit(docs.where("doc_id % 2 = 0"))
+    best = lambda text: fitted.languages[int(np.argmax(fitted.text(text)))]
+    held = docs.where("doc_id % 2 = 1").select("text", "lang").collect()
+    assert np.mean([best(r.text) == r.lang for r in held if fitted.text(r.text)]) > 0.95
+    bare = pages.withColumn("html", F.regexp_replace("html", '<html lang="..">', "<html>")).withColumn("url", F.regexp_replace("url", "/(en|de|fr|es)/", "/"))
+    want = {r.page_id: re.search("/(en|de|fr|es)/", r.url)[1] for r in pages.collect() if re.search("/(en|de|fr|es)/", r.url)}
+    got = {r.page_id: r.lang for r in language_id.identify(bare, docs).collect() if r.page_id is not None}
+    assert len(want) > 100 and np.mean([got[i] == x for i, x in want.items()]) > 0.9
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([("page", 1, [1.0, 1.0], None, None, None, None), ("page", 2, None, None, None, None, None)], "kind string, id long, likelihood array<double>, declared string, host string, domain string, suffix string")
+    both = df.unionByName(df.where("id = 1").withColumn("likelihood", F.array(F.lit(0.0), F.lit(5.0))).withColumn("id", F.lit(3)))
+    assert {r.id: r.lang for r in language_id.fuse(both, ["de", "en"]).collect()}[1] == "de"
+
+
 def test_every_labelled_language_is_known(spark):
     """More languages than 64, and rare ones beside a common one."""
     rng, rows = random.Random(3), []
@@ -289,6 +325,24 @@ def test_quality(spark, docs, none, labels):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_verdict_is_the_list(spark):
+    """The CASE expression against the rules applied one by one, and the list's worth on labels that it has not seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0
+    rules = quality_rules.learned(docs, labels.where(seen))
+    assert rules
+    few = docs.join(labels.where(~seen).select("doc_id", "quality"), "doc_id")
+    stats = quality_rules.statistics(few).withColumn("failed", quality_rules.base_failed()).withColumn("rule", quality_rules.verdict(rules))
+    right = total = 0
+    for r in stats.select("row.quality", "failed", "rule", *quality_rules.FEATURES).collect():
+        row = r.asDict()
+        assert r.rule == next((k for k, rule in enumerate(rules, 1) if all(c.holds(row) for c in rule)), 0)
+        if not r.failed:
+            total += 1
+            right += (r.rule == 0) == (r.quality == 1)
+    assert total > 500 and right >= 0.97 * total
+
+
 def test_decision_list_learns_a_conjunction():
     rng = random.Random(2)
     rows = []
@@ -333,7 +387,7 @@ def test_token_files(spark, docs, none, tmp_path):
 
     tk = Tokenizer.from_file(WORD)
     shards = token_files.write_tokens(docs, WORD, f"file://{tmp_path}/t", length=16, shards=3).cache()
-    got = token_files.digest(token_files.read_tokens(spark, shards)).collect()
+    got = token_files.digest(token_files.read_tokens(shards)).collect()
     at, want = 0, set()
     for i, t in sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = tk.encode(t or "", add_special_tokens=False).ids + [1]
@@ -352,7 +406,7 @@ def test_token_files(spark, docs, none, tmp_path):
     few = token_files.write_tokens(docs, WORD, f"file://{tmp_path}/few").collect()
     assert len(few) == 1 and few[0].n_tokens == at
     empty = token_files.write_tokens(none, WORD, f"file://{tmp_path}/n").cache()
-    assert empty.count() == 0 and token_files.read_tokens(spark, empty).count() == 0
+    assert empty.count() == 0 and token_files.read_tokens(empty).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["byte", "large"])
@@ -368,7 +422,7 @@ def test_token_files_of_other_tokenizers(spark, docs, tmp_path, kind):
         large.save(file)
     tk = Tokenizer.from_file(file)
     shards = token_files.write_tokens(docs, file, f"file://{tmp_path}/t", length=32, shards=2).cache()
-    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.digest(token_files.read_tokens(spark, shards)).collect())
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.digest(token_files.read_tokens(shards)).collect())
     ids = [(i, tk.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in DOCS]
     assert got == collections.Counter((i, len(x), token_files.crc32_of(x)) for i, x in ids)
 
@@ -555,6 +609,43 @@ def test_html_short_blocks_of_an_article_inherit():
     assert html_extract.main_text("<article><p>Hi</p><p>there</p></article>") == "Hi\nthere"
 
 
+def test_html_offsets_and_links():
+    long = "The story of the town is told and it was long in the making for all of them."
+    assert html_extract.main_text(f"<article><p>{'İ' * 20} {long}</p><SCRIPT>var a = 1;</Script><p>Hello world, {long}</p></article>") == f"{'İ' * 20} {long}\nHello world, {long}"
+    # a link around a block is one, a link without an end tag ends with its block
+    assert html_extract.main_text(f"<article><p>{long}</p><a href=1><div>{long[:-1]}</div></a><p>{long}</p></article>") == f"{long}\n{long}"
+    assert html_extract.main_text(f"<article><p><a href=1>{long[:40]}<p>{long}</p><p>{long}</p></article>").endswith(f"{long}\n{long}")
+    # a linked sentence of an article stays between paragraphs, a list of links does not
+    assert html_extract.main_text(f"<article><p>{long}</p><p><a href=1>{long}</a></p><p>{long}</p></article>") == "\n".join([long] * 3)
+    assert html_extract.main_text(f"<article><p>{long}</p><ul><li><a href=1>The town</a></li><li><a href=2>All of them</a></li></ul><p>{long}</p></article>") == f"{long}\n{long}"
+
+
+def test_html_rules_decide_inside_articles():
+    """Density and neighbours, not the article's tag, take a block without stop words beside links out, and leave one beside prose."""
+    long = "The story of the town is told and it was long in the making for all of them."
+    bare = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma upsilon"
+    page = f"<article><p>{long}</p><p>{bare}</p><p>{long}</p><div><a href=1>one two three</a></div><p>{bare}</p><div><a href=2>four five six</a></div></article>"
+    told = html_extract.explained(page)
+    assert [(k, r) for _, k, r in told] == [(True, "stop words"), (True, "neighbour"), (True, "stop words"), (False, "links"), (False, "neighbour"), (False, "links")]
+
+
+def test_html_of_real_pages(spark):
+    """All pages of a table against a plain reading of how they are made: an article's heading and paragraphs."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rules = collections.Counter()
+    for r in rows:
+        told = html_extract.explained(r.html)
+        rules.update(rule for _, _, rule in told)
+        article = re.search("<article>(.*?)</article>", r.html, re.S)
+        if article and not re.search("<(?!/?(?:p|b|h1|br)\\b)", article[1]):
+            parts = [re.sub("<[^>]*>", " ", x) for x in re.split("</?(?:p|h1)>", article[1])]
+            import html
+
+            want = [" ".join(html.unescape(x).split()) for x in parts]
+            assert "\n".join(t for t, k, _ in told if k) == "\n".join(x for x in want if x)
+    assert rules["stop words"] > 100 and rules["neighbour"] > 100 and rules["links"] > 100 and rules["marked"] > 100
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi there</p></article>", "x"), (2, None, None, "y"), (1, "u", "<article><p>Hi there</p></article>", "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
@@ -594,7 +685,35 @@ def test_pipeline(spark):
         if name != "sentencepiece":
             assert docs.columns == columns
     assert docs.where("not round_trip").count() == 0
-    assert {r.doc_id for r in cp.run(spark, SF).collect()} == seen
+    before = set(common.WRITTEN)
+    done = cp.run(spark, SF)
+    assert {r.doc_id for r in done.collect()} == seen and len(common.WRITTEN - before) == 1
+    common.clean(spark, before)
+    assert common.WRITTEN == before
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, one id with two texts, a very long text, extra columns, and empty tables."""
+    import corpus_pipeline as cp
+
+    rng, words = random.Random(1), [f"word{i}" for i in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    one, two, three, leak = text(80), text(90), text(20_000), text(60)
+    rows = [(1, one), (1, one), (1, two), (2, one + " more"), (None, two + " again"), (None, text(70)), (3, None), (4, ""), (5, "short"), (6, three), (7, leak)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "k", 1, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, label int, score double")
+    docs.write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    for d in "ab":
+        spark.createDataFrame([(1, 1, 0), (None, 0, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, " ".join(leak.split()[5:40])), (None, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/{d}/benchmark.parquet")
+    kept = docs
+    for name, stage in cp.STAGES[:4]:
+        kept = stage(spark, kept, f"file://{tmp_path}/a")
+        assert kept.columns == docs.columns, name
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, rows[5][1]), (1, one), (1, two), (6, three)])
+    done = cp.run(spark, f"file://{tmp_path}/a").collect()
+    assert sorted(r.doc_id or 0 for r in done) == [0, 1, 1, 6] and all(r.round_trip for r in done)
+    assert cp.run(spark, f"file://{tmp_path}/b").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
