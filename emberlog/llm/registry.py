@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from emberlog.llm import common as C
 from emberlog.llm import chat, decontaminate, html_extract, language_id, minhash_dedup, oracle, quality_rules, sentencepiece_lattice, token_counts, token_files, toxicity
 
@@ -39,9 +37,9 @@ def op6_token_counts(spark, sf_dir):
 def op7_token_files(spark, sf_dir):
     import public_tokenizers
 
-    folder = f"{C.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = C.new_folder(spark, "tokens")
     shards = C.cut(token_files.write_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder), "shards")
-    return token_files.digest(token_files.read_tokens(spark, shards))
+    return token_files.digest(token_files.read_tokens(shards))
 
 
 def op8_chat(spark, sf_dir):

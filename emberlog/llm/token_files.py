@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import common as C
@@ -40,8 +40,8 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256.
 _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _SAME} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SAME)}
-#: Bytes of the texts of one shard, about.
-SHARD_BYTES = 16_000_000
+#: Bytes of the texts of one shard, about; and of the smallest, where there are fewer shards than cores.
+SHARD_BYTES, LEAST_BYTES = 64_000_000, 4_000_000
 # How a tokenizer file says that it composes, lower-cases and drops white space, so that words stand alone.
 ALONE = {
     "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -117,8 +117,10 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int
     """Writes the shards and returns (shard, path, n_tokens, n_docs), one row each."""
     docs = C.first_with_text(docs)
     if shards is None:
-        shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -170,16 +172,15 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, length: int
     return dealt.mapInArrow(run, "shard long, path string, n_tokens long, n_docs long")
 
 
-def read_tokens(spark: SparkSession, shards: DataFrame) -> DataFrame:
+def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document, from the files.
 
-    `shards` is what write_tokens returned, materialised. Only their counts are summed on the driver: one number each.
+    `shards` is what write_tokens returned, materialised: a row each, whose counts are summed up in order.
     """
-    before, total = {}, 0
-    for r in shards.select("shard", "n_tokens").orderBy("shard").toLocalIterator():
-        before[r.shard], total = total, total + r.n_tokens
-    base = spark.createDataFrame(list(before.items()), "shard long, base long")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -205,8 +206,7 @@ def read_tokens(spark: SparkSession, shards: DataFrame) -> DataFrame:
                             ids.append(np.concatenate(pieces).astype("<u4").tobytes())
                         yield pa.record_batch([part.column(0), pa.array(np.asarray(part.column(1)) + base), part.column(2), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    rows = shards.join(F.broadcast(base), "shard").select("path", "base")
-    return rows.repartition(max(1, len(before)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(max(1, shards.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(rows: DataFrame) -> DataFrame:
