@@ -16,6 +16,7 @@ classes the machine has no terms and every score is a smoothed share of toxic la
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ SAMPLE = 16_000
 #: The least input of a bucket, the squared z of its toxic share from which it is 1, and the input of one in every row.
 FLOOR, SURE, FREQUENT = 0.05, 50.0, 0.5
 FACTORS, EPOCHS, RATE_WEIGHTS, RATE_VECTORS, RATE_BIAS = 8, 20, 0.2, 0.1, 0.1
+WARM, SETTLED = 4, 0.02
 KEPT_WORDS = 150_000
 #: Places that are gathered at once for scores (64 bytes each).
 TOGETHER = 200_000
@@ -80,7 +82,7 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def scores(self, rows: list[set[int]]) -> np.ndarray:
+    def scores(self, rows: list[set[int]] | list[np.ndarray]) -> np.ndarray:
         """Probabilities of rows of places, a bounded number of places at a time."""
         out, at = [], 0
         while at < len(rows):
@@ -93,12 +95,16 @@ class Machine:
         x = np.concatenate(out) + self.bias if out else np.empty(0)
         return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
-    def sums(self, rows: list[set[int]], n: int) -> np.ndarray:
+    def sums(self, rows: list[set[int]] | list[np.ndarray], n: int) -> np.ndarray:
         """Weights and pair products; the places of a row are taken in order, so a score does not depend on its batch."""
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        key = np.repeat(np.arange(len(rows), dtype=np.int64) << 32, counts) | np.fromiter(itertools.chain.from_iterable(rows), np.int64, n)
-        key.sort()
-        place, full = key & 0xFFFFFFFF, np.flatnonzero(counts)
+        if n and isinstance(rows[0], np.ndarray):  # in order already
+            place = np.concatenate(rows)
+        else:
+            key = np.repeat(np.arange(len(rows), dtype=np.int64) << 32, counts) | np.fromiter(itertools.chain.from_iterable(rows), np.int64, n)
+            key.sort()
+            place = key & 0xFFFFFFFF
+        full = np.flatnonzero(counts)
         x = np.zeros(len(rows))
         if len(full):
             starts = (np.cumsum(counts) - counts)[full]
@@ -120,7 +126,10 @@ def inputs(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(rows: list[np.ndarray] | list[list[int]], labels: np.ndarray, n: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors by AdaGrad on the logistic loss; a row's gradient touches its own places only."""
+    """Bias, weights and vectors by AdaGrad on the logistic loss; a row's gradient touches its own places only.
+
+    After the first WARM epochs only rows take part whose prediction at the epoch's begin is off by more than SETTLED.
+    """
     rng = np.random.default_rng(seed)
     y = labels.astype(float)
     bias, gb = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 1.0
@@ -130,8 +139,12 @@ def train(rows: list[np.ndarray] | list[list[int]], labels: np.ndarray, n: int,
     if not any(map(len, rows)):
         return bias, w, np.zeros_like(v)
     x = inputs(rows, y, n)
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
+    for epoch in range(EPOCHS):
+        order = rng.permutation(len(rows))
+        if epoch >= WARM:
+            off = np.abs(Machine(np.empty(0), bias, w * x, v * x[:, None]).scores(rows) - y)
+            order = order[off[order] > SETTLED]
+        for i in order:
             r = rows[i]
             a = x[r]
             own = v[r] * a[:, None]
@@ -153,6 +166,7 @@ def train(rows: list[np.ndarray] | list[list[int]], labels: np.ndarray, n: int,
 MACHINE = pa.schema([("bias", pa.float64()), ("buckets", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
 
 
+@C.frugal
 def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row, the machine, from all rows (doc_id, label, buckets) of the sample; their order does not matter."""
     data = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -171,14 +185,15 @@ def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([bias]), *(pa.array([x.tobytes()], pa.binary()) for x in (buckets, weights.astype(np.float32), vectors.astype(np.float32)))], schema=MACHINE)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from labelled rows that are not held out, in one task over the bounded sample; only the machine is fetched.
+def fit_to_folder(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
+    """Learns from labelled rows that are not held out, in one task over the bounded sample; the folder that the machine is in.
 
     Of labels of one doc_id that differ, the toxic one counts.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @C.frugal
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
@@ -189,37 +204,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     texts = C.first_with_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = C.cut(texts.mapInArrow(hashed, "doc_id long, label int, buckets binary"), "terms")
     made = C.cut(rows.coalesce(1).mapInArrow(fitted, "bias double, buckets binary, weights binary, vectors binary"), "machine")
-    one = made.first()
-    C.drop_cut(rows, made)
-    if one is None:  # no labelled row at all
-        one = next(fitted(iter(()))).to_pylist()[0]
+    C.drop_cut(rows)
+    return C.folder_of(made)
+
+
+@functools.lru_cache(maxsize=1)
+def load(folder: str) -> Machine:
+    """The machine of a folder, once a process: some 40 bytes for each bucket of the sample, so the driver need not see it."""
+    rows = [r for t in C.read_folder(folder, MACHINE.names) for r in t.to_pylist()]
+    one = rows[0] if rows else next(fitted(iter(()))).to_pylist()[0]  # no labelled row at all
     vectors = np.frombuffer(one["vectors"], np.float32).reshape(-1, FACTORS)
     return Machine(np.frombuffer(one["buckets"], np.int32), one["bias"], np.frombuffer(one["weights"], np.float32), vectors)
 
 
-def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
-    """The columns of docs and each row's score under `name`."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(machine)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    return load(fit_to_folder(docs, labels, sample))
+
+
+def score(docs: DataFrame, folder: str, name: str = "score") -> DataFrame:
+    """The columns of docs and each row's score under `name`, by the machine in a folder that all executors see."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = sent.value
+        machine = load(folder)
         terms = Terms(machine.buckets)
         for b in batches:
             s = machine.scores([terms.of(t) for t in b.column("text").to_pylist()])
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
-    C.small_batches(spark)
+    C.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
 def cleaned(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the machine does not call toxic."""
-    return score(docs, fit(docs, labels), "toxicity_score__").where(F.col("toxicity_score__") < threshold).drop("toxicity_score__")
+    rows = score(docs, fit_to_folder(docs, labels), "toxicity_score__")
+    return rows.where(F.col("toxicity_score__") < threshold).drop("toxicity_score__")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows = score(C.first_with_text(docs), fit(docs, labels))
+    rows = score(C.first_with_text(docs), fit_to_folder(docs, labels))
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
