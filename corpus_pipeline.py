@@ -51,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), set(C.WRITTEN)
     for name, stage in STAGES:
         docs = C.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        C.clean(spark, before, [docs])  # what the stage read and wrote beside its result is not needed any more
     return docs
