@@ -176,12 +176,18 @@ def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, none = float(np.log((toxic + 1) / (total - toxic + 3))), np.zeros(0, np.int32).tobytes()
         yield pa.record_batch([pa.array([bias]), *(pa.array([none], pa.binary()) for _ in range(3))], schema=MACHINE)
         return
-    found = [np.frombuffer(b, "<i4") for _, b, _ in data]
+    # one array of all rows' places, and rows as views of it; what came in is let go before the machine is trained
+    ends = np.cumsum([len(b) // 4 for _, b, _ in data])
+    flat = np.concatenate([np.frombuffer(b, "<i4") for _, b, _ in data])
+    del data
     met = np.zeros(1 << BITS, bool)
-    for b in found:
-        met[b] = True
+    met[flat] = True
     buckets = np.flatnonzero(met).astype(np.int32)
-    bias, weights, vectors = train([np.searchsorted(buckets, b).astype(np.int32) for b in found], labelled, len(buckets))
+    place = np.cumsum(met, dtype=np.int32) - 1
+    flat = place[flat]
+    del met, place
+    C.release_memory()
+    bias, weights, vectors = train(np.split(flat, ends[:-1]), labelled, len(buckets))
     yield pa.record_batch([pa.array([bias]), *(pa.array([x.tobytes()], pa.binary()) for x in (buckets, weights.astype(np.float32), vectors.astype(np.float32)))], schema=MACHINE)
 
 
