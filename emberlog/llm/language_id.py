@@ -33,7 +33,7 @@ from emberlog.llm.html_extract import main_text
 
 #: The labelled documents that the trigram model is fitted on (smallest hash of doc_id), and those of each language that
 #: are taken in any case, so every language of the labels is known.
-SAMPLE, OF_EACH = 4000, 50
+SAMPLE, OF_EACH, PARTS = 4000, 50, 64
 BITS, TEXT_WEIGHT, KAPPA, SMOOTH = 16, 60.0, 4.0, 0.5
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 DECLARED = re.compile(r"<(?:html|body)\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})|<meta[^>]+content-language[\"']?[^>]*content\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
@@ -65,9 +65,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labelled.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
     some = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = some.union(ids.withColumn("rank__", rank).where(F.col("rank__") <= OF_EACH).select("doc_id")).distinct()
+    rank = lambda *by: F.dense_rank().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # the first of each part of a language, and then of those: a language may have most rows
+    parts = ids.withColumn("part__", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))).withColumn("rank__", rank("lang", "part__")).where(F.col("rank__") <= OF_EACH)
+    each = parts.withColumn("rank__", rank("lang")).where(F.col("rank__") <= OF_EACH)
+    chosen = some.union(each.select("doc_id")).distinct()
 
+    @C.frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
         for b in batches:
@@ -106,6 +110,7 @@ def evidence(rows: DataFrame, model: Model, html: bool) -> DataFrame:
     """Compact rows of what speaks for a language, from (id, content, address); content is html or plain text."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
+    @C.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
