@@ -10,28 +10,46 @@ copies, also under one doc_id, become one row in near_dedup. Very long texts go
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm import common as C
 from emberlog.llm import decontaminate, minhash_dedup, quality_rules, sentencepiece_lattice, toxicity
 
 
+def lean(stage):
+    """A stage that begins with small heaps: executors outlive stages and would add what the earlier ones needed to its own."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.release_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@lean
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.cleaned(docs, C.table(spark, sf_dir, "labels"))
 
 
+@lean
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs, C.table(spark, sf_dir, "labels"))
 
 
+@lean
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.deduplicated(docs)
 
 
+@lean
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.cleaned(docs, C.table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -54,6 +54,15 @@ def release_memory() -> None:
         trim(0)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """To the operating system the heap that earlier work has left in the executors, which they would keep for good.
+
+    A collection in as many tasks as there are cores, which idle executors share evenly; one that gets none keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
     """Session settings for the jobs that run inside, put back afterwards; `_` in a name stands for `.`."""

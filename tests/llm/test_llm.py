@@ -692,6 +692,18 @@ def test_pipeline(spark):
     assert common.WRITTEN == before
 
 
+def test_stages_begin_with_small_heaps(spark, none):
+    """Executors outlive stages: what one left in the heap (2.1 GB of an executor) was added to what the next one needs."""
+    import corpus_pipeline as cp
+
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName())]
+    full = lambda: sum(b.getCollectionCount() for b in beans)
+    for name, stage in cp.STAGES:
+        before = full()
+        stage(spark, none, SF)
+        assert full() > before, name
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, repeated rows, one id with two texts, a very long text, extra columns, and empty tables."""
     import corpus_pipeline as cp
