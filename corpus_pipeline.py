@@ -19,12 +19,17 @@ from emberlog.llm import decontaminate, minhash_dedup, quality_rules, sentencepi
 
 
 def lean(stage):
-    """A stage that begins with small heaps: executors outlive stages and would add what the earlier ones needed to its own."""
+    """A stage that begins with small heaps: executors outlive stages and would add what the earlier ones needed to its own.
+
+    So does its last job, which the caller runs: sentencepiece needs the heap for its relations first and Python for its ids then.
+    """
 
     @functools.wraps(stage)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         C.release_heaps(spark)
-        return stage(spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
+        C.release_heaps(spark)
+        return found
 
     return begun
 

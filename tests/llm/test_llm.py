@@ -704,6 +704,15 @@ def test_stages_begin_with_small_heaps(spark, none):
         assert full() > before, name
 
 
+def test_heaps_are_small_before_a_stage_and_its_last_job(monkeypatch):
+    import corpus_pipeline as cp
+
+    seen = []
+    monkeypatch.setattr(cp.C, "release_heaps", lambda spark: seen.append("released"))
+    assert cp.lean(lambda spark, docs, sf_dir: seen.append("stage") or docs)(None, "rows", SF) == "rows"
+    assert seen == ["released", "stage", "released"]
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, repeated rows, one id with two texts, a very long text, extra columns, and empty tables."""
     import corpus_pipeline as cp
